@@ -218,12 +218,12 @@ class Agenda:
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [_SEGMENTS.findall(((MARK if self.prefix else "") + t).replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in split for w in words} - self.memory.keys()
+        new = {w for words in split for w in words if w not in self.memory}
         if new:
             before = len(self.memory)
             self.learn(list(new))
             if len(self.memory) < before + len(new):  # it was cleared: some words may be gone
-                self.learn(list({w for words in split for w in words} - self.memory.keys()))
+                self.learn(list({w for words in split for w in words if w not in self.memory}))
         get = self.memory.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), dtype="<i4") for words in split]
 

@@ -43,6 +43,8 @@ from lumenfold.operators.lineage import cut, written
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
+#: Hash values held at a time, 256 kB of them unless a single text has more shingles.
+CHUNK = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -88,33 +90,43 @@ def labelled_shingles(words: np.ndarray, k: int) -> np.ndarray:
     return _mix(h + number * _U(0xD1342543DE82EF95))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = zlib.crc32(word.encode())
+        return h
+
+
 class Sketcher:
     def __init__(self, cfg: NearConfig):
         rng = np.random.default_rng(cfg.seed)
         m = cfg.bands * cfg.rows
         self.cfg, self.m = cfg, m
         self.xor = rng.integers(0, 1 << 63, m, dtype=np.uint64)[:, None]
+        self.buffer = np.empty(CHUNK, dtype=np.uint64)
         self.mul = (rng.integers(0, 1 << 63, m, dtype=np.uint64) * _U(2) + _U(1))[:, None]
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
         """The m ordered samples, hashed, as signed 64-bit values."""
-        ell = min(self.cfg.ell, len(shingles))
-        out = np.empty(self.m, dtype=np.uint64)
-        step = max(1, (1 << 21) // len(shingles))
+        n, ell = len(shingles), min(self.cfg.ell, len(shingles))
+        step = max(1, min(self.m, CHUNK // n))
+        if self.buffer.size < step * n:
+            self.buffer = np.empty(step * n, dtype=np.uint64)
+        found = np.empty((self.m, ell), dtype=np.int64)
         for at in range(0, self.m, step):
-            v = (shingles[None, :] ^ self.xor[at : at + step]) * self.mul[at : at + step]
-            rows = np.arange(len(v))
-            found = np.empty((len(v), ell), dtype=np.int64)
+            rows = min(step, self.m - at)
+            v = self.buffer[: rows * n].reshape(rows, n)
+            np.bitwise_xor(shingles[None, :], self.xor[at : at + rows], out=v)
+            np.multiply(v, self.mul[at : at + rows], out=v)
             for j in range(ell):
-                found[:, j] = v.argmin(1)
+                place = v.argmin(1)
+                found[at : at + rows, j] = place
                 if j + 1 < ell:
-                    v[rows, found[:, j]] = _U(0xFFFFFFFFFFFFFFFF)
-            found.sort(axis=1)
-            h = np.full(len(v), _U(ell))
-            for j in range(ell):
-                h = h * _U(0x9E3779B97F4A7C15) + shingles[found[:, j]]
-            out[at : at + step] = _mix(h)
-        return out.view(np.int64)
+                    v[np.arange(rows), place] = _U(0xFFFFFFFFFFFFFFFF)
+        found.sort(axis=1)
+        h = np.full(self.m, _U(ell))
+        for j in range(ell):
+            h = h * _U(0x9E3779B97F4A7C15) + shingles[found[:, j]]
+        return _mix(h).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
@@ -148,16 +160,14 @@ def sketches(docs: DataFrame, cfg: NearConfig, *, key: str, text: str) -> DataFr
 
     def make():
         sketcher = Sketcher(cfg)
-        memory: dict[str, int] = {}
+        memory = _WordHashes()
 
         def block(columns: list[list]) -> list[list]:
             ids, digests, sizes, found, hashed = [], [], [], [], []
             for i, t in zip(*columns, strict=True):
                 words = _WORDS.findall(t or "")
-                if len(memory) > 300_000:
+                if len(memory) > 100_000:
                     memory.clear()
-                for w in set(words) - memory.keys():
-                    memory[w] = zlib.crc32(w.encode())
                 w = np.fromiter(map(memory.__getitem__, words), dtype=np.uint32, count=len(words))
                 digest = hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest() if words else None
                 if i is None and digest:

@@ -229,7 +229,7 @@ class WordEncoder:
         if not self.parted:
             return [x + self.end for x in self._whole(texts)]
         split = [t.split(" ") for t in texts]
-        new = {w for words in split for w in words} - self.memory.keys()
+        new = {w for words in split for w in words if w not in self.memory}
         if len(self.memory) + len(new) > self.remembered:
             self.memory.clear()
             new = {w for words in split for w in words}
