@@ -73,7 +73,7 @@ class Pairs:
 class Agenda:
     """An encoder for a merge-type model; ``ids_of`` remembers the words that it has seen."""
 
-    def __init__(self, model_path: str, remembered: int = 300_000):
+    def __init__(self, model_path: str, remembered: int = 800_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -109,6 +109,7 @@ class Agenda:
         left, right, rank, merged = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
         self.pairs = Pairs(left, right, rank.astype(np.int32), merged.astype(np.int32))
         self.table = dict(zip(zip(left.tolist(), right.tolist(), strict=True), zip(rank.tolist(), merged.tolist(), strict=True), strict=True))
+        self.spelled = np.array([f"{i},".encode() for i in range(self.n_pieces)])
         self.memory: dict[str, bytes] = {}
 
     def _spell(self, symbols: list[int], starts: list[int], word: str) -> list[int]:
@@ -252,19 +253,18 @@ def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", keep:
         agenda, library = _load(model_path)
 
         def block(columns: list[list]) -> list[list]:
-            texts = columns[-1]
-            ids = agenda.ids_of(texts)
-            n, a, b, same, all_ids = [], [], [], [], []
-            for t, own in zip(texts, ids, strict=True):
-                listed = own.tolist()
-                other = library.encode(t or "")
-                same.append(listed == other)
-                n.append(len(other))
-                a.append(hashlib.sha256(str(other if not same[-1] else listed)[1:-1].replace(" ", "").encode()).hexdigest())
-                b.append(hashlib.sha256(library.decode(listed if same[-1] else other).encode()).hexdigest())
-                if with_ids:
-                    all_ids.append(listed if same[-1] else other)
-            return [*columns[:-1], n, a, b, same, *([all_ids] if with_ids else [])]
+            texts = [t or "" for t in columns[-1]]
+            own = agenda.ids_of(texts)
+            n, a, b, same, ids = [], [], [], [], []
+            for mine, theirs in zip(own, library.encode(texts, num_threads=1), strict=True):
+                same.append(mine.tolist() == theirs)
+                # The spellings are padded with zero bytes, and the last comma is too many.
+                written = agenda.spelled[mine if same[-1] else np.array(theirs, dtype=np.int64)].tobytes().replace(b"\0", b"")[:-1]
+                n.append(len(theirs))
+                a.append(hashlib.sha256(written).hexdigest())
+                b.append(hashlib.sha256(library.decode(theirs).encode()).hexdigest())
+                ids.append(theirs)
+            return [*columns[:-1], n, a, b, same, *([ids] if with_ids else [])]
 
         return block
 
