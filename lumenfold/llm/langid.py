@@ -258,7 +258,7 @@ def predict(docs: DataFrame, net: ByteBiGRU, cfg: LangConfig | None = None, *, t
     cfg = cfg or LangConfig()
     keep = keep or ["doc_id"]
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    frame = docs.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("_text"))
+    frame = docs.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("__text"))
 
     def make():
         labeller = Labeller(net, cfg.window)
@@ -280,4 +280,4 @@ def predict(docs: DataFrame, net: ByteBiGRU, cfg: LangConfig | None = None, *, t
 
         return block
 
-    return map_rows(frame, [*keep, "_text"], f"{types}, lang_pred string, score double, n_bytes long, top_bytes long", make)
+    return map_rows(frame, [*keep, "__text"], f"{types}, lang_pred string, score double, n_bytes long, top_bytes long", make)

@@ -14,7 +14,8 @@ their page by a row id.  Both ways give the same rows.
 
 Defined results: a null text stays null and has no lines; a null site is no site, and its
 pages keep every line; an empty table gives an empty table; repeated rows count as pages of
-their own; other columns pass through.  Two different lines of a site are mistaken for one
+their own; other columns pass through, but for those with the names of results, which are
+replaced.  Two different lines of a site are mistaken for one
 another with a probability of 2**-64 a pair.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINE_HASH, LINE_PAGES = "_line_hash", "_line_pages"
+LINE_HASH, LINE_PAGES = "__line_hash", "__line_pages"
 
 
 def _lines(text: Column) -> Column:
@@ -39,10 +40,10 @@ def line_hash(line: Column) -> Column:
 def boilerplate(pages: DataFrame, *, site: str, text: str, ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
     """(site, line hash, pages that contain it) of each site's boilerplate lines."""
     own = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), line_hash), lambda h: h.isNotNull()))
-    keyed = pages.where(F.col(site).isNotNull()).select(F.col(site).alias("_site"), F.explode(own).alias(LINE_HASH))
-    counts = keyed.groupBy("_site", LINE_HASH).agg(F.count(F.lit(1)).alias(LINE_PAGES)).where(F.col(LINE_PAGES) >= min_pages)
-    totals = pages.where(F.col(site).isNotNull()).groupBy(F.col(site).alias("_site")).agg(F.count(F.lit(1)).alias("_total"))
-    return counts.join(totals, "_site").where(F.col(LINE_PAGES) > F.lit(ratio) * F.col("_total")).drop("_total")
+    keyed = pages.where(F.col(site).isNotNull()).select(F.col(site).alias("__site"), F.explode(own).alias(LINE_HASH))
+    counts = keyed.groupBy("__site", LINE_HASH).agg(F.count(F.lit(1)).alias(LINE_PAGES)).where(F.col(LINE_PAGES) >= min_pages)
+    totals = pages.where(F.col(site).isNotNull()).groupBy(F.col(site).alias("__site")).agg(F.count(F.lit(1)).alias("__total"))
+    return counts.join(totals, "__site").where(F.col(LINE_PAGES) > F.lit(ratio) * F.col("__total")).drop("__total")
 
 
 def _strip(text: Column, bad: Column) -> tuple[Column, Column]:
@@ -63,19 +64,19 @@ def drop_boilerplate(
     found = boilerplate(pages, site=site, text=text, ratio=ratio, min_pages=min_pages).checkpoint()
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(F.col(text))))
     if (force or ("broadcast" if found.count() <= broadcast_rows else "shuffle")) == "broadcast":
-        by_site = F.broadcast(found.groupBy("_site").agg(F.collect_list(LINE_HASH).alias("_bad")))
-        joined = pages.withColumn("_site", F.col(site)).join(by_site, "_site", "left")
+        by_site = F.broadcast(found.groupBy("__site").agg(F.collect_list(LINE_HASH).alias("__bad")))
+        joined = pages.withColumn("__site", F.col(site)).join(by_site, "__site", "left")
     else:
-        rows = pages.withColumn("_row", F.monotonically_increasing_id())
+        rows = pages.withColumn("__row", F.monotonically_increasing_id())
         own = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), line_hash), lambda h: h.isNotNull()))
-        salted = found.select("_site", LINE_HASH, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        salted = found.select("__site", LINE_HASH, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
         hits = (
-            rows.select("_row", F.col(site).alias("_site"), F.explode(own).alias(LINE_HASH))
-            .withColumn("_salt", F.pmod(F.hash("_row"), F.lit(salts)))
-            .join(salted, ["_site", LINE_HASH, "_salt"])
-            .groupBy("_row")
-            .agg(F.collect_list(LINE_HASH).alias("_bad"))
+            rows.select("__row", F.col(site).alias("__site"), F.explode(own).alias(LINE_HASH))
+            .withColumn("__salt", F.pmod(F.hash("__row"), F.lit(salts)))
+            .join(salted, ["__site", LINE_HASH, "__salt"])
+            .groupBy("__row")
+            .agg(F.collect_list(LINE_HASH).alias("__bad"))
         )
-        joined = rows.join(hits, "_row", "left")
-    cleaned, dropped = _strip(F.col(text), F.col("_bad"))
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in pages.columns], n_lines.alias("n_lines"), dropped.alias("n_dropped"))
+        joined = rows.join(hits, "__row", "left")
+    cleaned, dropped = _strip(F.col(text), F.col("__bad"))
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in pages.columns if c not in ("n_lines", "n_dropped")], n_lines.alias("n_lines"), dropped.alias("n_dropped"))

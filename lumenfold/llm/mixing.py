@@ -17,7 +17,7 @@
 
 Defined results: a null text has size 0; a null source is a source of its own; sources of
 size 0 have target 0; an empty table gives an empty mix; rows with equal ids share their
-block and so are taken alike; other columns pass through.
+block and so are taken alike; other columns pass through, but for those with the names of results.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOURCE_WEIGHTS = (3, 1, 2)
+#: Names of results, which replace columns of the input.
+RESULTS = ("size", "source_size", "target", "taken", "round", "shard", "place")
 
 
 @dataclass(frozen=True)
@@ -100,13 +102,13 @@ def _block(key: Column, cfg: MixConfig) -> Column:
 
 def plan(spark: SparkSession, sized: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame]:
     """(_source, _block, round, shard) of all draws, and (_source, source_size, target)."""
-    rows = sized.groupBy("_source", "_block").agg(F.sum("size").alias("words")).collect()
-    names = sorted({r["_source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    rows = sized.groupBy("__source", "__block").agg(F.sum("size").alias("words")).collect()
+    names = sorted({r["__source"] for r in rows}, key=lambda s: (s is None, s or ""))
     words = {s: np.zeros(cfg.blocks, dtype=np.int64) for s in names}
     there = {s: np.zeros(cfg.blocks, dtype=bool) for s in names}
     for r in rows:
-        words[r["_source"]][r["_block"]] = r["words"]
-        there[r["_source"]][r["_block"]] = True
+        words[r["__source"]][r["__block"]] = r["words"]
+        there[r["__source"]][r["__block"]] = True
     sizes = [int(words[s].sum()) for s in names]
     goal = targets(sizes, [SOURCE_WEIGHTS[i % len(SOURCE_WEIGHTS)] for i in range(len(names))], cfg.share * sum(sizes), cfg.most)
     draws = []
@@ -124,10 +126,10 @@ def plan(spark: SparkSession, sized: DataFrame, cfg: MixConfig) -> tuple[DataFra
             shard = np.repeat(np.arange(cfg.shards), dealt[:, i])
             out += [(s, int(b), int(k), int(m)) for b, k, m in zip(*draws[i], shard, strict=True)]
     totals = [(s, n, float(g)) for s, n, g in zip(names, sizes, goal, strict=True)]
-    kind = sized.schema["_source"].dataType.simpleString()
+    kind = sized.schema["__source"].dataType.simpleString()
     return (
-        spark.createDataFrame(out, f"_source {kind}, _block int, round int, shard int"),
-        spark.createDataFrame(totals, f"_source {kind}, source_size long, target double"),
+        spark.createDataFrame(out, f"__source {kind}, __block int, round int, shard int"),
+        spark.createDataFrame(totals, f"__source {kind}, source_size long, target double"),
     )
 
 
@@ -136,22 +138,24 @@ def _maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
 
 
 def _sized(docs: DataFrame, cfg: MixConfig, key: str, text: str, source: str) -> DataFrame:
-    return docs.withColumns({"size": word_count(F.col(text)), "_source": F.col(source), "_block": _block(F.col(key), cfg)})
+    given = docs.drop(*RESULTS)
+    return given.withColumns({"size": word_count(F.col(text)), "__source": F.col(source), "__block": _block(F.col(key), cfg)})
 
 
 def takes(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with size, source_size, target and taken (words that the mix takes of a row)."""
     cfg = cfg or MixConfig()
     sized = _sized(docs, cfg, key, text, source)
-    draws, totals = plan(docs.sparkSession, sized.select("_source", "_block", "size"), cfg)
-    times = draws.groupBy("_source", "_block").agg(F.count(F.lit(1)).alias("_times"))
-    told = totals.join(times, totals["_source"].eqNullSafe(times["_source"]), "left").select(totals["_source"].alias("_s"), "source_size", "target", F.col("_block").alias("_b"), "_times")
+    draws, totals = plan(docs.sparkSession, sized.select("__source", "__block", "size"), cfg)
+    times = draws.groupBy("__source", "__block").agg(F.count(F.lit(1)).alias("__times"))
+    told = totals.join(times, totals["__source"].eqNullSafe(times["__source"]), "left").select(totals["__source"].alias("__s"), "source_size", "target", F.col("__block").alias("__b"), "__times")
     # One table for both: a row for each drawn block, and one without a block for each source.
-    every = told.where(F.col("_b").isNotNull()).select("_s", "_b", "_times")
+    every = told.where(F.col("__b").isNotNull()).select("__s", "__b", "__times")
     n = draws.count()
-    a = sized.join(_maybe_broadcast(totals.withColumnRenamed("_source", "_t"), totals.count(), cfg.broadcast_rows), F.col("_source").eqNullSafe(F.col("_t")), "left")
-    b = a.join(_maybe_broadcast(every, n, cfg.broadcast_rows), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
-    return b.select(*docs.columns, "size", "source_size", "target", (F.col("size") * F.coalesce(F.col("_times"), F.lit(0))).alias("taken"))
+    a = sized.join(_maybe_broadcast(totals.withColumnRenamed("__source", "__t"), totals.count(), cfg.broadcast_rows), F.col("__source").eqNullSafe(F.col("__t")), "left")
+    own = [c for c in docs.columns if c not in RESULTS]
+    b = a.join(_maybe_broadcast(every, n, cfg.broadcast_rows), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")), "left")
+    return b.select(*own, "size", "source_size", "target", (F.col("size") * F.coalesce(F.col("__times"), F.lit(0))).alias("taken"))
 
 
 def mix(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -161,8 +165,9 @@ def mix(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", t
     """
     cfg = cfg or MixConfig()
     sized = _sized(docs, cfg, key, text, source)
-    draws, _ = plan(docs.sparkSession, sized.select("_source", "_block", "size"), cfg)
-    draws = draws.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "round", "shard")
+    draws, _ = plan(docs.sparkSession, sized.select("__source", "__block", "size"), cfg)
+    draws = draws.select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), "round", "shard")
     small = _maybe_broadcast(draws, draws.count(), cfg.broadcast_rows)
-    out = sized.drop("size").join(small, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    return out.select(*docs.columns, "round", "shard", F.xxhash64(F.lit(cfg.seed + 1), F.col(key), "round").alias("place"))
+    own = [c for c in docs.columns if c not in RESULTS]
+    out = sized.join(small, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    return out.select(*own, "round", "shard", F.xxhash64(F.lit(cfg.seed + 1), F.col(key), "round").alias("place"))

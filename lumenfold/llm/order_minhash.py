@@ -156,7 +156,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
 
 def sketches(docs: DataFrame, cfg: NearConfig, *, key: str, text: str) -> DataFrame:
     """(id, digest, n, sketch, words) of each row; digest is null for a text without words."""
-    frame = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text"))
+    frame = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text"))
 
     def make():
         sketcher = Sketcher(cfg)
@@ -181,7 +181,7 @@ def sketches(docs: DataFrame, cfg: NearConfig, *, key: str, text: str) -> DataFr
 
         return block
 
-    return map_rows(frame, ["id", "_text"], "id long, digest binary, n int, sketch array<long>, words array<int>", make)
+    return map_rows(frame, ["id", "__text"], "id long, digest binary, n int, sketch array<long>, words array<int>", make)
 
 
 def _alike(x: str, y: str, cfg: NearConfig) -> Column:

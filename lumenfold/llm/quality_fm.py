@@ -193,10 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: FMConfig | None = None, *, text
     texts become sparse features on the executors, and those come to the driver.
     """
     cfg = cfg or FMConfig()
-    usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
-    chosen = usable.groupBy("_key").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64(F.lit(cfg.seed), F.col("_key")), "_key").limit(cfg.max_labelled)
+    usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
+    chosen = usable.groupBy("__key").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64(F.lit(cfg.seed), F.col("__key")), "__key").limit(cfg.max_labelled)
     features = Features(cfg)
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col("n_chars").alias("_n")).join(F.broadcast(chosen), "_key")
+    found = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col("n_chars").alias("__n")).join(F.broadcast(chosen), "__key")
 
     def make():
         own = Features(cfg)
@@ -208,10 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: FMConfig | None = None, *, text
 
         return block
 
-    rows = map_rows(found, ["_key", "_text", "_n", "_label"], "_key long, _label int, ids array<int>, x array<double>", make).collect()
-    rows = sorted(rows, key=lambda r: (r["_key"], r["ids"]))
+    rows = map_rows(found, ["__key", "__text", "__n", "__label"], "__key long, __label int, ids array<int>, x array<double>", make).collect()
+    rows = sorted(rows, key=lambda r: (r["__key"], r["ids"]))
     got = [(np.array(r["ids"], dtype=np.int64), np.array(r["x"])) for r in rows]
-    return train(got, np.array([r["_label"] for r in rows], dtype=float), features.size(), cfg)
+    return train(got, np.array([r["__label"] for r in rows], dtype=float), features.size(), cfg)
 
 
 def score(docs: DataFrame, fm: FM, cfg: FMConfig | None = None, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
@@ -219,7 +219,7 @@ def score(docs: DataFrame, fm: FM, cfg: FMConfig | None = None, *, text: str = "
     cfg = cfg or FMConfig()
     keep = keep or ["doc_id"]
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    frame = docs.select(*keep, F.col(text).alias("_text"), F.col("n_chars").cast("long").alias("_n"))
+    frame = docs.select(*keep, F.col(text).alias("__text"), F.col("n_chars").cast("long").alias("__n"))
 
     def make():
         own = Features(cfg)
@@ -231,4 +231,4 @@ def score(docs: DataFrame, fm: FM, cfg: FMConfig | None = None, *, text: str = "
 
         return block
 
-    return map_rows(frame, [*keep, "_text", "_n"], f"{types}, score double, predicted int", make)
+    return map_rows(frame, [*keep, "__text", "__n"], f"{types}, score double, predicted int", make)

@@ -5,7 +5,7 @@ carriage return.  Base figures of a text: words, characters in words, symbols, l
 repeat an earlier line, and words in five-word windows that occur twice or more.
 
 Defined results: a null text counts as empty; an empty text fails the base rules; a text of
-under five words has no windows; ratios over no words are 0; other columns pass through.
+under five words has no windows; ratios over no words are 0; other columns pass through, but for those with the names of results.
 """
 
 from __future__ import annotations
@@ -48,6 +48,13 @@ RULES = (
 )
 
 
+#: Names of results, which replace columns of the input.
+RESULTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_upper_words",
+    "mean_word_chars", "symbols_per_word", "dup_line_ratio", "stop_word_ratio", "upper_word_ratio", "base_failed", "failed_rules", "kept",
+)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
@@ -76,7 +83,7 @@ def _covered(hashes: Column) -> Column:
 
 def _repeat_words() -> Column:
     """Words in five-word windows found twice or more; most texts have none and stop at the count."""
-    hashes = F.col("_windows")
+    hashes = F.col("__windows")
     return F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(0)).otherwise(_covered(hashes))
 
 
@@ -85,24 +92,24 @@ def with_metrics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(t, r"[\x20\x09-\x0D]+", -1), "")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n, hashed = F.size("_words"), F.col("_hashed")
+    n, hashed = F.size("__words"), F.col("__hashed")
     windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(WINDOW)]))
     )
-    a = docs.withColumns({"_words": words, "_lines": lines})
-    a = a.withColumn("_hashed", F.transform("_words", lambda w: F.xxhash64(w)))
-    a = a.withColumn("_windows", windows)
+    a = docs.withColumns({"__words": words, "__lines": lines})
+    a = a.withColumn("__hashed", F.transform("__words", lambda w: F.xxhash64(w)))
+    a = a.withColumn("__windows", windows)
     whole = F.length(t)
     a = a.select(
-        *docs.columns,
-        F.size("_words").cast("bigint").alias("n_words"),
+        *[c for c in docs.columns if c not in RESULTS],
+        F.size("__words").cast("bigint").alias("n_words"),
         (whole - _count_of(t, SPACE)).cast("bigint").alias("word_chars"),
         _count_of(t, SYMBOLS).cast("bigint").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
         _repeat_words().cast("bigint").alias("n_repeat_words"),
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint").alias("n_stop_words"),
-        F.size(F.filter("_words", lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w))).cast("bigint").alias("n_upper_words"),
+        F.size("__lines").cast("bigint").alias("n_lines"),
+        F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint").alias("n_stop_words"),
+        F.size(F.filter("__words", lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w))).cast("bigint").alias("n_upper_words"),
     )
     per = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(F.lit(0.0))
     return a.withColumns({

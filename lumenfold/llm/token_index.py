@@ -264,8 +264,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", t
         os.makedirs(folder.removeprefix("file:"), exist_ok=True)
     elif folder.startswith("file://"):
         os.makedirs(folder.removeprefix("file://"), exist_ok=True)
-    frame = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ordered = frame.repartitionByRange(shards, "_key").withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_key", F.xxhash64("_text"))
+    frame = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    ordered = frame.repartitionByRange(shards, "__key").withColumn("__part", F.spark_partition_id()).sortWithinPartitions("__key", F.xxhash64("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path, end_id)
@@ -282,7 +282,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", t
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [path], "documents": pa.array([len(writer.keys)], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
 
-    rows = sorted(ordered.select("_key", "_text", "_part").mapInArrow(run, MANIFEST).collect(), key=lambda r: r["shard"])
+    rows = sorted(ordered.select("__key", "__text", "__part").mapInArrow(run, MANIFEST).collect(), key=lambda r: r["shard"])
     return spark.createDataFrame([tuple(r) for r in rows], MANIFEST)
 
 

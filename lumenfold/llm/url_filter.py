@@ -18,7 +18,7 @@ again by row id after a partial maximum, so that one row for each page is shuffl
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule, and
 the default verdict; an empty rule table leaves the default verdict everywhere; repeated
-rows stay; other columns pass through.
+rows stay; other columns pass through, but for those with the names of results, which are replaced.
 """
 
 from __future__ import annotations
@@ -60,29 +60,29 @@ def filter_urls(
     """
     usable = rules.where(F.col("rule_host").isNotNull() & F.col("rule_path").isNotNull())
     keyed = usable.select(
-        _digest(F.col("rule_host"), F.col("rule_path")).alias("_full"),
-        ((F.length("rule_host") + F.length("rule_path")) * _HOST_BITS * 2 + F.length("rule_host") * 2 + (F.col("verdict") == "block").cast("int")).cast("bigint").alias("_rank"),
-    ).withColumn("_short", F.substring("_full", 1, 8))
+        _digest(F.col("rule_host"), F.col("rule_path")).alias("__full"),
+        ((F.length("rule_host") + F.length("rule_path")) * _HOST_BITS * 2 + F.length("rule_host") * 2 + (F.col("verdict") == "block").cast("int")).cast("bigint").alias("__rank"),
+    ).withColumn("__short", F.substring("__full", 1, 8))
     known = usable.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("n"), F.count(F.lit(1)).alias("rules")).first()
     if known["n"] and known["n"][-1] > MAX_PATH:
         raise ValueError(f"a rule's path is longer than {MAX_PATH}")
     lengths = F.array(*[F.lit(n) for n in known["n"]]) if known["n"] else F.array().cast("array<int>")
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("_row"))
+    rows = pages.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("__row"))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     pairs = F.flatten(F.transform(_suffixes(F.col("host")), lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
-    expanded = rows.where(F.col("host") != "").select("_row", F.explode(pairs).alias("_full")).withColumn("_short", F.substring("_full", 1, 8))
+    expanded = rows.where(F.col("host") != "").select("__row", F.explode(pairs).alias("__full")).withColumn("__short", F.substring("__full", 1, 8))
     if (force or ("broadcast" if known["rules"] <= broadcast_rules else "shuffle")) == "broadcast":
-        met = rows.select("*", F.explode_outer(F.when(F.col("host") != "", pairs)).alias("_page"))
-        met = met.withColumn("_short", F.substring("_page", 1, 8)).join(F.broadcast(keyed), "_short", "left")
-        best = met.groupBy("_row", *own, "host", "path").agg(F.max(F.when(F.col("_page") == F.col("_full"), F.col("_rank"))).alias("_rank"))
+        met = rows.select("*", F.explode_outer(F.when(F.col("host") != "", pairs)).alias("__page"))
+        met = met.withColumn("__short", F.substring("__page", 1, 8)).join(F.broadcast(keyed), "__short", "left")
+        best = met.groupBy("__row", *own, "host", "path").agg(F.max(F.when(F.col("__page") == F.col("__full"), F.col("__rank"))).alias("__rank"))
     else:
-        dealt = expanded.select("_row", F.col("_full").alias("_page"), "_short", F.pmod(F.hash("_row"), F.lit(salts)).alias("_salt"))
-        spread = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        hits = dealt.join(spread.hint("merge"), ["_short", "_salt"]).where(F.col("_page") == F.col("_full")).groupBy("_row").agg(F.max("_rank").alias("_rank"))
-        best = rows.join(hits, "_row", "left")
-    host_length = F.pmod(F.floor(F.col("_rank") / 2), F.lit(_HOST_BITS)).cast("int")
-    path_length = (F.floor(F.col("_rank") / (2 * _HOST_BITS)) - host_length).cast("int")
+        dealt = expanded.select("__row", F.col("__full").alias("__page"), "__short", F.pmod(F.hash("__row"), F.lit(salts)).alias("__salt"))
+        spread = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+        hits = dealt.join(spread.hint("merge"), ["__short", "__salt"]).where(F.col("__page") == F.col("__full")).groupBy("__row").agg(F.max("__rank").alias("__rank"))
+        best = rows.join(hits, "__row", "left")
+    host_length = F.pmod(F.floor(F.col("__rank") / 2), F.lit(_HOST_BITS)).cast("int")
+    path_length = (F.floor(F.col("__rank") / (2 * _HOST_BITS)) - host_length).cast("int")
     rule = F.concat(F.substr(F.col("host"), F.length("host") - host_length + 1), F.col("path").substr(F.lit(1), path_length))
-    verdict = F.when(F.col("_rank").isNull(), F.lit(default)).when(F.pmod("_rank", F.lit(2)) == 1, F.lit("block")).otherwise(F.lit("allow"))
-    return best.select(*own, "host", "path", F.when(F.col("_rank").isNotNull(), rule).alias("rule"), verdict.alias("verdict"))
+    verdict = F.when(F.col("__rank").isNull(), F.lit(default)).when(F.pmod("__rank", F.lit(2)) == 1, F.lit("block")).otherwise(F.lit("allow"))
+    return best.select(*own, "host", "path", F.when(F.col("__rank").isNotNull(), rule).alias("rule"), verdict.alias("verdict"))
