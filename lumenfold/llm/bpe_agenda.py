@@ -203,8 +203,6 @@ class Agenda:
         return out
 
     def learn(self, words: list[str]) -> None:
-        if len(self.memory) + len(words) > self.remembered:
-            self.memory.clear()
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(min(len(w), LONG + 1), []).append(w)
@@ -219,12 +217,12 @@ class Agenda:
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [_SEGMENTS.findall(((MARK if self.prefix else "") + t).replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in split for w in words if w not in self.memory}
-        if new:
-            before = len(self.memory)
-            self.learn(list(new))
-            if len(self.memory) < before + len(new):  # it was cleared: some words may be gone
-                self.learn(list({w for words in split for w in words if w not in self.memory}))
+        seen = set().union(*split)
+        new = [w for w in seen if w not in self.memory]
+        if len(self.memory) + len(new) > self.remembered:
+            self.memory.clear()
+            new = list(seen)
+        self.learn(new)
         get = self.memory.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), dtype="<i4") for words in split]
 

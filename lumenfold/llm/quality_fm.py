@@ -153,7 +153,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: i
     rng = np.random.default_rng(cfg.seed)
     fm = FM(0.0, np.zeros(size), rng.normal(0, 0.05, (size, cfg.rank)))
     if not len(rows):
-        return fm
+        return FM(0.0, fm.w, np.zeros_like(fm.v))
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     fm.w0 = float(np.log(share / (1 - share)))
     m1, m2 = np.zeros((size, cfg.rank + 1)), np.full((size, cfg.rank + 1), 1e-8)

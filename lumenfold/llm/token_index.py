@@ -21,9 +21,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,7 +178,7 @@ class ShardReader:
         slots = self.table.slots(codes)
         there = slots >= 0
         there[there] = self.prints[slots[there]] == (_mix(codes[there], 3) >> _U(32)).astype(np.uint32)
-        return np.where(there, self.numbers[np.where(there, slots, 0)] if self.documents else 0, -1).astype(np.int64)
+        return np.where(there, self.numbers[np.where(there, slots, 0)].astype(np.int64) if self.documents else 0, -1)
 
     def ids(self, number: int) -> np.ndarray:
         first = int(self.ends[number - 1]) if number else 0
@@ -190,19 +193,25 @@ class ShardReader:
         self.file.close()
 
 
-#: What must hold of a tokenizer for its texts to be encoded by parts between spaces: white space
-#: becomes one space and no token takes one in.
-_PARTED = ("\\s+", " ")
+# The pattern of the pre-tokenizer whose texts may be encoded by parts.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIGNS = r"!-&(-@\[-`{-~"  # ASCII digits and punctuation without the apostrophe, which may begin a contraction
+#: Parts that no token crosses: letters up to a sign or space, signs up to a letter or space, or
+#: all up to the next space.
+_PARTS = re.compile(f"[{_LETTERS}]++(?=[{_SIGNS} \n]|\\Z)|[{_SIGNS}]++(?=[{_LETTERS} \n]|\\Z)|[^ \n]+")
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library; parts between spaces are remembered.
+    """Encodes texts with the tokenizers library; parts of texts are remembered.
 
-    A tokenizer that might take a space into a token is given whole texts.  The first text of
-    every block is also encoded whole and must agree.
+    Parts are cut only for a tokenizer with WORD_PATTERN, and not in texts that may hold an added
+    token; others are encoded whole.  The first text of every block is also encoded whole and
+    must agree.
     """
 
-    def __init__(self, path: str, end_id: int, remembered: int = 300_000):
+    def __init__(self, path: str, end_id: int, remembered: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -210,34 +219,45 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind, self.end = f"<u{self.id_bytes}", np.array([end_id], dtype=f"<u{self.id_bytes}").tobytes()
+        self.code = "H" if self.id_bytes == 2 else "I"
+        self.end = self._raw([end_id])
         self.memory: dict[str, bytes] = {}
         self.remembered = remembered
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
-        squeezed = any(s.get("type") == "Replace" and (s["pattern"].get("Regex"), s["content"]) == _PARTED for s in steps)
+        squeezed = any(s.get("type") == "Replace" and (s["pattern"].get("Regex"), s["content"]) == ("\\s+", " ") for s in steps)
+        plain = squeezed and all(s.get("type") in ("NFC", "Replace", "Lowercase") for s in steps)
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        dropped = any(s.get("type") == "Split" and s["behavior"] == "Removed" and s["invert"] and "[^\\s" in s["pattern"].get("Regex", "") for s in splits)
-        plain = all(s.get("type") in ("NFC", "Replace", "Lowercase") for s in steps) and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec.get("added_tokens", []))
-        self.parted = squeezed and dropped and plain and not spec.get("post_processor") and not spec.get("truncation")
+        worded = [s.get("type") for s in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"].get("Regex") == WORD_PATTERN and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.parted = bool(plain and worded) and not spec.get("post_processor") and not spec.get("truncation")
+
+    def _raw(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._raw(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw ids of each text, with the end id."""
         texts = [t or "" for t in texts]
         if not self.parted:
             return [x + self.end for x in self._whole(texts)]
-        split = [t.split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.memory}
-        if len(self.memory) + len(new) > self.remembered:
-            self.memory.clear()
-            new = {w for words in split for w in words}
+        split = [_PARTS.findall(t) for t in texts]
+        memory = self.memory
+        seen = set().union(*split)
+        new = [w for w in seen if w not in memory]
+        if len(memory) + len(new) > self.remembered:
+            memory.clear()
+            new = list(seen)
         if new:
-            listed = list(new)
-            self.memory.update(zip(listed, self._whole(listed), strict=True))
-        get = self.memory.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+            memory.update(zip(new, self._whole(new), strict=True))
+        out = [b"".join(map(memory.__getitem__, parts)) for parts in split]
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         if texts and out[0] != self._whole(texts[:1])[0]:
             raise ValueError("parts and whole text are encoded differently")
         return [x + self.end for x in out]
