@@ -14,9 +14,9 @@ components.
 
 Hot groups: equal word sequences are one representative from the start (combined before the
 shuffle); a bucket's members are first compared with its least member; then, in buckets that
-still hold several classes, members of different classes are held against each other by
-their sketches in blocks of ``block`` rows, and those that may reach the threshold are
-verified too.  No bucket's pairs are all emitted, and no link between candidates is lost.
+still hold several classes, members of different classes are held against each other in
+blocks of ``block`` rows until their classes are joined.  No bucket's pairs are emitted, and no
+link between the classes of candidates is lost.
 
 Defined results: a text without words (or null) is a class of its own and never a copy;
 texts of one to four words have a single shingle; the class id is the least id in it, and a
@@ -54,7 +54,9 @@ class NearConfig:
     ell: int = 2
     bands: int = 16
     rows: int = 2
+    #: Texts, and shingles, of a bucket that a block holds.
     block: int = 512
+    block_words: int = 1 << 21
     #: Least share of equal sketch values for a pair from a bucket's blocks to be verified; at
     #: the threshold about threshold**ell of them are equal, and a quarter is five deviations less.
     sketch_share: float = 0.25
@@ -214,30 +216,54 @@ def verified(pairs: DataFrame, words: DataFrame, cfg: NearConfig) -> DataFrame:
     return map_rows(two, ["a", "b", "words_a", "words_b"], "a long, b long, sim double", make).where(F.col("sim") >= cfg.threshold)
 
 
-def _cross_pairs(members: DataFrame, cfg: NearConfig) -> DataFrame:
-    """Pairs of different classes in a bucket whose sketches allow the threshold, by blocks."""
+def _links_between(members: DataFrame, cfg: NearConfig) -> DataFrame:
+    """Links (a, b) that join different classes of a bucket, by pairs of blocks.
+
+    A pair of blocks goes through its pairs of texts whose classes are not yet joined there, most
+    alike sketches first, and verifies them; a pair is tried only in the first band that it shares.
+    At most one link for each class comes out of a pair of blocks.
+    """
     least = int(cfg.sketch_share * cfg.bands * cfg.rows)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if pdf["bi"].iloc[0] == pdf["bj"].iloc[0]:
             right = left
-        out = []
+        links: list[tuple[int, int]] = []
         if len(left) and len(right):
-            s, label, ids, n = np.stack(right["sketch"]), right["label"].to_numpy(), right["rep"].to_numpy(), right["n"].to_numpy()
-            for x, c, i, k in zip(left["sketch"], left["label"], left["rep"], left["n"], strict=True):
-                far = np.flatnonzero((label != c) & (np.minimum(n, k) >= np.floor(cfg.threshold * np.maximum(n, k))))
-                hit = far[(s[far] == np.asarray(x)[None, :]).sum(1) >= least]
-                out += [(min(i, j), max(i, j)) for j in ids[hit]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
-
-    blocks = F.ceil(F.col("members") / cfg.block).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            band = int(pdf["band"].iloc[0])
+            names, roots = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+            roots = dict(zip(pdf.index, roots.tolist(), strict=True))
+            root = np.arange(len(names))
+            mine, theirs = np.array([roots[k] for k in left.index]), np.array([roots[k] for k in right.index])
+            sketch, n, ids, words = np.stack(right["sketch"]), right["n"].to_numpy(), right["rep"].to_numpy(), right["words"].to_numpy()
+            kept: dict[int, np.ndarray] = {}
+
+            def shingles(i: int, w: np.ndarray) -> np.ndarray:
+                if i not in kept:
+                    kept[i] = labelled_shingles(np.asarray(w, dtype=np.int32), cfg.k)
+                return kept[i]
+
+            for x, own, i, w, k in zip(left["sketch"], mine, left["rep"], left["words"], left["n"], strict=True):
+                far = np.flatnonzero((root[theirs] != root[own]) & (np.minimum(n, k) >= np.floor(cfg.threshold * np.maximum(n, k))))
+                if not len(far):
+                    continue
+                same = sketch[far] == np.asarray(x)[None, :]
+                alike = same.sum(1)
+                first = same.reshape(len(far), cfg.bands, cfg.rows).all(2).argmax(1)
+                good = (alike >= least) & (first == band)
+                for at in far[good][np.argsort(-alike[good], kind="stable")]:
+                    if root[theirs[at]] != root[own] and similarity(shingles(i, w), shingles(ids[at], words[at]), cfg.threshold) >= cfg.threshold:
+                        links.append((min(i, ids[at]), max(i, ids[at])))
+                        root[root == root[theirs[at]]] = root[own]
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    own = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     to = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least("block", k).alias("bi"), F.greatest("block", k).alias("bj"), (F.col("block") > k).cast("int").alias("side")),
     )
-    dealt = own.select("bucket", "rep", "n", "sketch", "label", F.inline(to))
+    dealt = own.select("bucket", "band", "rep", "n", "sketch", "words", "label", F.inline(to))
     return dealt.groupBy("bucket", "bi", "bj").applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -248,19 +274,18 @@ def classes(docs: DataFrame, cfg: NearConfig | None = None, *, key: str = "doc_i
     reps = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("m"), F.count(F.lit(1)).alias("copies"))
     reps = written(reps.select("digest", F.col("m.id").alias("rep"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch"), "copies"), "reps")
     band = F.array(*[F.xxhash64(F.lit(b), *[F.col("sketch")[b * cfg.rows + r] for r in range(cfg.rows)]) for b in range(cfg.bands)])
-    keyed = reps.select("rep", "n", F.explode(band).alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = written(keyed.join(shared, "bucket").select("bucket", "rep", "n", "members", F.col("least.rep").alias("least"), F.col("least.n").alias("least_n")), "buckets")
+    keyed = reps.select("rep", "n", F.posexplode(band).alias("band", "bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("least"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size")).where("members > 1")
+    blocks = F.ceil(F.greatest(F.col("members") / cfg.block, F.col("size") / cfg.block_words)).cast("int").alias("blocks")
+    buckets = written(keyed.join(shared, "bucket").select("bucket", "band", "rep", "n", blocks, F.col("least.rep").alias("least"), F.col("least.n").alias("least_n")), "buckets")
     pairs = buckets.where((F.col("rep") != F.col("least")) & _alike("n", "least_n", cfg)).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     words = rows.select("id", "words").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    tried = cut(pairs)
-    links = cut(verified(tried, words, cfg).select("a", "b"))
+    links = cut(verified(pairs, words, cfg).select("a", "b"))
     labels = min_labels(links, "a", "b")
-    labelled = buckets.join(labels, buckets["rep"] == labels["id"], "left").select("bucket", "rep", "n", "members", F.coalesce("label", "rep").alias("label"))
+    labelled = buckets.join(labels, buckets["rep"] == labels["id"], "left").select("bucket", "band", "rep", "n", "blocks", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    left = labelled.join(mixed, "bucket").join(reps.select("rep", "sketch"), "rep")
-    more = _cross_pairs(left, cfg).join(tried, ["a", "b"], "left_anti")
-    found = cut(verified(more, words, cfg).select("a", "b"))
+    left = labelled.join(mixed, "bucket").join(reps.select("rep", "sketch"), "rep").join(words.withColumnRenamed("id", "rep"), "rep")
+    found = cut(_links_between(left, cfg))
     if found.limit(1).count():
         ends = found.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
         # Both ends of a new link now belong to one class: classes are joined by their labels.

@@ -220,7 +220,7 @@ def near_rows():
 
 def test_near_duplicate_classes_match_brute_force(spark):
     rows = near_rows()
-    for cfg in (order_minhash.NearConfig(), order_minhash.NearConfig(block=3)):
+    for cfg in (order_minhash.NearConfig(), order_minhash.NearConfig(block=3), order_minhash.NearConfig(block_words=500)):
         got = {r.id: r.class_id for r in order_minhash.classes(docs(spark, []).sparkSession.createDataFrame(rows, "doc_id long, text string"), cfg).collect()}
         assert got == brute_classes(rows)
 
