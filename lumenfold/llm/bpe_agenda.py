@@ -27,7 +27,8 @@ from lumenfold.llm.arrow import map_rows
 
 MARK = "▁"
 LONG = 48
-_SEGMENTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Spaces stand for word marks until they are looked up.
+_SEGMENTS = re.compile(" *[^ ]+| +")
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -98,6 +99,7 @@ class Agenda:
         for p in normal:
             for c in p:
                 self.symbols.setdefault(c, len(pieces) + len(self.symbols))
+        self.symbols[" "] = self.symbols[MARK]
         self.n_pieces = len(pieces)
         order = {s: k for k, s in enumerate(sorted({pieces[i].score for i in normal.values()}, reverse=True))}
         rows = []
@@ -216,7 +218,8 @@ class Agenda:
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        split = [_SEGMENTS.findall(((MARK if self.prefix else "") + t).replace(" ", MARK)) if t else [] for t in texts]
+        first = " " if self.prefix else ""
+        split = [_SEGMENTS.findall(first + t.replace(MARK, " ")) if t else [] for t in texts]
         seen = set().union(*split)
         new = [w for w in seen if w not in self.memory]
         if len(self.memory) + len(new) > self.remembered:
