@@ -81,7 +81,7 @@ def silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
     by_label = against(rows, rows, sums, "i long, other long, s double, n long").groupBy("i", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = by_label.join(labels.select("i", "label"), "i")
     each = own.groupBy("i").agg(
-        F.max(F.when(F.col("other") == F.col("label"), F.col("s") / (F.col("n") - 1))).alias("a"),
+        F.max(F.when((F.col("other") == F.col("label")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"),
         F.min(F.when(F.col("other") != F.col("label"), F.col("s") / F.col("n"))).alias("b"),
         F.max(F.when(F.col("other") == F.col("label"), F.col("n"))).alias("size"),
     )
