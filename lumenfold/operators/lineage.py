@@ -25,7 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+_MADE: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that ``shared_path`` has named in this process; results that still read them
+    must be written first.  Checkpoints are left to Spark's own cleaner."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -106,6 +106,13 @@ def validate_files(spark: SparkSession, expected: dict[str, int], least_bytes: i
     return spark.createDataFrame(rows, "path string, rows long, expected long, bytes long, ok boolean")
 
 
+def read_test_timings(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seconds) of the test cases of JUnit XML files."""
+    fields = "_classname string, _name string, _time double"
+    cases = spark.read.format("xml").option("rowTag", "testcase").schema(fields).load(path)
+    return cases.select(F.concat_ws("::", "_classname", "_name").alias("name"), F.col("_time").alias("seconds"))
+
+
 def upsert_manifest(old: DataFrame, new: DataFrame, key: str = "dataset") -> DataFrame:
     """New entries, and the old ones that have not been made again."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

@@ -55,6 +55,13 @@ def test_metadata_manifest_validation(spark, tmp_path):
     assert sorted(map(tuple, stores.upsert_manifest(old, spark.createDataFrame([("b", 2), ("c", 2)], "dataset string, v int")).collect())) == [("a", 1), ("b", 2), ("c", 2)]
 
 
+def test_timings_of_test_cases(spark, tmp_path):
+    from lumenfold.functions.quality import slowest
+
+    (tmp_path / "j.xml").write_text('<testsuites><testsuite name="s"><testcase classname="a" name="x" time="0.5"/><testcase classname="a" name="y" time="2.25"><failure/></testcase></testsuite></testsuites>')
+    assert [tuple(r) for r in slowest(stores.read_test_timings(spark, str(tmp_path / "j.xml"))).collect()] == [("a::y", 2.25), ("a::x", 0.5)]
+
+
 def test_export_all_collects_failures(spark, tmp_path):
     def embed(e, v, dims):
         if v.count() < 3:
@@ -100,7 +107,13 @@ def test_lineage_uses_the_shared_folder(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert cut(spark.range(5)).count() == 5
     back = written(spark.range(5), "numbers")
+    from pathlib import Path
+
+    from lumenfold.operators.lineage import clear
+
     assert back.count() == 5 and back.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark))
+    folder = Path(back.inputFiles()[0].removeprefix("file://")).parent
+    assert clear(spark) >= 1 and not folder.exists()
 
 
 def test_streams(spark, tmp_path):
