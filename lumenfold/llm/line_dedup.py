@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.lineage import cut, written
+
 LINE_HASH, LINE_PAGES = "__line_hash", "__line_pages"
 
 
@@ -61,13 +63,15 @@ def drop_boilerplate(
 
     ``force``: "broadcast" or "shuffle", for tests; else the measured size decides.
     """
-    found = boilerplate(pages, site=site, text=text, ratio=ratio, min_pages=min_pages).checkpoint()
+    found = boilerplate(pages, site=site, text=text, ratio=ratio, min_pages=min_pages)
+    found = cut(found)
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(F.col(text))))
     if (force or ("broadcast" if found.count() <= broadcast_rows else "shuffle")) == "broadcast":
         by_site = F.broadcast(found.groupBy("__site").agg(F.collect_list(LINE_HASH).alias("__bad")))
         joined = pages.withColumn("__site", F.col(site)).join(by_site, "__site", "left")
     else:
-        rows = pages.withColumn("__row", F.monotonically_increasing_id())
+        # Row ids are read by two branches, which must see the same ones: they are written first.
+        rows = written(pages.withColumn("__row", F.monotonically_increasing_id()), "pages")
         own = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), line_hash), lambda h: h.isNotNull()))
         salted = found.select("__site", LINE_HASH, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
         hits = (

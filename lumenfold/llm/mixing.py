@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 1. Sizes (words) are summed by source and block; a block is one of ``blocks`` hash classes
-   of a source's documents.  That table has at most ``blocks`` rows a source, and only it
-   comes to the driver.
+   of a source's documents.  That table has at most ``most_blocks`` rows (while there are no
+   more sources than that), and only it comes to the driver.
 2. Targets: sources, in code-point order with null last, weigh 3, 1, 2, repeating, and share
    ``share`` times all sizes; a target stops at ``most`` times its source's size, and the
    excess is shared again by weight until none is above.
@@ -22,7 +22,7 @@ block and so are taken alike; other columns pass through, but for those with the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +38,8 @@ class MixConfig:
     share: float = 1.5
     most: float = 2.0
     blocks: int = 1024
+    #: Bound on the blocks of all sources, whose sums and draws the driver handles.
+    most_blocks: int = 1 << 18
     shards: int = 64
     seed: int = 23
     #: The plan is broadcast up to so many rows, counted; beyond that it is joined by shuffle.
@@ -108,6 +110,12 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_quotas(drawn, left, rng), split_quotas(quotas - drawn, shards - left, rng)])
 
 
+def _fitted(docs: DataFrame, cfg: MixConfig, source: str) -> MixConfig:
+    """``cfg`` with so few blocks a source that all blocks number at most ``most_blocks``."""
+    sources = docs.select(source).distinct().count()
+    return replace(cfg, blocks=max(1, min(cfg.blocks, cfg.most_blocks // max(1, sources))))
+
+
 def _block(key: Column, cfg: MixConfig) -> Column:
     return F.pmod(F.xxhash64(F.lit(cfg.seed), key), F.lit(cfg.blocks)).cast("int")
 
@@ -156,7 +164,7 @@ def _sized(docs: DataFrame, cfg: MixConfig, key: str, text: str, source: str) ->
 
 def takes(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with size, source_size, target and taken (words that the mix takes of a row)."""
-    cfg = cfg or MixConfig()
+    cfg = _fitted(docs, cfg or MixConfig(), source)
     sized = _sized(docs, cfg, key, text, source)
     draws, totals = plan(docs.sparkSession, sized.select("__source", "__block", "size"), cfg)
     times = draws.groupBy("__source", "__block").agg(F.count(F.lit(1)).alias("__times"))
@@ -175,7 +183,7 @@ def mix(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", t
 
     A row stands once for each draw of its block.  Sort by shard and place to write shards.
     """
-    cfg = cfg or MixConfig()
+    cfg = _fitted(docs, cfg or MixConfig(), source)
     sized = _sized(docs, cfg, key, text, source)
     draws, _ = plan(docs.sparkSession, sized.select("__source", "__block", "size"), cfg)
     draws = draws.select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), "round", "shard")

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.lineage import written
+
 MAX_PATH = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_SCHEMA = "rule_host string, rule_path string, verdict string"
@@ -71,13 +73,15 @@ def filter_urls(
     rows = pages.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("__row"))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     pairs = F.flatten(F.transform(_suffixes(F.col("host")), lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
-    expanded = rows.where(F.col("host") != "").select("__row", F.explode(pairs).alias("__full")).withColumn("__short", F.substring("__full", 1, 8))
     if (force or ("broadcast" if known["rules"] <= broadcast_rules else "shuffle")) == "broadcast":
         met = rows.select("*", F.explode_outer(F.when(F.col("host") != "", pairs)).alias("__page"))
         met = met.withColumn("__short", F.substring("__page", 1, 8)).join(F.broadcast(keyed), "__short", "left")
         best = met.groupBy("__row", *own, "host", "path").agg(F.max(F.when(F.col("__page") == F.col("__full"), F.col("__rank"))).alias("__rank"))
     else:
-        dealt = expanded.select("__row", F.col("__full").alias("__page"), "__short", F.pmod(F.hash("__row"), F.lit(salts)).alias("__salt"))
+        # Row ids are read by two branches, which must see the same ones: they are written first.
+        rows = written(rows, "urls")
+        expanded = rows.where(F.col("host") != "").select("__row", F.explode(pairs).alias("__page"))
+        dealt = expanded.select("__row", "__page", F.substring("__page", 1, 8).alias("__short"), F.pmod(F.hash("__row"), F.lit(salts)).alias("__salt"))
         spread = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
         hits = dealt.join(spread.hint("merge"), ["__short", "__salt"]).where(F.col("__page") == F.col("__full")).groupBy("__row").agg(F.max("__rank").alias("__rank"))
         best = rows.join(hits, "__row", "left")
