@@ -30,20 +30,21 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A text is kept while ``low <= metric <= high``."""
+    """A text of at least ``words`` words is kept while ``low <= metric <= high``."""
 
     metric: str
     low: float | None = None
     high: float | None = None
+    words: int = 0
 
 
 #: The table: length, symbol, stop-word and line ratios.
 RULES = (
     Rule("n_words", low=10),
     Rule("mean_word_chars", low=2, high=20),
-    Rule("symbols_per_word", high=0.2),
+    Rule("symbols_per_word", high=0.1),
     Rule("dup_line_ratio", high=0.5),
-    Rule("stop_word_ratio", low=0.02),
+    Rule("stop_word_ratio", low=0.02, words=30),
     Rule("upper_word_ratio", high=0.5),
 )
 
@@ -129,10 +130,11 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     """The whole table as one boolean expression."""
     ok = F.lit(True)
     for rule in rules:
+        short = F.col("n_words") < rule.words
         if rule.low is not None:
-            ok = ok & (F.col(rule.metric) >= rule.low)
+            ok = ok & (short | (F.col(rule.metric) >= rule.low))
         if rule.high is not None:
-            ok = ok & (F.col(rule.metric) <= rule.high)
+            ok = ok & (short | (F.col(rule.metric) <= rule.high))
     return ok
 
 

@@ -128,7 +128,9 @@ def _op10_sql() -> str:
     stops = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
     checks = []
     for r in quality_rules.RULES:
-        checks += [f"{r.metric} >= {r.low}"] * (r.low is not None) + [f"{r.metric} <= {r.high}"] * (r.high is not None)
+        for sign, bound in ((">=", r.low), ("<=", r.high)):
+            if bound is not None:
+                checks.append(f"(n_words < {r.words} OR {r.metric} {sign} {bound})")
     return f"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,

@@ -190,7 +190,7 @@ def test_rules_keep_prose_and_name_what_failed(spark):
     rows = [(1, prose, "s"), (2, prose.upper(), "s"), (3, " ".join(w + "##" for w in prose.split()), "s"), (4, "too short", "s")]
     got = {r.doc_id: r for r in quality_rules.apply_rules(docs(spark, rows)).collect()}
     assert got[1].kept and not got[2].kept and not got[3].kept and not got[4].kept
-    assert got[2].failed_rules == ["upper_word_ratio"] and got[3].failed_rules == ["symbols_per_word", "stop_word_ratio"] and "n_words" in got[4].failed_rules
+    assert got[2].failed_rules == ["upper_word_ratio"] and got[3].failed_rules == ["symbols_per_word"] and "n_words" in got[4].failed_rules
     assert quality_rules.apply_rules(docs(spark, [])).count() == 0
 
 
