@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,22 +17,48 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 ROWS = 512
 
 
+#: What the tasks of one operator share in a worker: models and words seen.  One operator's at a
+#: time, so that a worker that lives on does not gather those of all stages of a pipeline.
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable[[], object]) -> object:
+    """The object of this key, built where the worker does not hold it yet."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release(key: tuple | None = None) -> None:
+    """Let go of what is held for other keys, and give free memory back to the system."""
+    if any(k != key for k in _HELD):
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(AttributeError, OSError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
     schema: str | StructType,
     make: Callable[[], Callable[[list[list]], list[list]]],
+    key: tuple | None = None,
 ) -> DataFrame:
     """Map rows in small blocks on executors, without a shuffle.
 
     ``make()`` runs once per task (load models there) and returns a function from input
     columns, as lists, to output columns, as lists of equal length.  Only ``columns`` are
-    read, so that the scan is pruned to them.
+    read, so that the scan is pruned to them.  ``key``: of what ``make`` holds across tasks.
     """
     out = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(key)
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

@@ -23,7 +23,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lumenfold.llm.arrow import map_rows
+from lumenfold.llm.arrow import held, map_rows
 
 MARK = "▁"
 LONG = 48
@@ -230,15 +230,10 @@ class Agenda:
         return [np.frombuffer(b"".join(map(get, words)), dtype="<i4") for words in split]
 
 
-_LOADED: dict[str, tuple[Agenda, object]] = {}
-
-
 def _load(path: str) -> tuple[Agenda, object]:
-    if path not in _LOADED:
-        from sentencepiece import SentencePieceProcessor
+    from sentencepiece import SentencePieceProcessor
 
-        _LOADED[path] = (Agenda(path), SentencePieceProcessor(model_file=path))
-    return _LOADED[path]
+    return Agenda(path), SentencePieceProcessor(model_file=path)
 
 
 def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -250,8 +245,10 @@ def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", keep:
     keep = keep or ["doc_id"]
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
+    key = ("pieces", model_path)
+
     def make():
-        agenda, library = _load(model_path)
+        agenda, library = held(key, lambda: _load(model_path))
 
         def block(columns: list[list]) -> list[list]:
             texts = [t or "" for t in columns[-1]]
@@ -270,4 +267,4 @@ def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", keep:
         return block
 
     schema = f"{types}, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean" + ", ids array<int>" * with_ids
-    return map_rows(docs, [*keep, text], schema, make)
+    return map_rows(docs, [*keep, text], schema, make, key)

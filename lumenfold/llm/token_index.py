@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.llm.arrow import held, release
 from lumenfold.operators.lineage import shared_path
 
 MAGIC = b"LFTOKID1"
@@ -263,15 +264,6 @@ class WordEncoder:
         return [x + self.end for x in out]
 
 
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
-
-
-def _encoder(path: str, end_id: int) -> WordEncoder:
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
-
-
 def write_shards(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, shards: int | None = None, folder: str | None = None) -> DataFrame:
     """Write shards and return their manifest: shard, path, documents, tokens, in key order.
 
@@ -287,8 +279,11 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", t
     frame = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     ordered = frame.repartitionByRange(shards, "__key").withColumn("__part", F.spark_partition_id()).sortWithinPartitions("__key", F.xxhash64("__text"))
 
+    mine = ("words", tokenizer_path, end_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path, end_id)
+        release(mine)
+        encoder = held(mine, lambda: WordEncoder(tokenizer_path, end_id))
         writer, part, path = None, -1, ""
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
