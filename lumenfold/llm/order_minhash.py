@@ -303,5 +303,5 @@ def keep_one(docs: DataFrame, cfg: NearConfig | None = None, *, key: str = "doc_
     """``docs`` with one row of each class; rows without words or without an id stay."""
     found = classes(docs.where(F.col(key).isNotNull()), cfg, key=key, text=text)
     kept = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias(key)).distinct()
-    chosen = docs.join(kept, key, "left_semi").dropDuplicates([key])
+    chosen = docs.join(kept, key, "left_semi").dropDuplicates([key, text])
     return chosen.unionByName(docs.where(F.col(key).isNull()))
