@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +140,25 @@ def ulp_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs(order(a) - order(b))
 
 
+def ulp_distances(pairs: DataFrame) -> DataFrame:
+    """(i, ulps) of (i, a, b): how many doubles lie between a and b, in Arrow batches."""
+    @F.pandas_udf("long")
+    def between(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(ulp_distance(a.to_numpy(), b.to_numpy()))
+
+    return pairs.select("i", between("a", "b").alias("ulps"))
+
+
+def margins(worst: DataFrame, threshold: float) -> DataFrame:
+    """(c, margin) of (c, residual): threshold over residual; infinity at 0."""
+    return worst.select("c", F.when(F.col("residual") == 0, F.lit(math.inf)).otherwise(threshold / F.col("residual")).alias("margin"))
+
+
+def rotation_bounds(solves: DataFrame) -> DataFrame:
+    """(name, bound) of (name, iterations, nnz, gap), as rotation_bound."""
+    return solves.select("name", (F.col("iterations") * F.col("nnz") * float(np.finfo(float).eps) / F.col("gap")).alias("bound"))
+
+
 def product_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     """max_abs and rms of the difference of two vectors (i, y)."""
     d = F.col("y") - F.col("z")

@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators.lineage import cut
 
 
-def min_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+#: Up to so many stored edges, counted, the components of a graph are found within one task.
+LOCAL_EDGES = 500_000
+
+
+def _settle(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and smallest node of their component, for edges that fit in memory."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _local_labels(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        parts = [(pdf["a"].to_numpy(), pdf["b"].to_numpy()) for pdf in batches if len(pdf)]
+        if parts:
+            nodes, labels = _settle(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            yield pd.DataFrame({"id": nodes, "label": labels})
+
+    return edges.coalesce(1).mapInPandas(run, "id long, label long")
+
+
+def min_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100, local_edges: int = 0) -> DataFrame:
     """(id, label) of every node that has an edge; label is the smallest id of its component.
 
     Edges count in both directions.  Each round takes the smallest label around a node and then
@@ -17,6 +49,8 @@ def min_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if local_edges and both.limit(local_edges + 1).count() <= local_edges:
+        return _local_labels(both)
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(max_rounds):
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
@@ -30,12 +64,13 @@ def min_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(i, label): components numbered from 0 by their smallest node; isolated nodes included.
 
-    Stored edges count whatever their weight.
+    Stored edges count whatever their weight.  Small graphs, by a count of their edges, are settled
+    within a task; others by rounds of joins.
     """
-    found = min_labels(edges, "i", "j")
+    found = min_labels(edges, "i", "j", local_edges=local_edges)
     least = vertices.select("i").join(found, vertices["i"] == found["id"], "left").select("i", F.coalesce("label", "i").alias("least"))
     # One row a component: numbering them is the only global step.
     order = least.where(F.col("least") == F.col("i")).select("least", (F.row_number().over(Window.orderBy("least")) - 1).cast("int").alias("label"))

@@ -74,6 +74,11 @@ def prune(edges: DataFrame, n: int, epochs: int | None = None) -> DataFrame:
     return edges.join(F.broadcast(most)).where(F.col("w") >= F.col("most") / (epochs or n_epochs(n))).select("i", "j", "w")
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(i, nbrs array of (j, w)): a row for each node that has edges, neighbours ascending."""
+    return edges.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("nbrs"))
+
+
 def asymmetry(edges: DataFrame) -> DataFrame:
     """One row: max_diff between A and At, and whether it is under 1e-10."""
     both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("w")).alias("w")))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,6 +179,19 @@ def symmetry_check(spark, sf):
     return _rounded(fuzzy.asymmetry(_graph(_points(spark, sf))), "max_diff")
 
 
+@_query(_to(6) + "SELECT i, count(*) AS degree, string_agg(j::VARCHAR, ',' ORDER BY j) AS js FROM pruned GROUP BY i")
+def adjacency_rows(spark, sf):
+    a = fuzzy.adjacency(_graph(_points(spark, sf)))
+    return a.select("i", F.size("nbrs").cast("bigint").alias("degree"), F.array_join(F.transform("nbrs", lambda e: e["j"].cast("string")), ",").alias("js"))
+
+
+@_query("SELECT vec_id AS i, true AS on_target FROM embeddings")
+def bandwidth_targets(spark, sf):
+    """The weights of every point's neighbours add up to log2(k)."""
+    sums = _directed(_points(spark, sf)).groupBy("i").agg(F.sum("w").alias("s"))
+    return sums.select("i", (F.abs(F.col("s") - F.log2(F.lit(float(K)))) < 1e-6).alias("on_target"))
+
+
 # Laplacians.
 
 
@@ -412,6 +427,35 @@ def product_divergence(spark, sf):
     return _rounded(spectral.product_divergence(*y), "max_abs", "rms")
 
 
+@_query(_with(*_GRAPH_PARTS, _VEC, _LAM_SQL, _RES) + "SELECT c, round(1e-5::DOUBLE / residual, 9) AS margin FROM res")
+def tolerance_margins(spark, sf):
+    p = _points(spark, sf)
+    return spectral.margins(spectral.residuals(_lap(p), _lam(spark), _vectors(p)), spectral.LOBPCG_GATE).select("c", F.round("margin", 9).alias("margin"))
+
+
+_SOLVES = [("ring", 900, 10_000, 4.9e-6), ("blobs", 120, 75_000, 0.01)]
+
+
+@_query("SELECT name, iterations * nnz * 2.220446049250313e-16::DOUBLE / gap AS bound FROM (VALUES " + ", ".join(f"('{a}', {b}, {c}, {d}::DOUBLE)" for a, b, c, d in _SOLVES) + ") t(name, iterations, nnz, gap)")
+def rotation_bounds(spark, sf):
+    return spectral.rotation_bounds(spark.createDataFrame(_SOLVES, "name string, iterations long, nnz long, gap double"))
+
+
+@_query("SELECT vec_id AS i, 1::BIGINT AS ulps FROM embeddings")
+def ulp_distances(spark, sf):
+    """One step up from each number is one double away."""
+    p = _points(spark, sf).select("i", F.abs(F.col("x")[0]).alias("a"))
+    return spectral.ulp_distances(p.select("i", "a", _next_up("a").alias("b")))
+
+
+def _next_up(name: str):
+    @F.pandas_udf("double")
+    def up(v: pd.Series) -> pd.Series:
+        return pd.Series(np.nextafter(v.to_numpy(), np.inf))
+
+    return up(name)
+
+
 # Embedding quality.
 
 

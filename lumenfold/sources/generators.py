@@ -162,3 +162,11 @@ def ring_laplacian(spark: SparkSession, n: int) -> DataFrame:
     """The Laplacian of a ring in closed form: 1 on the diagonal, -1/2 beside it."""
     side = spark.range(n).select(F.col("id").alias("i"), F.explode(F.array(F.pmod(F.col("id") + 1, F.lit(n)), F.pmod(F.col("id") - 1, F.lit(n)))).alias("j"), F.lit(-0.5).alias("l"))
     return side.unionByName(identity_laplacian(spark, n))
+
+
+def laplacian_with_roots(graph: Graph) -> tuple[DataFrame, DataFrame]:
+    """The Laplacian (i, j, l) of a generated graph and its (i, deg, sqrt_deg)."""
+    from lumenfold.operators.laplacian import degrees, laplacian
+
+    degs = degrees(*graph)
+    return laplacian(graph[0], degs), degs

@@ -88,7 +88,7 @@ def test_components_members_subgraphs(spark, partitions):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     firsts = sorted({root(x) for x in range(60)})
     labels = comp.components(e, v)
-    assert rows(labels, "i", "label") == [(x, firsts.index(root(x))) for x in range(60)]
+    assert rows(labels, "i", "label") == rows(comp.components(e, v, local_edges=0), "i", "label") == [(x, firsts.index(root(x))) for x in range(60)]
     members = {r.label: r.members for r in comp.component_members(labels).collect()}
     assert members[0] == [x for x in range(60) if root(x) == 0] and members[firsts.index(59)] == [59]
     sub = comp.subgraphs(e, labels).collect()
@@ -101,6 +101,7 @@ def test_components_members_subgraphs(spark, partitions):
 def test_components_of_a_long_path_and_of_no_edges(spark):
     e, v = gen.path(spark, 300)
     assert comp.components(e, v).where("label <> 0").count() == 0
+    assert comp.components(e, v, local_edges=0).where("label <> 0").count() == 0
     assert rows(comp.components(e.limit(0), v.limit(4)), "i", "label") == [(k, k) for k in range(4)]
     zero = spark.createDataFrame([(0, 1, 0.0), (1, 0, 0.0)], "i long, j long, w float")
     assert comp.components(zero, v.limit(2)).select("label").distinct().count() == 1
