@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.lineage import cut
+from lumenfold.operators.numbering import ONE_WINDOW, number_rows
 
 
 #: Up to so many stored edges, counted, the components of a graph are found within one task.
@@ -72,9 +73,8 @@ def components(edges: DataFrame, vertices: DataFrame, local_edges: int = LOCAL_E
     """
     found = min_labels(edges, "i", "j", local_edges=local_edges)
     least = vertices.select("i").join(found, vertices["i"] == found["id"], "left").select("i", F.coalesce("label", "i").alias("least"))
-    # One row a component: numbering them is the only global step.
-    order = least.where(F.col("least") == F.col("i")).select("least", (F.row_number().over(Window.orderBy("least")) - 1).cast("int").alias("label"))
-    return least.join(order, "least").select("i", "label")
+    order = number_rows(least.where(F.col("least") == F.col("i")).select("least"), "least", name="label")
+    return least.join(order, "least").select("i", F.col("label").cast("int"))
 
 
 def component_members(labels: DataFrame) -> DataFrame:
@@ -82,9 +82,20 @@ def component_members(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.array_sort(F.collect_list("i")).alias("members"))
 
 
+def local_numbers(labels: DataFrame, one_window: int = ONE_WINDOW) -> DataFrame:
+    """(i, label, li): nodes numbered from 0 by id within their component.
+
+    All nodes are numbered by (label, id), and a component's first number is taken off, so that a
+    component that holds most nodes is no task of its own.
+    """
+    numbered = number_rows(labels.select("i", "label"), "label", "i", one_window=one_window)
+    first = numbered.groupBy("label").agg(F.min("number").alias("first"))
+    return numbered.join(first, "label").select("i", "label", (F.col("number") - F.col("first")).alias("li"))
+
+
 def subgraphs(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, li, lj, w): edges within components, nodes numbered from 0 by id in each."""
-    local = labels.select("i", "label", (F.row_number().over(Window.partitionBy("label").orderBy("i")) - 1).cast("bigint").alias("li"))
+    local = local_numbers(labels)
     a = edges.join(local, "i")
     b = local.select(F.col("i").alias("j"), F.col("label").alias("other"), F.col("li").alias("lj"))
     return a.join(b, "j").where(F.col("label") == F.col("other")).select("label", "li", "lj", "w")

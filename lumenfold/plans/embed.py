@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators import multi
-from lumenfold.operators.components import components, subgraphs
+from lumenfold.operators.components import components, local_numbers, subgraphs
 from lumenfold.operators.laplacian import degrees, laplacian
 from lumenfold.operators.lineage import cut
 from lumenfold.operators.selection import add_noise, normalize_signs, scale_coords, select_eigenvectors, wide
@@ -92,9 +92,7 @@ def raw_coordinates(edges: DataFrame, vertices: DataFrame, dims: int = 2, seed:
     local = sizes.where(~tiny & (F.col("m") <= config.local_edges)).select("label")
     chosen = labels.join(local, "label", "left_semi")
     numbered = subgraphs(edges.select("i", "j", F.col("w").cast("float").alias("w")), chosen.select("i", "label"))
-    from pyspark.sql import Window
-
-    ids = chosen.select("i", "label", (F.row_number().over(Window.partitionBy("label").orderBy("i")) - 1).cast("bigint").alias("li"))
+    ids = local_numbers(chosen)
     parts = cut(_local(numbered, dims, seed, config)).join(ids, ["label", "li"]).select("label", "i", "c", "v", "level")
     for row in sizes.where(~tiny & (F.col("m") > config.local_edges)).select("label").collect():
         own = _large(edges, labels, row["label"], dims, seed, config)
@@ -133,9 +131,7 @@ def eigenpairs(edges: DataFrame, vertices: DataFrame, dims: int = 2, seed: int =
     n = validate(edges, vertices, dims)
     if edges.count() > config.local_edges:
         raise InvalidGraph("the graph is too large for one task; use plans.distributed.smallest_pairs")
-    from pyspark.sql import Window
-
-    ids = cut(vertices.select("i", (F.row_number().over(Window.orderBy("i")) - 1).cast("bigint").alias("li"), F.lit(0).alias("label")))
+    ids = cut(local_numbers(vertices.select("i", F.lit(0).alias("label"))))
     local = subgraphs(edges.select("i", "j", F.col("w").cast("float").alias("w")), ids.select("i", "label"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

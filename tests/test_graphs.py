@@ -98,6 +98,17 @@ def test_components_members_subgraphs(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_numbers_by_ranges(spark):
+    from lumenfold.operators.numbering import number_rows
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), F.lit("x").alias("number2")).repartition(5)
+    for limit in (10, 10_000):
+        assert rows(number_rows(df, "v", one_window=limit), "v", "number") == [(k, k) for k in range(1000)]
+    labels = spark.range(500).select(F.col("id").alias("i"), F.when(F.col("id") % 10 == 3, 1).otherwise(0).alias("label"))
+    assert rows(comp.local_numbers(labels, 10), "i", "label", "li") == rows(comp.local_numbers(labels), "i", "label", "li")
+    assert comp.local_numbers(labels, 10).where("label = 1").agg(F.max("li")).first()[0] == 49
+
+
 def test_components_of_a_long_path_and_of_no_edges(spark):
     e, v = gen.path(spark, 300)
     assert comp.components(e, v).where("label <> 0").count() == 0
