@@ -320,3 +320,45 @@ def test_agenda_is_the_library(spark):
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     assert bpe_agenda.encode_decode(docs(spark, texts).limit(0), path).count() == 0
+
+
+def test_workers_hold_the_objects_of_one_operator():
+    from lumenfold.llm import arrow
+
+    arrow.release()
+    a = arrow.held(("a",), list)
+    assert arrow.held(("a",), list) is a
+    arrow.release(("a",))
+    assert arrow.held(("a",), list) is a
+    arrow.held(("b",), list)
+    assert list(arrow._HELD) == [("b",)]
+    arrow.release()
+    assert not arrow._HELD
+
+
+def test_sketches_of_one_shingle_and_of_many():
+    s = order_minhash.Sketcher(order_minhash.NearConfig())
+    one = order_minhash.labelled_shingles(np.array([7, 8], dtype=np.uint32), 5)
+    assert len(one) == 1 and s.of(one).shape == (32,)
+    many = order_minhash.labelled_shingles(np.arange(70_000, dtype=np.uint32), 5)
+    assert (s.of(many) == s.of(many.copy())).all() and len(set(s.of(many).tolist())) == 32
+    near = many.copy()
+    near[100:600] = order_minhash.labelled_shingles(np.arange(90_000, 90_504, dtype=np.uint32), 5)
+    assert (s.of(many) == s.of(near)).mean() > 0.8
+
+
+def test_recall_of_bands_at_the_threshold():
+    """Pairs at a similarity of about 0.8 share a band in nearly all cases."""
+    rng = np.random.default_rng(7)
+    cfg = order_minhash.NearConfig()
+    s, met, tried = order_minhash.Sketcher(cfg), 0, 0
+    for _ in range(300):
+        words = rng.integers(0, 2**32, 300, dtype=np.uint32)
+        other = words.copy()
+        for at in rng.choice(300, 7, replace=False):
+            other[at] = rng.integers(0, 2**32, dtype=np.uint32)
+        a, b = order_minhash.labelled_shingles(words, 5), order_minhash.labelled_shingles(other, 5)
+        if 0.78 <= order_minhash.similarity(a, b) <= 0.85:
+            tried += 1
+            met += (s.of(a) == s.of(b)).reshape(cfg.bands, cfg.rows).all(1).any()
+    assert tried > 100 and met >= 0.99 * tried
