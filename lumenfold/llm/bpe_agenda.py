@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -74,7 +76,7 @@ class Pairs:
 class Agenda:
     """An encoder for a merge-type model; ``ids_of`` remembers the words that it has seen."""
 
-    def __init__(self, model_path: str, remembered: int = 800_000):
+    def __init__(self, model_path: str, remembered: int = 600_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -102,18 +104,24 @@ class Agenda:
         self.symbols[" "] = self.symbols[MARK]
         self.n_pieces = len(pieces)
         order = {s: k for k, s in enumerate(sorted({pieces[i].score for i in normal.values()}, reverse=True))}
-        rows = []
+        rows = array("q")
         for p, i in normal.items():
             for cut in range(1, len(p)):
                 a, b = self.symbols.get(p[:cut]), self.symbols.get(p[cut:])
                 if a is not None and b is not None:
-                    rows.append((a, b, order[pieces[i].score], i))
-        left, right, rank, merged = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
+                    rows.extend((a, b, order[pieces[i].score], i))
+        left, right, rank, merged = np.frombuffer(rows, dtype=np.int64).reshape(-1, 4).T
         self.pairs = Pairs(left, right, rank.astype(np.int32), merged.astype(np.int32))
-        self.table = dict(zip(zip(left.tolist(), right.tolist(), strict=True), zip(rank.tolist(), merged.tolist(), strict=True), strict=True))
+        self._merges = left, right, rank, merged
         self.spelled = np.array([f"{i},".encode() for i in range(self.n_pieces)])
         self.memory: dict[str, bytes] = {}
 
+    @cached_property
+    def table(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and merged symbol of each pair, for agendas in a heap; few words need it."""
+        left, right, rank, merged = (x.tolist() for x in self._merges)
+        return dict(zip(zip(left, right, strict=True), zip(rank, merged, strict=True), strict=True))
+
     def _spell(self, symbols: list[int], starts: list[int], word: str) -> list[int]:
         out: list[int] = []
         for k, s in enumerate(symbols):

@@ -84,7 +84,7 @@ class Features:
     def _slot(self, word: str) -> int:
         k = self.slots.get(word)
         if k is None:
-            if len(self.slots) > 300_000:
+            if len(self.slots) > 50_000:
                 self.slots.clear()
             k = self.slots[word] = zlib.crc32(word.encode()) % self.cfg.buckets
         return k
