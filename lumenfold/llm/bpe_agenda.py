@@ -213,35 +213,43 @@ class Agenda:
         return out
 
     def learn(self, words: list[str]) -> None:
-        by_length: dict[int, list[str]] = {}
+        by_length: dict[int, list[tuple[str, str]]] = {}
         for w in words:
-            by_length.setdefault(min(len(w), LONG + 1), []).append(w)
-        for length, group in by_length.items():
+            full = " " + w if self.prefix and w[0] != " " else w
+            by_length.setdefault(min(len(full), LONG + 1), []).append((w, full))
+        for length, pairs in by_length.items():
             if length > LONG:
-                self.memory.update((w, np.array(self.one(w), dtype="<i4").tobytes()) for w in group)
+                self.memory.update((w, np.array(self.one(full), dtype="<i4").tobytes()) for w, full in pairs)
                 continue
-            for at in range(0, len(group), 1 << 15):
-                part = group[at : at + (1 << 15)]
-                self.memory.update(zip(part, self._together(part, length), strict=True))
+            for at in range(0, len(pairs), 1 << 15):
+                part = pairs[at : at + (1 << 15)]
+                self.memory.update(zip([w for w, _ in part], self._together([full for _, full in part], length), strict=True))
+
+    def _words(self, text: str) -> list[str]:
+        """Words of a text; one that stands after a single mark is named without it."""
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if self.prefix and text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return _SEGMENTS.findall((" " if self.prefix else "") + text) if text else []
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        first = " " if self.prefix else ""
-        split = [_SEGMENTS.findall(first + t.replace(MARK, " ")) if t else [] for t in texts]
+        split = [self._words(t or "") for t in texts]
         seen = set().union(*split)
-        new = [w for w in seen if w not in self.memory]
+        new = seen.difference(self.memory)
         if len(self.memory) + len(new) > self.remembered:
             self.memory.clear()
-            new = list(seen)
-        self.learn(new)
+            new = seen
+        self.learn(list(new))
         get = self.memory.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), dtype="<i4") for words in split]
 
 
-def _load(path: str) -> tuple[Agenda, object]:
+def _load(path: str) -> tuple[Agenda, object, dict[bytes, tuple]]:
     from sentencepiece import SentencePieceProcessor
 
-    return Agenda(path), SentencePieceProcessor(model_file=path)
+    return Agenda(path), SentencePieceProcessor(model_file=path), {}
 
 
 def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -256,21 +264,32 @@ def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", keep:
     key = ("pieces", model_path)
 
     def make():
-        agenda, library = held(key, lambda: _load(model_path))
+        agenda, library, known = held(key, lambda: _load(model_path))
+
+        def results(texts: list[str]) -> list[tuple]:
+            out = []
+            for mine, theirs in zip(agenda.ids_of(texts), library.encode(texts, num_threads=1), strict=True):
+                same = mine.tolist() == theirs
+                # The spellings are padded with zero bytes, and the last comma is too many.
+                written = agenda.spelled[mine if same else np.array(theirs, dtype=np.int64)].tobytes().replace(b"\0", b"")[:-1]
+                decoded = library.decode(theirs).encode()
+                out.append((len(theirs), hashlib.sha256(written).hexdigest(), hashlib.sha256(decoded).hexdigest(), same, theirs if with_ids else None))
+            return out
 
         def block(columns: list[list]) -> list[list]:
             texts = [t or "" for t in columns[-1]]
-            own = agenda.ids_of(texts)
-            n, a, b, same, ids = [], [], [], [], []
-            for mine, theirs in zip(own, library.encode(texts, num_threads=1), strict=True):
-                same.append(mine.tolist() == theirs)
-                # The spellings are padded with zero bytes, and the last comma is too many.
-                written = agenda.spelled[mine if same[-1] else np.array(theirs, dtype=np.int64)].tobytes().replace(b"\0", b"")[:-1]
-                n.append(len(theirs))
-                a.append(hashlib.sha256(written).hexdigest())
-                b.append(hashlib.sha256(library.decode(theirs).encode()).hexdigest())
-                ids.append(theirs)
-            return [*columns[:-1], n, a, b, same, *([ids] if with_ids else [])]
+            if with_ids:
+                got = results(texts)
+            else:
+                # Equal texts have equal results: copies are encoded once in a worker.
+                names = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+                new = {k: t for k, t in zip(names, texts, strict=True) if k not in known}
+                if len(known) + len(new) > 30_000:
+                    known.clear()
+                    new = dict(zip(names, texts, strict=True))
+                known.update(zip(new, results(list(new.values())), strict=True))
+                got = [known[k] for k in names]
+            return [*columns[:-1], *map(list, list(zip(*got, strict=True))[: 5 if with_ids else 4])]
 
         return block
 
