@@ -249,7 +249,7 @@ class WordEncoder:
         split = [_PARTS.findall(t) for t in texts]
         memory = self.memory
         seen = set().union(*split)
-        new = [w for w in seen if w not in memory]
+        new = list(seen.difference(memory))
         if len(memory) + len(new) > self.remembered:
             memory.clear()
             new = list(seen)
