@@ -26,6 +26,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of up to so many stored bytes is dealt anew to all cores: it may lie in one row group,
+#: which a single task would read.  Larger tables are read as they lie, without a shuffle.
+SMALL_TABLE = 32 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    small = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SMALL_TABLE
+    return docs.repartition(spark.sparkContext.defaultParallelism) if small else docs
+
+
 def _crc_mod(key: str, n: int):
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n))
 
@@ -37,7 +48,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held_out = F.coalesce(_crc_mod("doc_id", 4) == 2, F.lit(False))
     net = langid.fit(docs.where(~held_out))
     out = langid.predict(docs.select("doc_id", "text"), net)
@@ -45,14 +56,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), _table(spark, sf_dir, "labels")
     held_out = F.coalesce(_crc_mod("doc_id", 5) == 0, F.lit(False))
     fm = quality_fm.fit(docs, labels.where(~held_out))
     return quality_fm.score(docs.select("doc_id", "text", "n_chars"), fm).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op3_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return avi.media_digests(_table(spark, sf_dir, "documents"))
+    return avi.media_digests(documents(spark, sf_dir))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +115,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = order_minhash.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = order_minhash.classes(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
@@ -114,14 +125,14 @@ def op8_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_agenda.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return bpe_agenda.encode_decode(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
 RULE_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*RULE_COLUMNS)
+    return quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text")).select(*RULE_COLUMNS)
 
 
 def _op10_sql() -> str:
