@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import bpe_agenda, line_dedup, mixing, order_minhash, quality_fm
-from lumenfold.llm.queries import LINE_PAGES, LINE_RATIO
+from lumenfold.llm.queries import LINE_PAGES, LINE_RATIO, documents
 from lumenfold.operators.lineage import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
