@@ -33,7 +33,7 @@ SMALL_TABLE = 32 << 20
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    small = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SMALL_TABLE
+    small = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_TABLE
     return docs.repartition(spark.sparkContext.defaultParallelism) if small else docs
 
 
