@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Metrics of eigenpairs and embeddings."""

@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Relational operators: neighbours, fuzzy graphs, Laplacians, components, preparation, placement."""

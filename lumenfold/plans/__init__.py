@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Solvers, embedding plans and the registered queries."""

@@ -113,7 +113,7 @@ def raw_coordinates(edges: DataFrame, vertices: DataFrame, dims: int = 2, seed:
     return scaled.unionByName(rest)
 
 
-def spectral_init(edges: DataFrame, vertices: DataFrame, dims: int = 2, seed: int = 42, data: DataFrame | None = None, config: SpectralConfig | None = None) -> DataFrame:
+def spectral_coordinates(edges: DataFrame, vertices: DataFrame, dims: int = 2, seed: int = 42, data: DataFrame | None = None, config: SpectralConfig | None = None) -> DataFrame:
     """(i, coords array<float>): initial coordinates, the largest of size ``expansion``, plus noise.
 
     Components are embedded on their own, in parallel, and placed: at unit vectors if they are few,

@@ -798,16 +798,16 @@ def manifest_upsert(spark, sf):
 
 
 @_query()
-def spectral_init(spark, sf):
+def spectral_coordinates(spark, sf):
     p = _points(spark, sf)
-    return embed.spectral_init(cut(_graph(p)), p.select("i"), 2)
+    return embed.spectral_coordinates(cut(_graph(p)), p.select("i"), 2)
 
 
 @_query()
-def spectral_init_disconnected(spark, sf):
+def spectral_coordinates_disconnected(spark, sf):
     e, v = generators.cliques(spark, 10, 12)
     data = v.select("i", F.array((F.floor(F.col("i") / 12) * 0.3).cast("double"), (F.floor(F.col("i") / 12) % 3 * 0.2).cast("double")).alias("x"))
-    return embed.spectral_init(e, v, 2, data=data)
+    return embed.spectral_coordinates(e, v, 2, data=data)
 
 
 @_query("SELECT true AS residual_ok, true AS in_bounds, true AS is_sorted, true AS orthonormal, 3::BIGINT AS pairs")

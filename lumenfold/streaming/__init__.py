@@ -1 +1 @@
-"""See the package documentation in README.md."""
+"""Running results over streams of edges."""

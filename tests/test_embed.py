@@ -28,7 +28,7 @@ GRAPHS = {
 @pytest.mark.parametrize("name", GRAPHS)
 def test_connected_graphs(spark, name):
     e, v = GRAPHS[name](spark)
-    x = coords(embed.spectral_init(e, v, 2))
+    x = coords(embed.spectral_coordinates(e, v, 2))
     assert x.shape == (v.count(), 2) and np.isfinite(x).all() and abs(np.abs(x).max() - 10) < 0.01
     if name in ("barbell", "bridge"):
         a, b = x[:20, 0], x[20:, 0]
@@ -37,15 +37,15 @@ def test_connected_graphs(spark, name):
 
 def test_result_does_not_depend_on_partitions(spark):
     e, v = gen.lollipop(spark, 8, 9)
-    one = coords(embed.spectral_init(e, v, 2))
-    two = coords(embed.spectral_init(e.repartition(7), v.repartition(3), 2))
+    one = coords(embed.spectral_coordinates(e, v, 2))
+    two = coords(embed.spectral_coordinates(e.repartition(7), v.repartition(3), 2))
     assert (one == two).all()
-    assert not (coords(embed.spectral_init(e, v, 2, seed=1)) == one).all()
+    assert not (coords(embed.spectral_coordinates(e, v, 2, seed=1)) == one).all()
 
 
 def test_few_components_are_placed_at_unit_vectors(spark):
     e, v = gen.two_paths(spark, 30)
-    x = coords(embed.spectral_init(e, v, 2))
+    x = coords(embed.spectral_coordinates(e, v, 2))
     assert (np.abs(x).sum(1) > 0).all() and np.isfinite(x).all()
     centre = x.reshape(2, 30, 2).mean(1)
     spread = max(np.linalg.norm(x[:30] - centre[0], axis=1).max(), np.linalg.norm(x[30:] - centre[1], axis=1).max())
@@ -58,9 +58,9 @@ def test_few_components_are_placed_at_unit_vectors(spark):
 def test_many_components_need_data(spark):
     e, v = gen.cliques(spark, 10, 5)
     with pytest.raises(InvalidGraph):
-        embed.spectral_init(e, v, 2)
+        embed.spectral_coordinates(e, v, 2)
     data = v.select("i", F.array((F.floor(F.col("i") / 5) * 0.4).cast("float"), (F.floor(F.col("i") / 5) % 4 * 0.3).cast("float")).alias("x"))
-    x = coords(embed.spectral_init(e, v, 2, data=data))
+    x = coords(embed.spectral_coordinates(e, v, 2, data=data))
     assert x.shape == (50, 2) and np.isfinite(x).all()
     got = spectral.separation_ratio(embed.raw_coordinates(e, v, 2, data=data).select("i", "c", "v"), v.select("i", F.floor(F.col("i") / 5).alias("label"))).first()[0]
     assert got > 0
@@ -69,17 +69,17 @@ def test_many_components_need_data(spark):
 def test_what_is_refused(spark):
     e, v = gen.single_edge(spark)
     with pytest.raises(TooFewNodes):
-        embed.spectral_init(e, v, 2)
+        embed.spectral_coordinates(e, v, 2)
     for dims, error in ((0, InvalidGraph), (-1, InvalidGraph), (5, TooFewNodes)):
         with pytest.raises(error):
-            embed.spectral_init(e, v, dims)
+            embed.spectral_coordinates(e, v, dims)
     with pytest.raises(InvalidGraph):
-        embed.spectral_init(e, v.limit(0), 1)
+        embed.spectral_coordinates(e, v.limit(0), 1)
     for w in (-1.0, math.nan, None):
         with pytest.raises(InvalidGraph):
-            embed.spectral_init(spark.createDataFrame([(0, 1, w), (1, 0, 1.0)], "i long, j long, w float"), spark.range(3).withColumnRenamed("id", "i"), 1)
+            embed.spectral_coordinates(spark.createDataFrame([(0, 1, w), (1, 0, 1.0)], "i long, j long, w float"), spark.range(3).withColumnRenamed("id", "i"), 1)
     with pytest.raises(InvalidGraph):
-        embed.spectral_init(e, spark.range(5, 9).withColumnRenamed("id", "i"), 1)
+        embed.spectral_coordinates(e, spark.range(5, 9).withColumnRenamed("id", "i"), 1)
 
 
 def test_distributed_solver_matches_the_dense_one(spark):
@@ -107,7 +107,7 @@ def test_large_components_take_the_distributed_way(spark):
 def test_points_to_coordinates(spark):
     p = gen.dataset(spark, "blobs_connected_200")
     g = cut(fuzzy.fuzzy_graph(p.select("i", "x"), 15, "exact"))
-    x = coords(embed.spectral_init(g, p.select("i"), 2, data=p.select("i", "x")))
+    x = coords(embed.spectral_coordinates(g, p.select("i"), 2, data=p.select("i", "x")))
     assert x.shape == (200, 2) and np.isfinite(x).all()
     lap, values, vectors = embed.eigenpairs(g, p.select("i"), 2, config=SpectralConfig(compute_mode=ComputeMode.NATIVE))
     report = spectral.assess("blobs", 200, lap, values.select("c", "lam"), vectors, components=1, expected_components=1)
