@@ -262,7 +262,7 @@ def component_members(spark, sf):
     return m.select("label", F.size("members").cast("bigint").alias("members"), F.array_join("members", ",").alias("ids"))
 
 
-@_query(_with(_PTS, _NEAREST, _REACH) + ", loc AS (SELECT i, label, row_number() OVER (PARTITION BY label ORDER BY i) - 1 AS li FROM comp) SELECT a.label, a.li, b.li AS lj, 1.0 AS w FROM near n JOIN loc a ON n.i = a.i JOIN loc b ON n.j = b.i WHERE a.label = b.label")
+@_query(_with(_PTS, _NEAREST, _REACH) + ", loc AS (SELECT i, label, row_number() OVER (PARTITION BY label ORDER BY i) - 1 AS li FROM comp) SELECT a.label, a.li, b.li AS lj, 1.0::DOUBLE AS w FROM near n JOIN loc a ON n.i = a.i JOIN loc b ON n.j = b.i WHERE a.label = b.label")
 def component_subgraphs(spark, sf):
     p = _points(spark, sf)
     e = cut(_nearest_graph(p))
@@ -279,7 +279,7 @@ def partition_equality(spark, sf):
 # Placing components.
 
 
-@_query("WITH l AS (SELECT DISTINCT label::INTEGER AS label FROM embeddings) SELECT label, c::INTEGER AS c, CASE WHEN c = label % 5 THEN CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END ELSE 0.0 END AS v FROM l, range(0, 5) t(c)")
+@_query("WITH l AS (SELECT DISTINCT label::INTEGER AS label FROM embeddings) SELECT label, c::INTEGER AS c, (CASE WHEN c = label % 5 THEN CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END ELSE 0.0 END)::DOUBLE AS v FROM l, range(0, 5) t(c)")
 def orthogonal_meta(spark, sf):
     return multi.orthogonal_meta(_labels(_points(spark, sf)), 5)
 
