@@ -29,6 +29,8 @@ from lumenfold.llm.arrow import held, map_rows
 
 MARK = "▁"
 LONG = 48
+#: Words of lengths up to a multiple of this share a matrix.
+STEP = 4
 #: Spaces stand for word marks until they are looked up.
 _SEGMENTS = re.compile(" *[^ ]+| +")
 NO_RANK = np.int32(2**31 - 1)
@@ -113,6 +115,10 @@ class Agenda:
         left, right, rank, merged = np.frombuffer(rows, dtype=np.int64).reshape(-1, 4).T
         self.pairs = Pairs(left, right, rank.astype(np.int32), merged.astype(np.int32))
         self._merges = left, right, rank, merged
+        self.characters = np.full(0x110000, -1, dtype=np.int32)
+        for c, i in self.symbols.items():
+            if len(c) == 1:
+                self.characters[ord(c)] = i
         self.spelled = np.array([f"{i},".encode() for i in range(self.n_pieces)])
         self.memory: dict[str, bytes] = {}
 
@@ -161,21 +167,22 @@ class Agenda:
         return self._spell([symbols[k] for k in starts], starts, word)
 
     def _together(self, words: list[str], length: int) -> list[bytes]:
-        """Agendas of words of one length, a merge in each row at a step."""
+        """Agendas of words of up to ``length`` symbols, a merge in each row at a step.
+
+        Rows are padded at their end with symbols that are in no pair.
+        """
         n = len(words)
-        code = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
-        chars, inverse = np.unique(code, return_inverse=True)
-        known = np.array([self.symbols.get(chr(c), -1) for c in chars], dtype=np.int32)
-        s = known[inverse].reshape(n, length)
-        starts = np.tile(np.arange(length, dtype=np.int32), (n, 1))
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
+        real = np.arange(length) < lengths[:, None]
+        s = np.full((n, length), -1, dtype=np.int32)
+        s[real] = self.characters[np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")]
+        starts = np.tile(np.arange(length, dtype=np.int8), (n, 1))
         rank = np.full((n, length), NO_RANK, dtype=np.int32)
         merged = np.full((n, length), -1, dtype=np.int32)
-        if length > 1:
-            r, m = self.pairs.find(s[:, :-1].ravel(), s[:, 1:].ravel())
-            rank[:, :-1], merged[:, :-1] = r.reshape(n, -1), m.reshape(n, -1)
+        r, m = self.pairs.find(s[:, :-1].ravel(), s[:, 1:].ravel())
+        rank[:, :-1], merged[:, :-1] = r.reshape(n, length - 1), m.reshape(n, length - 1)
         live = np.arange(n)
         width = length
-        lengths = np.full(n, length)
         done_s, done_starts = s.copy(), starts.copy()
         while len(live):
             at = rank.argmin(1)
@@ -191,11 +198,10 @@ class Agenda:
                     break
             s[rows, at] = merged[rows, at]
             lengths[live] -= 1
+            column = np.arange(width - 1)
+            take = (rows * width)[:, None] + column + (column > at[:, None])
+            s, starts, rank, merged = (x.reshape(-1).take(take) for x in (s, starts, rank, merged))
             width -= 1
-            column = np.arange(width)
-            take = column + (column > at[:, None])
-            s, starts = np.take_along_axis(s, take, 1), np.take_along_axis(starts, take, 1)
-            rank, merged = np.take_along_axis(rank, take, 1), np.take_along_axis(merged, take, 1)
             # The last pair now ends at the row's end; the pairs beside the merge are new.
             right = np.where(at + 1 < width, s[rows, np.minimum(at + 1, width - 1)], -1)
             rank[rows, at], merged[rows, at] = self.pairs.find(s[rows, at], right)
@@ -216,7 +222,7 @@ class Agenda:
         by_length: dict[int, list[tuple[str, str]]] = {}
         for w in words:
             full = " " + w if self.prefix and w[0] != " " else w
-            by_length.setdefault(min(len(full), LONG + 1), []).append((w, full))
+            by_length.setdefault(min(-(-len(full) // STEP) * STEP, LONG + STEP), []).append((w, full))
         for length, pairs in by_length.items():
             if length > LONG:
                 self.memory.update((w, np.array(self.one(full), dtype="<i4").tobytes()) for w, full in pairs)
