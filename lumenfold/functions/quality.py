@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators.blocks import BLOCK, against, distances, matrix
+from lumenfold.operators.lineage import cut
 from lumenfold.operators.prep import portable_hash, random_sample
 
 # Verdict thresholds of a comparison with a baseline embedding.
@@ -38,7 +39,7 @@ def neighbour_ranks(points: DataFrame, pairs: DataFrame, *, block: int = BLOCK)
                 js = np.array([t["j"] for t in to[row]])
                 dj = distances(x[row : row + 1], np.stack([np.asarray(t["xj"], dtype=np.float64) for t in to[row]]))[0]
                 nearer = (d[row][None, :] < dj[:, None]) | ((d[row][None, :] == dj[:, None]) & (ids[None, :] < js[:, None]))
-                nearer &= ids[None, :] != i
+                nearer &= (ids[None, :] != i) & (ids[None, :] != js[:, None])
                 out += [(i, int(j), int(n)) for j, n in zip(js, nearer.sum(1), strict=True)]
         return pd.DataFrame(out, columns=["i", "j", "n"]).astype("int64")
 
@@ -138,11 +139,10 @@ def average_ranks(values: DataFrame, column: str, name: str) -> DataFrame:
     Distinct values are counted and their running totals taken over ranges: counts by range first,
     then within each range, so that no task sees all values.
     """
+    # Ranks meet their values by equality: both must come from one computation of the values.
+    values = cut(values)
     counts = values.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange(column).withColumn("_part", F.spark_partition_id())
-    from lumenfold.operators.lineage import cut
-
-    ranged = cut(ranged)
+    ranged = cut(counts.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_all"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_all")
     run = F.sum("_n").over(Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
