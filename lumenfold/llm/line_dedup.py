@@ -12,9 +12,13 @@ boilerplate lines, so what comes out is small.  If its size, counted, is under
 beyond that, page hashes are matched by a join salted over ``salts`` and hits return to
 their page by a row id.  Both ways give the same rows.
 
+With ``per_text`` a site's pages are its distinct texts: a line counts once for each of them,
+and ``ratio`` is of their number.  Copies of a text then never make its lines boilerplate, so
+that a later removal of copies still finds the text.
+
 Defined results: a null text stays null and has no lines; a null site is no site, and its
 pages keep every line; an empty table gives an empty table; repeated rows count as pages of
-their own; other columns pass through, but for those with the names of results, which are
+their own, but with ``per_text``, where null is no text; other columns pass through, but for those with the names of results, which are
 replaced.  Two different lines of a site are mistaken for one
 another with a probability of 2**-64 a pair.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators.lineage import cut, written
 
-LINE_HASH, LINE_PAGES = "__line_hash", "__line_pages"
+LINE_HASH, LINE_PAGES, TEXT_HASH = "__line_hash", "__line_pages", "__text_hash"
 
 
 def _lines(text: Column) -> Column:
@@ -39,12 +43,18 @@ def line_hash(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(pages: DataFrame, *, site: str, text: str, ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
+def boilerplate(pages: DataFrame, *, site: str, text: str, ratio: float = 0.2, min_pages: int = 3, per_text: bool = False) -> DataFrame:
     """(site, line hash, pages that contain it) of each site's boilerplate lines."""
     own = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), line_hash), lambda h: h.isNotNull()))
-    keyed = pages.where(F.col(site).isNotNull()).select(F.col(site).alias("__site"), F.explode(own).alias(LINE_HASH))
+    told = pages.where(F.col(site).isNotNull())
+    keyed = told.select(F.col(site).alias("__site"), F.explode(own).alias(LINE_HASH), *([F.xxhash64(text).alias(TEXT_HASH)] if per_text else []))
+    sited = told.select(F.col(site).alias("__site"))
+    if per_text:
+        # Distinct by all columns first: a line of many texts is then counted in many tasks.
+        keyed = keyed.distinct()
+        sited = told.where(F.col(text).isNotNull()).select(F.col(site).alias("__site"), F.xxhash64(text).alias(TEXT_HASH)).distinct()
     counts = keyed.groupBy("__site", LINE_HASH).agg(F.count(F.lit(1)).alias(LINE_PAGES)).where(F.col(LINE_PAGES) >= min_pages)
-    totals = pages.where(F.col(site).isNotNull()).groupBy(F.col(site).alias("__site")).agg(F.count(F.lit(1)).alias("__total"))
+    totals = sited.groupBy("__site").agg(F.count(F.lit(1)).alias("__total"))
     return counts.join(totals, "__site").where(F.col(LINE_PAGES) > F.lit(ratio) * F.col("__total")).drop("__total")
 
 
@@ -57,13 +67,13 @@ def _strip(text: Column, bad: Column) -> tuple[Column, Column]:
 
 
 def drop_boilerplate(
-    pages: DataFrame, *, site: str = "source", text: str = "text", ratio: float = 0.2, min_pages: int = 3, broadcast_rows: int = 200_000, salts: int = 64, force: str | None = None
+    pages: DataFrame, *, site: str = "source", text: str = "text", ratio: float = 0.2, min_pages: int = 3, per_text: bool = False, broadcast_rows: int = 200_000, salts: int = 64, force: str | None = None
 ) -> DataFrame:
     """``pages`` with ``text`` rid of boilerplate, and n_lines and n_dropped of each row.
 
     ``force``: "broadcast" or "shuffle", for tests; else the measured size decides.
     """
-    found = boilerplate(pages, site=site, text=text, ratio=ratio, min_pages=min_pages)
+    found = boilerplate(pages, site=site, text=text, ratio=ratio, min_pages=min_pages, per_text=per_text)
     found = cut(found)
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(F.col(text))))
     if (force or ("broadcast" if found.count() <= broadcast_rows else "shuffle")) == "broadcast":

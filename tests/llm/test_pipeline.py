@@ -57,6 +57,19 @@ def test_lines(stages):
     assert all(r.n_chars == len(r.text) for r in stages[2])
 
 
+def test_copies_are_no_boilerplate(spark):
+    """A text that holds a third of a site's pages comes out whole, and one of its copies stays."""
+    copied = "first copied line of many words\nsecond copied line of many words"
+    rows = [(k, copied, "en", "s", len(copied)) for k in range(60)]
+    rows += [(k, f"menu\nown line {k} with words {k * 7} and {k * 11}", "en", "s", 1) for k in range(100, 220)]
+    rows += [(k, "menu\n" * (k % 2) + "shared", "en", "t", 1) for k in range(300, 304)] + [(400, None, "en", "s", None), (401, "menu", "en", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.lines(spark, docs, SF)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {k: t if t is None or s is None or t == copied or s == "t" else t.removeprefix("menu\n") for k, t, _, s, _ in rows}
+    assert [r.text for r in corpus_pipeline.near_duplicates(spark, out, SF).where("doc_id < 100").collect()] == [copied]
+
+
 def test_near_duplicates(stages):
     from test_free import brute_classes
 
