@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from lumenfold.operators.blocks import BLOCK, against, distances, matrix
 
 NEIGHBOURS = "i long, j long, dist double"
-#: From so many points the switch takes the approximate search.
-APPROXIMATE_FROM = 4096
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -53,7 +51,8 @@ def knn_approx(points: DataFrame, k: int = 15, *, tables: int = 12, bucket: int
 
     Each table orders the points along a random direction and cuts the order into buckets of
     about ``bucket`` points, at a random phase; points of a bucket are compared.  Work grows as
-    n * bucket * tables, and recall with both.
+    n * bucket * tables.  Recall grows with both and falls with n: a bucket holds a share of
+    bucket / n, so large tables need larger buckets.  Never taken unless asked for.
     """
     rows = points.select("i", "x")
     first = rows.select(F.size("x").alias("d")).first()
@@ -86,12 +85,10 @@ def knn_approx(points: DataFrame, k: int = 15, *, tables: int = 12, bucket: int
 
 
 def knn(points: DataFrame, k: int = 15, method: str = "auto", **options) -> DataFrame:
-    """``exact``, ``approx``, or ``auto``: approximate from APPROXIMATE_FROM points on."""
-    if method == "auto":
-        method = "approx" if points.count() >= APPROXIMATE_FROM else "exact"
-    if method not in ("exact", "approx"):
+    """``exact``, ``approx``, or ``auto``, which is exact at every size."""
+    if method not in ("auto", "exact", "approx"):
         raise ValueError(f"no such method: {method}")
-    return (knn_exact if method == "exact" else knn_approx)(points, k, **options)
+    return (knn_approx if method == "approx" else knn_exact)(points, k, **options)
 
 
 def recall(found: DataFrame, true: DataFrame) -> DataFrame:

@@ -41,6 +41,17 @@ def test_approximate_neighbours_and_the_switch(spark):
     assert knn.knn(p.limit(20), 3).count() == 60
 
 
+def test_the_default_search_loses_no_neighbour_of_a_large_table(spark):
+    x = np.random.default_rng(5).normal(size=(9000, 12))
+    got = {}
+    for i, j in rows(knn.knn(points(spark, x), 5).where("i < 60"), "i", "j"):
+        got.setdefault(i, set()).add(j)
+    for i in range(60):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert got[i] == set(np.argsort(d)[:5].tolist())
+
+
 def test_bandwidths_meet_the_target(spark):
     k = 8
     near = knn.knn_exact(gen.blobs(spark, 120).select("i", "x"), k)
