@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-1. Sizes (words) are summed by source and block; a block is one of ``blocks`` hash classes
-   of a source's documents.  That table has at most ``most_blocks`` rows (while there are no
-   more sources than that), and only it comes to the driver.
+1. Sizes (words) are summed by source and block; a block is a hash class of a source's
+   documents.  Sources get blocks in proportion to their rows, one at least and ``blocks`` at
+   most, so that this table has at most ``most_blocks`` rows and one for each source.  Only it
+   comes to the driver, which thus holds memory in proportion to the number of sources.
 2. Targets: sources, in code-point order with null last, weigh 3, 1, 2, repeating, and share
    ``share`` times all sizes; a target stops at ``most`` times its source's size, and the
    excess is shared again by weight until none is above.
@@ -10,7 +11,10 @@
    blocks in a seeded order, each taken if it still fits, so that the words taken fall short
    of the target by less than the smallest block left; one more block is taken where that
    comes nearer.  Small sources try several orders and keep the nearest.
-4. The exact quotas are split over the output shards by a binary tree: at each node the left
+4. What remains is settled within one block of several documents, on the executors: of that
+   block a prefix of its documents in a hashed order is drawn, the order and prefix of several
+   that come nearest.  So a target is missed by less than documents are long.
+5. The exact quotas are split over the output shards by a binary tree: at each node the left
    half's blocks of each source are drawn from a multivariate hypergeometric distribution.
    Shards then take disjoint ranges of each source's permuted draws, and rows are shuffled
    within their shard by a hash of document and round.
@@ -22,12 +26,16 @@ block and so are taken alike; other columns pass through, but for those with the
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import math
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.operators.lineage import cut
+
 SOURCE_WEIGHTS = (3, 1, 2)
 #: Names of results, which replace columns of the input.
 RESULTS = ("size", "source_size", "target", "taken", "round", "shard", "place")
@@ -38,12 +46,14 @@ class MixConfig:
     share: float = 1.5
     most: float = 2.0
     blocks: int = 1024
-    #: Bound on the blocks of all sources, whose sums and draws the driver handles.
+    #: Bound on the blocks of all sources beyond one for each, whose sums and draws the driver handles.
     most_blocks: int = 1 << 18
     shards: int = 64
     seed: int = 23
     #: The plan is broadcast up to so many rows, counted; beyond that it is joined by shuffle.
     broadcast_rows: int = 500_000
+    #: Parts of a source in a join by source that is not broadcast.
+    salts: int = 64
 
 
 def word_count(text: Column) -> Column:
@@ -81,7 +91,7 @@ def draw_quota(words: np.ndarray, target: float, rounds: int, rng: np.random.Gen
     if whole >= rounds or not total:
         return times
     goal, best, miss = target - whole * total, np.zeros(len(words), dtype=bool), float("inf")
-    for _ in range(tries):
+    for _ in range(min(tries, math.factorial(min(len(words), 6)))):
         left, used = goal, np.zeros(len(words), dtype=bool)
         for k in rng.permutation(len(words)).tolist():
             if words[k] <= left:
@@ -110,45 +120,106 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_quotas(drawn, left, rng), split_quotas(quotas - drawn, shards - left, rng)])
 
 
-def _fitted(docs: DataFrame, cfg: MixConfig, source: str) -> MixConfig:
-    """``cfg`` with so few blocks a source that all blocks number at most ``most_blocks``."""
-    sources = docs.select(source).distinct().count()
-    return replace(cfg, blocks=max(1, min(cfg.blocks, cfg.most_blocks // max(1, sources))))
+def _cut_block(words: np.ndarray, rows: np.ndarray, times: np.ndarray, target: float, rounds: int) -> tuple[int, float] | None:
+    """A block of which only a part should be drawn once more than ``times``, and the words of that part.
+
+    Where ``times`` overshoots, one block is first taken back, in ``times`` itself.
+    """
+    miss = target - float(words @ times)
+    whole = int(target // words.sum()) if words.sum() else 0
+    some = (rows > 1) & (words > abs(miss)) & ((times < rounds) if miss > 0 else (times > whole))
+    if not miss or not some.any():
+        return None
+    k = int(np.flatnonzero(some)[np.argmin(words[some])])
+    if miss < 0:
+        times[k] -= 1
+        miss += float(words[k])
+    return k, miss
+
+
+def nearest_prefix(keys: np.ndarray, size: np.ndarray, goal: float, rng: np.random.Generator, tries: int = 64) -> tuple[int, int]:
+    """(modulus, limit): documents with key % modulus <= limit have near ``goal`` words.
+
+    Each modulus gives an order; limit -1 takes none.  Equal keys go together.
+    """
+    best, out = float("inf"), (1, -1)
+    for _ in range(tries):
+        modulus = int(rng.integers(1 << 43, 1 << 44)) | 1
+        place = np.mod(keys, modulus)
+        order = np.argsort(place, kind="stable")
+        place, sums = place[order], np.cumsum(size[order])
+        ends = np.append(place[1:] != place[:-1], True)
+        limits, sums = np.append(-1, place[ends]), np.append(0, sums[ends])
+        k = int(np.argmin(np.abs(sums - goal)))
+        if abs(sums[k] - goal) < best:
+            best, out = abs(sums[k] - goal), (modulus, int(limits[k]))
+        if best <= 0.5:
+            break
+    return out
+
+
+def _prefixes(keyed: DataFrame, cuts: list, cfg: MixConfig) -> dict:
+    """(modulus, limit) by number of the cut, for cuts (number, source, block, goal).
 
+    ``keyed`` has __source, __block, __key and the unread size, which is worked out only here for
+    documents of cut blocks.
+    """
+    kind = keyed.schema["__source"].dataType.simpleString()
+    wanted = keyed.sparkSession.createDataFrame(cuts, f"__cut long, __s {kind}, __b int, __goal double")
+    met = keyed.join(_maybe_broadcast(wanted, len(cuts), cfg.broadcast_rows), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    seed = cfg.seed
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__key", "size"])
+        number = int(pdf["__cut"].iloc[0])
+        modulus, limit = nearest_prefix(pdf["__key"].to_numpy(), pdf["size"].to_numpy(), float(pdf["__goal"].iloc[0]), np.random.default_rng([seed, 1, number]))
+        return pd.DataFrame({"__cut": [number], "modulus": [modulus], "limit": [limit]})
 
-def _block(key: Column, cfg: MixConfig) -> Column:
-    return F.pmod(F.xxhash64(F.lit(cfg.seed), key), F.lit(cfg.blocks)).cast("int")
+    found = met.select("__cut", "__goal", "__key", "size").groupBy("__cut").applyInPandas(one, "__cut long, modulus long, limit long")
+    return {r["__cut"]: (r["modulus"], r["limit"]) for r in found.collect()}
 
 
 def plan(spark: SparkSession, sized: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame]:
-    """(_source, _block, round, shard) of all draws, and (_source, source_size, target)."""
-    rows = sized.groupBy("__source", "__block").agg(F.sum("size").alias("words")).collect()
-    names = sorted({r["__source"] for r in rows}, key=lambda s: (s is None, s or ""))
-    words = {s: np.zeros(cfg.blocks, dtype=np.int64) for s in names}
-    there = {s: np.zeros(cfg.blocks, dtype=bool) for s in names}
-    for r in rows:
-        words[r["__source"]][r["__block"]] = r["words"]
-        there[r["__source"]][r["__block"]] = True
-    sizes = [int(words[s].sum()) for s in names]
+    """(_source, _block, round, shard, modulus, limit) of all draws, and (_source, source_size, target).
+
+    A draw with a modulus is of those documents of its block whose __key % modulus <= limit.
+    """
+    rows = sized.groupBy("__source", "__block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
+    by: dict = {}
+    for r in sorted(rows, key=lambda r: r["__block"]):
+        by.setdefault(r["__source"], []).append((r["__block"], r["words"], r["rows"]))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    table = [np.array(by[s], dtype=np.int64) for s in names]
+    sizes = [int(t[:, 1].sum()) for t in table]
     goal = targets(sizes, [SOURCE_WEIGHTS[i % len(SOURCE_WEIGHTS)] for i in range(len(names))], cfg.share * sum(sizes), cfg.most)
-    draws = []
+    drawn, cuts = [], []
     for i, s in enumerate(names):
         rng = np.random.default_rng([cfg.seed, i])
-        ids = np.flatnonzero(there[s])
-        times = draw_quota(words[s][ids], float(goal[i]), int(cfg.most), rng)
-        blocks, rounds = np.repeat(ids, times), np.concatenate([np.arange(n) for n in times]) if len(times) else np.zeros(0, dtype=int)
+        ids, words, n = table[i].T
+        times = draw_quota(words, float(goal[i]), int(cfg.most), rng)
+        part = _cut_block(words, n, times, float(goal[i]), int(cfg.most))
+        if part:
+            cuts.append((i, s, int(ids[part[0]]), part[1]))
+        drawn.append((ids, times, part, rng))
+    prefixes = _prefixes(sized, cuts, cfg) if cuts else {}
+    draws = []
+    for i, (ids, times, part, rng) in enumerate(drawn):
+        blocks, rounds = np.repeat(ids, times), np.concatenate([np.arange(n) for n in times])
+        parts = [None] * len(blocks)
+        if part and prefixes[i][1] >= 0:
+            blocks, rounds, parts = np.append(blocks, ids[part[0]]), np.append(rounds, times[part[0]]), [*parts, prefixes[i]]
         order = rng.permutation(len(blocks))
-        draws.append((blocks[order], rounds[order]))
+        draws.append((blocks[order], rounds[order], [parts[k] or (None, None) for k in order]))
     out = []
     if names:
-        dealt = split_quotas(np.array([len(b) for b, _ in draws]), cfg.shards, np.random.default_rng([cfg.seed, 1 << 20]))
+        dealt = split_quotas(np.array([len(d[0]) for d in draws]), cfg.shards, np.random.default_rng([cfg.seed, 1 << 20]))
         for i, s in enumerate(names):
             shard = np.repeat(np.arange(cfg.shards), dealt[:, i])
-            out += [(s, int(b), int(k), int(m)) for b, k, m in zip(*draws[i], shard, strict=True)]
+            out += [(s, int(b), int(k), int(m), *q) for b, k, q, m in zip(*draws[i], shard, strict=True)]
     totals = [(s, n, float(g)) for s, n, g in zip(names, sizes, goal, strict=True)]
     kind = sized.schema["__source"].dataType.simpleString()
     return (
-        spark.createDataFrame(out, f"__source {kind}, __block int, round int, shard int"),
+        spark.createDataFrame(out, f"__source {kind}, __block int, round int, shard int, modulus long, limit long"),
         spark.createDataFrame(totals, f"__source {kind}, source_size long, target double"),
     )
 
@@ -157,37 +228,54 @@ def _maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def _by_source(rows: DataFrame, table: DataFrame, n: int, cfg: MixConfig) -> DataFrame:
+    """``rows`` with the row of ``table`` (__s, ...) of their source; beyond a broadcast, sources are met in parts."""
+    same = F.col("__source").eqNullSafe(F.col("__s"))
+    if n <= cfg.broadcast_rows:
+        return rows.join(F.broadcast(table), same).drop("__s")
+    salted = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
+    return rows.withColumn("__salt", F.pmod("__key", F.lit(cfg.salts))).join(salted, same & (F.col("__salt") == F.col("__part"))).drop("__s", "__salt", "__part")
+
+
 def _sized(docs: DataFrame, cfg: MixConfig, key: str, text: str, source: str) -> DataFrame:
     given = docs.drop(*RESULTS)
-    return given.withColumns({"size": word_count(F.col(text)), "__source": F.col(source), "__block": _block(F.col(key), cfg)})
+    counts = cut(docs.groupBy(F.col(source).alias("__s")).agg(F.count(F.lit(1)).alias("__rows")))
+    n, rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("__rows"), F.lit(0))).first()
+    share = F.floor(F.col("__rows") * F.lit(cfg.most_blocks / max(1, rows)))
+    blocks = counts.select("__s", F.least(F.lit(cfg.blocks), F.greatest(F.lit(1), share)).cast("int").alias("__blocks"))
+    keyed = given.withColumns({"__source": F.col(source), "__key": F.xxhash64(F.lit(cfg.seed), key)})
+    met = _by_source(keyed, blocks, n, cfg).withColumn("__block", F.pmod("__key", "__blocks").cast("int")).drop("__blocks")
+    return met.withColumn("size", word_count(F.col(text)))
+
+
+def _drawn(sized: DataFrame, draws: DataFrame, cfg: MixConfig) -> DataFrame:
+    """``sized`` with ``__draws``, the (round, shard) of each draw of a row; null or empty for none."""
+    told = draws.groupBy("__source", "__block").agg(F.sort_array(F.collect_list(F.struct("round", "shard", "modulus", "limit"))).alias("__all"))
+    told = told.select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), "__all")
+    met = sized.join(_maybe_broadcast(told, draws.count(), cfg.broadcast_rows), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")), "left")
+    held = F.filter("__all", lambda d: d["modulus"].isNull() | (F.pmod(F.col("__key"), d["modulus"]) <= d["limit"]))
+    return met.withColumn("__draws", held)
 
 
 def takes(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with size, source_size, target and taken (words that the mix takes of a row)."""
-    cfg = _fitted(docs, cfg or MixConfig(), source)
+    cfg = cfg or MixConfig()
     sized = _sized(docs, cfg, key, text, source)
-    draws, totals = plan(docs.sparkSession, sized.select("__source", "__block", "size"), cfg)
-    times = draws.groupBy("__source", "__block").agg(F.count(F.lit(1)).alias("__times"))
-    told = totals.join(times, totals["__source"].eqNullSafe(times["__source"]), "left").select(totals["__source"].alias("__s"), "source_size", "target", F.col("__block").alias("__b"), "__times")
-    # One table for both: a row for each drawn block, and one without a block for each source.
-    every = told.where(F.col("__b").isNotNull()).select("__s", "__b", "__times")
-    n = draws.count()
-    a = sized.join(_maybe_broadcast(totals.withColumnRenamed("__source", "__t"), totals.count(), cfg.broadcast_rows), F.col("__source").eqNullSafe(F.col("__t")), "left")
+    draws, totals = plan(docs.sparkSession, sized.select("__source", "__block", "__key", "size"), cfg)
     own = [c for c in docs.columns if c not in RESULTS]
-    b = a.join(_maybe_broadcast(every, n, cfg.broadcast_rows), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")), "left")
-    return b.select(*own, "size", "source_size", "target", (F.col("size") * F.coalesce(F.col("__times"), F.lit(0))).alias("taken"))
+    told = _by_source(sized, totals.withColumnRenamed("__source", "__s"), totals.count(), cfg)
+    times = F.coalesce(F.size("__draws"), F.lit(0))
+    return _drawn(told, draws, cfg).select(*own, "size", "source_size", "target", (F.col("size") * F.greatest(times, F.lit(0))).alias("taken"))
 
 
 def mix(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed rows: ``docs`` columns with round, shard and place (order within the shard).
 
-    A row stands once for each draw of its block.  Sort by shard and place to write shards.
+    A row stands once for each draw of it.  Sort by shard and place to write shards.
     """
-    cfg = _fitted(docs, cfg or MixConfig(), source)
+    cfg = cfg or MixConfig()
     sized = _sized(docs, cfg, key, text, source)
-    draws, _ = plan(docs.sparkSession, sized.select("__source", "__block", "size"), cfg)
-    draws = draws.select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), "round", "shard")
-    small = _maybe_broadcast(draws, draws.count(), cfg.broadcast_rows)
+    draws, _ = plan(docs.sparkSession, sized.select("__source", "__block", "__key", "size"), cfg)
     own = [c for c in docs.columns if c not in RESULTS]
-    out = sized.join(small, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    out = _drawn(sized, draws, cfg).withColumn("__draw", F.explode("__draws")).withColumns({"round": F.col("__draw.round"), "shard": F.col("__draw.shard")})
     return out.select(*own, "round", "shard", F.xxhash64(F.lit(cfg.seed + 1), F.col(key), "round").alias("place"))

@@ -152,6 +152,33 @@ def test_mix_repeats_rows_as_taken_and_agrees_with_itself(spark):
         assert times.get(r.doc_id, 0) * r.size == r.taken
 
 
+@pytest.mark.parametrize("most", [12, 1 << 18])
+def test_few_blocks_still_meet_the_targets(spark, most):
+    """More sources than blocks, one of them with half of all rows; the join by source broadcast and not."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), "hot" if i % 2 else f"s{i % 34:02d}") for i in range(1500)]
+    for cfg in (mixing.MixConfig(most_blocks=most), mixing.MixConfig(most_blocks=most, broadcast_rows=0, salts=3)):
+        by = {}
+        got = mixing.takes(docs(spark, rows), cfg).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            s = by.setdefault(r.source, [0, r.target])
+            s[0] += r.taken
+        assert all(abs(n - t) <= max(2, 0.005 * t) for n, t in by.values()), by
+        times = {r.doc_id: r["count"] for r in mixing.mix(docs(spark, rows), cfg).groupBy("doc_id").count().collect()}
+        assert all(times.get(r.doc_id, 0) * r.size == r.taken for r in got)
+
+
+def test_a_source_of_one_block_is_taken_in_part(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), "abc"[i % 3]) for i in range(300)]
+    by = {}
+    for r in mixing.takes(docs(spark, rows), mixing.MixConfig(most_blocks=1)).collect():
+        by[r.source] = (by.get(r.source, (0, 0))[0] + r.taken, r.target, r.source_size)
+    assert any(0.1 < (t / n) % 1 < 0.9 for _, t, n in by.values())
+    assert all(abs(n - t) <= 0.01 * t for n, t, _ in by.values()), by
+
+
 def test_mix_of_nothing(spark):
     assert mixing.takes(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
 
