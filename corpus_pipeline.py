@@ -38,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix draws them."""
-    return mixing.mix(docs).select(*COLUMNS)
+    """Rows as often as the mix draws them, by shard and shuffled within it."""
+    return mixing.shuffled(mixing.mix(docs)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

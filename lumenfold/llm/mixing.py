@@ -249,23 +249,28 @@ def _sized(docs: DataFrame, cfg: MixConfig, key: str, text: str, source: str) ->
 
 
 def _drawn(sized: DataFrame, draws: DataFrame, cfg: MixConfig) -> DataFrame:
-    """``sized`` with ``__draws``, the (round, shard) of each draw of a row; null or empty for none."""
+    """A row of ``sized`` for each of its draws, with round and shard, which are null on the one row of an undrawn document."""
     told = draws.groupBy("__source", "__block").agg(F.sort_array(F.collect_list(F.struct("round", "shard", "modulus", "limit"))).alias("__all"))
     told = told.select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), "__all")
     met = sized.join(_maybe_broadcast(told, draws.count(), cfg.broadcast_rows), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")), "left")
     held = F.filter("__all", lambda d: d["modulus"].isNull() | (F.pmod(F.col("__key"), d["modulus"]) <= d["limit"]))
-    return met.withColumn("__draws", held)
+    return met.withColumn("__draw", F.explode_outer(held)).withColumns({"round": F.col("__draw.round"), "shard": F.col("__draw.shard")}).drop("__draw", "__all", "__s", "__b")
 
 
 def takes(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and taken (words that the mix takes of a row)."""
+    """``docs`` with size, source_size, target and taken (words that the mix takes of a row).
+
+    ``taken`` is summed over the drawn rows of each document, as ``mix`` has them.
+    """
     cfg = cfg or MixConfig()
     sized = _sized(docs, cfg, key, text, source)
     draws, totals = plan(docs.sparkSession, sized.select("__source", "__block", "__key", "size"), cfg)
     own = [c for c in docs.columns if c not in RESULTS]
     told = _by_source(sized, totals.withColumnRenamed("__source", "__s"), totals.count(), cfg)
-    times = F.coalesce(F.size("__draws"), F.lit(0))
-    return _drawn(told, draws, cfg).select(*own, "size", "source_size", "target", (F.col("size") * F.greatest(times, F.lit(0))).alias("taken"))
+    drawn = _drawn(told.withColumn("__row", F.monotonically_increasing_id()), draws, cfg)
+    taken = F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(F.lit(0))).alias("taken")
+    kept = [*own, "size", "source_size", "target"]
+    return drawn.groupBy("__row").agg(*[F.first(c).alias(c) for c in kept], taken).select(*kept, "taken")
 
 
 def mix(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -277,5 +282,10 @@ def mix(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", t
     sized = _sized(docs, cfg, key, text, source)
     draws, _ = plan(docs.sparkSession, sized.select("__source", "__block", "__key", "size"), cfg)
     own = [c for c in docs.columns if c not in RESULTS]
-    out = _drawn(sized, draws, cfg).withColumn("__draw", F.explode("__draws")).withColumns({"round": F.col("__draw.round"), "shard": F.col("__draw.shard")})
+    out = _drawn(sized, draws, cfg).where(F.col("shard").isNotNull())
     return out.select(*own, "round", "shard", F.xxhash64(F.lit(cfg.seed + 1), F.col(key), "round").alias("place"))
+
+
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """Rows of ``mix`` dealt by shard and in their places: partitions are ranges of the order by shard and place."""
+    return mixed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")

@@ -89,6 +89,14 @@ def test_mixture(stages):
         assert abs(taken - t) <= max(0.05 * t, 5)
 
 
+def test_mixture_is_written_by_shard_and_place(spark):
+    docs = spark.createDataFrame([(k, "w " * (k % 9 + 1), "en", "abc"[k % 3], 1) for k in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mixture(spark, docs, SF)
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("shard", "place").collect()]
+    assert [r.doc_id for r in out.collect()] == want
+    assert out.columns == COLUMNS
+
+
 def test_tokens(stages):
     library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rows = []
