@@ -13,15 +13,19 @@ if the order is kept.  Pairs of at least ``threshold`` are linked; classes are t
 components.
 
 Hot groups: equal word sequences are one representative from the start (combined before the
-shuffle); a bucket's members are first compared with its least member; then, in buckets that
-still hold several classes, members of different classes are held against each other in
-blocks of ``block`` rows until their classes are joined.  No bucket's pairs are emitted, and no
-link between the classes of candidates is lost.
+shuffle); a bucket's members are first compared with its least member, in parts of ``block``
+where it has many; then, in buckets that still hold several classes, members of different
+classes are held against each other in blocks of ``block`` rows until their classes are joined.
+No bucket's pairs are emitted, and no link between the classes of candidates is lost.
+
+Texts stand for themselves: a representative is found by the digest of its words and numbered
+by its row, and ids come in only at the end.  So texts that share an id are kept apart.
 
 Defined results: a text without words (or null) is a class of its own and never a copy;
-texts of one to four words have a single shingle; the class id is the least id in it, and a
-null id stands behind all others as a hash of its row's words; repeated rows are copies;
-other columns are ignored.
+texts of one to four words have a single shingle; the class id is the least id in it, which may
+be of any ordered type, and null only if no row of the class has one; rows that share an id but
+not a text belong to the classes of their texts; of each class the row with the least id is
+kept, nulls last, and of repeated rows one; other columns are ignored or, by ``keep_one``, passed through.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.arrow import map_rows
+from lumenfold.llm.names import Working, col
 from lumenfold.operators.components import min_labels
 from lumenfold.operators.lineage import cut, written
 
@@ -156,34 +161,34 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
     return aligned / (n + m - aligned)
 
 
-def sketches(docs: DataFrame, cfg: NearConfig, *, key: str, text: str) -> DataFrame:
-    """(id, digest, n, sketch, words) of each row; digest is null for a text without words."""
-    frame = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text"))
+def sketches(docs: DataFrame, cfg: NearConfig, names: Working, *, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns with row, digest, n, sketch and words; digest is null for a text without words.
+
+    Rows are numbered as they are written, so that the numbers stay.
+    """
 
     def make():
         sketcher = Sketcher(cfg)
         memory = _WordHashes()
 
         def block(columns: list[list]) -> list[list]:
-            ids, digests, sizes, found, hashed = [], [], [], [], []
-            for i, t in zip(*columns, strict=True):
+            digests, sizes, found, hashed = [], [], [], []
+            for t in columns[0]:
                 words = _WORDS.findall(t or "")
                 if len(memory) > 100_000:
                     memory.clear()
                 w = np.fromiter(map(memory.__getitem__, words), dtype=np.uint32, count=len(words))
-                digest = hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest() if words else None
-                if i is None and digest:
-                    i = int.from_bytes(digest[:7], "little") + (1 << 62)
-                ids.append(i)
-                digests.append(digest)
+                digests.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest() if words else None)
                 sizes.append(max(1, len(words) - cfg.k + 1) if words else 0)
                 found.append(sketcher.of(labelled_shingles(w, cfg.k)) if words else None)
                 hashed.append(w.view(np.int32))
-            return [ids, digests, sizes, found, hashed]
+            return [digests, sizes, found, hashed]
 
         return block
 
-    return map_rows(frame, ["id", "__text"], "id long, digest binary, n int, sketch array<long>, words array<int>", make)
+    schema = f"{names.digest} binary, {names.n} int, {names.sketch} array<long>, {names.words} array<int>"
+    made = map_rows(docs, [text], schema, make, keep=keep)
+    return written(made.withColumn(names.row, F.monotonically_increasing_id()), "sketches")
 
 
 def _alike(x: str, y: str, cfg: NearConfig) -> Column:
@@ -192,28 +197,30 @@ def _alike(x: str, y: str, cfg: NearConfig) -> Column:
 
 
 def verified(pairs: DataFrame, words: DataFrame, cfg: NearConfig) -> DataFrame:
-    """Pairs (a, b) of at least the threshold; ``words`` has id and words of each text.
+    """Pairs (a, b, part) of at least the threshold; ``words`` has row and words of each text.
 
-    ``b`` is joined first, as few pairs share it; a hot ``a`` is left to the skew join.
+    ``a`` may be in many pairs: they are dealt to parts, and its words go to each of them.
     """
-    one = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
-    two = one.join(words.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
+    centres = pairs.groupBy("a").agg(F.max("part").alias("last"))
+    words_a = words.join(centres, words["row"] == centres["a"]).select("a", F.col("words").alias("words_a"), F.explode(F.sequence(F.lit(0), "last")).alias("part"))
+    one = pairs.join(words.select(F.col("row").alias("b"), F.col("words").alias("words_b")), "b")
+    two = one.join(words_a, ["a", "part"])
 
     def make():
         last: dict[int, np.ndarray] = {}
 
         def block(columns: list[list]) -> list[list]:
             out = []
-            for a, wa, wb in zip(columns[0], columns[2], columns[3], strict=True):
+            for a, wa, wb in zip(*columns, strict=True):
                 if a not in last:
                     last.clear()
                     last[a] = labelled_shingles(np.array(wa, dtype=np.int32), cfg.k)
                 out.append(similarity(last[a], labelled_shingles(np.array(wb, dtype=np.int32), cfg.k), cfg.threshold))
-            return [columns[0], columns[1], out]
+            return [out]
 
         return block
 
-    return map_rows(two, ["a", "b", "words_a", "words_b"], "a long, b long, sim double", make).where(F.col("sim") >= cfg.threshold)
+    return map_rows(two, ["a", "words_a", "words_b"], "sim double", make, keep=["a", "b"]).where(F.col("sim") >= cfg.threshold)
 
 
 def _links_between(members: DataFrame, cfg: NearConfig) -> DataFrame:
@@ -267,24 +274,28 @@ def _links_between(members: DataFrame, cfg: NearConfig) -> DataFrame:
     return dealt.groupBy("bucket", "bi", "bj").applyInPandas(compare, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, cfg: NearConfig | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, class_id) of each row of ``docs``; the row with id == class_id stands for its class."""
-    cfg = cfg or NearConfig()
-    rows = written(sketches(docs, cfg, key=key, text=text), "sketches")
-    reps = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    reps = written(reps.select("digest", F.col("m.id").alias("rep"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch"), "copies"), "reps")
+def _classes(rows: DataFrame, cfg: NearConfig) -> DataFrame:
+    """(digest, class_id, kept): of each text that has copies, its class's least id and the row that stays.
+
+    ``rows``: id, row, digest, n, sketch, words.
+    """
+    known = rows.where(F.col("digest").isNotNull())
+    first = F.struct(F.col("id").isNull().alias("anonymous"), "id", "row", "n", "sketch")
+    reps = known.groupBy("digest").agg(F.min(first).alias("m"), F.count(F.lit(1)).alias("copies"))
+    reps = written(reps.select("digest", F.col("m.row").alias("rep"), F.struct("m.anonymous", "m.id", "m.row").alias("first"), "m.n", "m.sketch", "copies"), "reps")
     band = F.array(*[F.xxhash64(F.lit(b), *[F.col("sketch")[b * cfg.rows + r] for r in range(cfg.rows)]) for b in range(cfg.bands)])
     keyed = reps.select("rep", "n", F.posexplode(band).alias("band", "bucket"))
     shared = keyed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("least"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size")).where("members > 1")
     blocks = F.ceil(F.greatest(F.col("members") / cfg.block, F.col("size") / cfg.block_words)).cast("int").alias("blocks")
     buckets = written(keyed.join(shared, "bucket").select("bucket", "band", "rep", "n", blocks, F.col("least.rep").alias("least"), F.col("least.n").alias("least_n")), "buckets")
-    pairs = buckets.where((F.col("rep") != F.col("least")) & _alike("n", "least_n", cfg)).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    words = rows.select("id", "words").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    pairs = buckets.where((F.col("rep") != F.col("least")) & _alike("n", "least_n", cfg)).groupBy(F.col("least").alias("a"), F.col("rep").alias("b"))
+    pairs = written(pairs.agg(F.pmod(F.xxhash64("rep"), F.max("blocks")).cast("int").alias("part")), "pairs")
+    words = rows.select("row", "words").join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
     links = cut(verified(pairs, words, cfg).select("a", "b"))
     labels = min_labels(links, "a", "b")
     labelled = buckets.join(labels, buckets["rep"] == labels["id"], "left").select("bucket", "band", "rep", "n", "blocks", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    left = labelled.join(mixed, "bucket").join(reps.select("rep", "sketch"), "rep").join(words.withColumnRenamed("id", "rep"), "rep")
+    left = labelled.join(mixed, "bucket").join(reps.select("rep", "sketch"), "rep").join(words.withColumnRenamed("row", "rep"), "rep")
     found = cut(_links_between(left, cfg))
     if found.limit(1).count():
         ends = found.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -293,15 +304,28 @@ def classes(docs: DataFrame, cfg: NearConfig | None = None, *, key: str = "doc_i
         over = over.select(F.col("id").alias("old"), F.col("label").alias("new"))
         old = labels.select("id", "label").unionByName(ends.select(F.explode(F.array(F.when(F.col("la").isNull(), F.col("a")), F.when(F.col("lb").isNull(), F.col("b")))).alias("id")).where("id is not null").distinct().withColumn("label", F.col("id")))
         labels = old.join(over, old["label"] == over["old"], "left").select("id", F.coalesce("new", "label").alias("label"))
-    grouped = reps.join(labels, reps["rep"] == labels["id"], "left").select("digest", F.coalesce("label", "rep").alias("class_id"), "copies", "rep")
-    grouped = grouped.where((F.col("copies") > 1) | (F.col("class_id") != F.col("rep"))).select("digest", "class_id")
-    out = rows.select("id", "digest").join(grouped, "digest", "left")
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"))
+    linked = cut(reps.join(labels, reps["rep"] == labels["id"]).select("digest", "label", "first"))
+    firsts = linked.groupBy("label").agg(F.min("first").alias("first"))
+    alone = reps.where("copies > 1").join(linked, "digest", "left_anti").select("digest", "first")
+    grouped = linked.select("digest", "label").join(firsts, "label").select("digest", "first").unionByName(alone)
+    return written(grouped.select("digest", F.col("first.id").alias("class_id"), F.col("first.row").alias("kept")), "classes")
+
+
+def classes(docs: DataFrame, cfg: NearConfig | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, class_id, kept) of each row of ``docs``; one row of each class is kept."""
+    cfg, names = cfg or NearConfig(), Working()
+    given = docs.select(col(key).alias("id"), col(text).alias("text"))
+    made = sketches(given, cfg, names, text="text", keep=["id"])
+    rows = made.select("id", *[F.col(getattr(names, c)).alias(c) for c in ("row", "digest", "n", "sketch", "words")])
+    out = rows.select("id", "row", "digest").join(_classes(rows, cfg), "digest", "left")
+    return out.select("id", F.when(F.col("kept").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("kept") == F.col("row"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, cfg: NearConfig | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class; rows without words or without an id stay."""
-    found = classes(docs.where(F.col(key).isNotNull()), cfg, key=key, text=text)
-    kept = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias(key)).distinct()
-    chosen = docs.join(kept, key, "left_semi").dropDuplicates([key, text])
-    return chosen.unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` with one row of each class."""
+    cfg, names = cfg or NearConfig(), Working(docs.columns)
+    made = sketches(docs, cfg, names, text=text, keep=docs.columns)
+    rows = made.select(col(key).alias("id"), *[F.col(getattr(names, c)).alias(c) for c in ("row", "digest", "n", "sketch", "words")])
+    grouped = _classes(rows, cfg)
+    dropped = written(rows.select("row", "digest").join(grouped, "digest").where(F.col("row") != F.col("kept")).select(F.col("row").alias(names.row)), "dropped")
+    return made.join(dropped, names.row, "left_anti").select(*[col(c) for c in docs.columns])

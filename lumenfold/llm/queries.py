@@ -116,7 +116,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.classes(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "kept")
 
 
 def op8_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
