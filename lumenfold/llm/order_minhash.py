@@ -13,7 +13,7 @@ if the order is kept.  Pairs of at least ``threshold`` are linked; classes are t
 components.
 
 Hot groups: equal word sequences are one representative from the start (combined before the
-shuffle); a bucket's members are first compared with its least member, in parts of ``block``
+shuffle); a bucket's members are first compared with its least member, in parts of ``part``
 where it has many; then, in buckets that still hold several classes, members of different
 classes are held against each other in blocks of ``block`` rows until their classes are joined.
 No bucket's pairs are emitted, and no link between the classes of candidates is lost.
@@ -62,9 +62,8 @@ class NearConfig:
     #: Texts, and shingles, of a bucket that a block holds.
     block: int = 512
     block_words: int = 1 << 21
-    #: Least share of equal sketch values for a pair from a bucket's blocks to be verified; at
-    #: the threshold about threshold**ell of them are equal, and a quarter is five deviations less.
-    sketch_share: float = 0.25
+    #: Pairs with a bucket's least member that share a key.
+    part: int = 256
     seed: int = 5
 
 
@@ -136,6 +135,15 @@ class Sketcher:
         return _mix(h).view(np.int64)
 
 
+    def bands(self, shingles: np.ndarray) -> np.ndarray:
+        """A hash of each band's samples and its number."""
+        samples = self.of(shingles).view(np.uint64).reshape(self.cfg.bands, self.cfg.rows)
+        h = np.arange(self.cfg.bands, dtype=np.uint64)
+        for r in range(self.cfg.rows):
+            h = _mix(h * _U(0x9E3779B97F4A7C15) + samples[:, r])
+        return h.view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
     """Ordered similarity of two arrays of labelled shingles by banded alignment.
 
@@ -162,7 +170,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
 
 
 def sketches(docs: DataFrame, cfg: NearConfig, names: Working, *, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns with row, digest, n, sketch and words; digest is null for a text without words.
+    """``keep`` columns with row, digest, n, bands and words; digest is null for a text without words.
 
     Rows are numbered as they are written, so that the numbers stay.
     """
@@ -180,13 +188,13 @@ def sketches(docs: DataFrame, cfg: NearConfig, names: Working, *, text: str, kee
                 w = np.fromiter(map(memory.__getitem__, words), dtype=np.uint32, count=len(words))
                 digests.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest() if words else None)
                 sizes.append(max(1, len(words) - cfg.k + 1) if words else 0)
-                found.append(sketcher.of(labelled_shingles(w, cfg.k)) if words else None)
+                found.append(sketcher.bands(labelled_shingles(w, cfg.k)) if words else None)
                 hashed.append(w.view(np.int32))
             return [digests, sizes, found, hashed]
 
         return block
 
-    schema = f"{names.digest} binary, {names.n} int, {names.sketch} array<long>, {names.words} array<int>"
+    schema = f"{names.digest} binary, {names.n} int, {names.bands} array<long>, {names.words} array<int>"
     made = map_rows(docs, [text], schema, make, keep=keep)
     return written(made.withColumn(names.row, F.monotonically_increasing_id()), "sketches")
 
@@ -223,80 +231,108 @@ def verified(pairs: DataFrame, words: DataFrame, cfg: NearConfig) -> DataFrame:
     return map_rows(two, ["a", "words_a", "words_b"], "sim double", make, keep=["a", "b"]).where(F.col("sim") >= cfg.threshold)
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], cells: int = 1 << 21) -> np.ndarray:
+    """(left, right): how many values each two arrays of distinct values have in common.
+
+    Values on both sides are columns of 0-1 matrices, ``cells`` of them at a time, and the counts
+    are sums of their products, exact below 2**24.
+    """
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(values):
+        return out
+
+    def places(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, rows = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+        columns = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+        met = np.flatnonzero(values[columns] == flat)
+        met = met[np.argsort(columns[met], kind="stable")]
+        return rows[met], columns[met]
+
+    (rows_a, columns_a), (rows_b, columns_b) = places(left), places(right)
+    width = max(64, cells // max(len(left), len(right)))
+    for at in range(0, len(values), width):
+        n = min(width, len(values) - at)
+        parts = []
+        for size, rows, columns in ((len(left), rows_a, columns_a), (len(right), rows_b, columns_b)):
+            own = slice(*np.searchsorted(columns, [at, at + n]))
+            x = np.zeros((size, n), dtype=np.float32)
+            x[rows[own], columns[own] - at] = 1
+            parts.append(x)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def _links_between(members: DataFrame, cfg: NearConfig) -> DataFrame:
     """Links (a, b) that join different classes of a bucket, by pairs of blocks.
 
-    A pair of blocks goes through its pairs of texts whose classes are not yet joined there, most
-    alike sketches first, and verifies them; a pair is tried only in the first band that it shares.
-    At most one link for each class comes out of a pair of blocks.
+    Members outside a bucket's largest class (left) meet all of its members (right), so that a
+    large class is not held against itself.  A pair of blocks counts the shingles that each two
+    texts share, which bounds their similarity from above, and aligns those pairs that may reach
+    the threshold, the most alike first, until their classes are joined there.  At most one link
+    for each class comes out of a pair of blocks.
     """
-    least = int(cfg.sketch_share * cfg.bands * cfg.rows)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if pdf["bi"].iloc[0] == pdf["bj"].iloc[0]:
-            right = left
+        side = pdf["side"].to_numpy()
         links: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            band = int(pdf["band"].iloc[0])
-            names, roots = np.unique(pdf["label"].to_numpy(), return_inverse=True)
-            roots = dict(zip(pdf.index, roots.tolist(), strict=True))
+        if side.any() and not side.all():
+            shingles = [labelled_shingles(np.asarray(w, dtype=np.int32), cfg.k) for w in pdf["words"]]
+            at_l, at_r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            counts = common_counts([shingles[k] for k in at_l], [shingles[k] for k in at_r])
+            n, ids = pdf["n"].to_numpy(), pdf["rep"].to_numpy()
+            names, own = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+            alike = counts / (n[at_l][:, None] + n[at_r][None, :] - counts)
+            x, y = np.nonzero((alike >= cfg.threshold) & (own[at_l][:, None] != own[at_r][None, :]))
             root = np.arange(len(names))
-            mine, theirs = np.array([roots[k] for k in left.index]), np.array([roots[k] for k in right.index])
-            sketch, n, ids, words = np.stack(right["sketch"]), right["n"].to_numpy(), right["rep"].to_numpy(), right["words"].to_numpy()
-            kept: dict[int, np.ndarray] = {}
-
-            def shingles(i: int, w: np.ndarray) -> np.ndarray:
-                if i not in kept:
-                    kept[i] = labelled_shingles(np.asarray(w, dtype=np.int32), cfg.k)
-                return kept[i]
-
-            for x, own, i, w, k in zip(left["sketch"], mine, left["rep"], left["words"], left["n"], strict=True):
-                far = np.flatnonzero((root[theirs] != root[own]) & (np.minimum(n, k) >= np.floor(cfg.threshold * np.maximum(n, k))))
-                if not len(far):
-                    continue
-                same = sketch[far] == np.asarray(x)[None, :]
-                alike = same.sum(1)
-                first = same.reshape(len(far), cfg.bands, cfg.rows).all(2).argmax(1)
-                good = (alike >= least) & (first == band)
-                for at in far[good][np.argsort(-alike[good], kind="stable")]:
-                    if root[theirs[at]] != root[own] and similarity(shingles(i, w), shingles(ids[at], words[at]), cfg.threshold) >= cfg.threshold:
-                        links.append((min(i, ids[at]), max(i, ids[at])))
-                        root[root == root[theirs[at]]] = root[own]
+            for k in np.argsort(-alike[x, y], kind="stable"):
+                i, j = at_l[x[k]], at_r[y[k]]
+                if root[own[i]] != root[own[j]] and similarity(shingles[i], shingles[j], cfg.threshold) >= cfg.threshold:
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    root[root == root[own[j]]] = root[own[i]]
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    own = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    to = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least("block", k).alias("bi"), F.greatest("block", k).alias("bj"), (F.col("block") > k).cast("int").alias("side")),
-    )
-    dealt = own.select("bucket", "band", "rep", "n", "sketch", "words", "label", F.inline(to))
-    return dealt.groupBy("bucket", "bi", "bj").applyInPandas(compare, "a long, b long").distinct()
+    several = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"))
+    mixed = several.groupBy("bucket").agg(F.max(F.struct("rows", "size", "label")).alias("main"), F.sum("rows").alias("rows"), F.sum("size").alias("size")).where(F.col("rows") > F.col("main.rows"))
+    blocks = lambda rows, size: F.ceil(F.greatest(rows / cfg.block, size / cfg.block_words)).cast("int")
+    dealt = members.join(
+        mixed.select(
+            "bucket", F.col("main.label").alias("main"), blocks(F.col("rows"), F.col("size")).alias("n_right"),
+            blocks(F.col("rows") - F.col("main.rows"), F.col("size") - F.col("main.size")).alias("n_left"),
+        ),
+        "bucket",
+    )
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    right = every("n_left", lambda k: F.struct(k.alias("bl"), mine("n_right").alias("br"), F.lit(1).alias("side")))
+    left = every("n_right", lambda k: F.struct(mine("n_left").alias("bl"), k.alias("br"), F.lit(0).alias("side")))
+    to = F.when(F.col("label") != F.col("main"), F.concat(left, right)).otherwise(right)
+    return dealt.select("bucket", "rep", "n", "words", "label", F.inline(to)).groupBy("bucket", "bl", "br").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _classes(rows: DataFrame, cfg: NearConfig) -> DataFrame:
     """(digest, class_id, kept): of each text that has copies, its class's least id and the row that stays.
 
-    ``rows``: id, row, digest, n, sketch, words.
+    ``rows``: id, row, digest, n, bands, words.
     """
     known = rows.where(F.col("digest").isNotNull())
-    first = F.struct(F.col("id").isNull().alias("anonymous"), "id", "row", "n", "sketch")
+    first = F.struct(F.col("id").isNull().alias("anonymous"), "id", "row", "n", "bands")
     reps = known.groupBy("digest").agg(F.min(first).alias("m"), F.count(F.lit(1)).alias("copies"))
-    reps = written(reps.select("digest", F.col("m.row").alias("rep"), F.struct("m.anonymous", "m.id", "m.row").alias("first"), "m.n", "m.sketch", "copies"), "reps")
-    band = F.array(*[F.xxhash64(F.lit(b), *[F.col("sketch")[b * cfg.rows + r] for r in range(cfg.rows)]) for b in range(cfg.bands)])
-    keyed = reps.select("rep", "n", F.posexplode(band).alias("band", "bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("least"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size")).where("members > 1")
-    blocks = F.ceil(F.greatest(F.col("members") / cfg.block, F.col("size") / cfg.block_words)).cast("int").alias("blocks")
-    buckets = written(keyed.join(shared, "bucket").select("bucket", "band", "rep", "n", blocks, F.col("least.rep").alias("least"), F.col("least.n").alias("least_n")), "buckets")
+    reps = written(reps.select("digest", F.col("m.row").alias("rep"), F.struct("m.anonymous", "m.id", "m.row").alias("first"), "m.n", "m.bands", "copies"), "reps")
+    keyed = reps.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    parts = F.ceil(F.col("members") / cfg.part).cast("int").alias("parts")
+    buckets = written(keyed.join(shared, "bucket").select("bucket", "rep", "n", parts, F.col("least.rep").alias("least"), F.col("least.n").alias("least_n")), "buckets")
     pairs = buckets.where((F.col("rep") != F.col("least")) & _alike("n", "least_n", cfg)).groupBy(F.col("least").alias("a"), F.col("rep").alias("b"))
-    pairs = written(pairs.agg(F.pmod(F.xxhash64("rep"), F.max("blocks")).cast("int").alias("part")), "pairs")
+    pairs = written(pairs.agg(F.pmod(F.xxhash64("rep"), F.max("parts")).cast("int").alias("part")), "pairs")
     words = rows.select("row", "words").join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
     links = cut(verified(pairs, words, cfg).select("a", "b"))
     labels = min_labels(links, "a", "b")
-    labelled = buckets.join(labels, buckets["rep"] == labels["id"], "left").select("bucket", "band", "rep", "n", "blocks", F.coalesce("label", "rep").alias("label"))
+    # Each bucket's least member has met all others, so that only those are held against each other.
+    rest = buckets.where(F.col("rep") != F.col("least"))
+    labelled = rest.join(labels, rest["rep"] == labels["id"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    left = labelled.join(mixed, "bucket").join(reps.select("rep", "sketch"), "rep").join(words.withColumnRenamed("row", "rep"), "rep")
-    found = cut(_links_between(left, cfg))
+    found = cut(_links_between(labelled.join(mixed, "bucket").join(words.withColumnRenamed("row", "rep"), "rep"), cfg))
     if found.limit(1).count():
         ends = found.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
         # Both ends of a new link now belong to one class: classes are joined by their labels.
@@ -316,7 +352,7 @@ def classes(docs: DataFrame, cfg: NearConfig | None = None, *, key: str = "doc_i
     cfg, names = cfg or NearConfig(), Working()
     given = docs.select(col(key).alias("id"), col(text).alias("text"))
     made = sketches(given, cfg, names, text="text", keep=["id"])
-    rows = made.select("id", *[F.col(getattr(names, c)).alias(c) for c in ("row", "digest", "n", "sketch", "words")])
+    rows = made.select("id", *[F.col(getattr(names, c)).alias(c) for c in ("row", "digest", "n", "bands", "words")])
     out = rows.select("id", "row", "digest").join(_classes(rows, cfg), "digest", "left")
     return out.select("id", F.when(F.col("kept").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("kept") == F.col("row"), F.lit(True)).alias("kept"))
 
@@ -325,7 +361,7 @@ def keep_one(docs: DataFrame, cfg: NearConfig | None = None, *, key: str = "doc_
     """``docs`` with one row of each class."""
     cfg, names = cfg or NearConfig(), Working(docs.columns)
     made = sketches(docs, cfg, names, text=text, keep=docs.columns)
-    rows = made.select(col(key).alias("id"), *[F.col(getattr(names, c)).alias(c) for c in ("row", "digest", "n", "sketch", "words")])
+    rows = made.select(col(key).alias("id"), *[F.col(getattr(names, c)).alias(c) for c in ("row", "digest", "n", "bands", "words")])
     grouped = _classes(rows, cfg)
     dropped = written(rows.select("row", "digest").join(grouped, "digest").where(F.col("row") != F.col("kept")).select(F.col("row").alias(names.row)), "dropped")
     return made.join(dropped, names.row, "left_anti").select(*[col(c) for c in docs.columns])
