@@ -10,6 +10,9 @@ are new to the task run their agendas together: words of a length form a matrix,
 row and step, and only the pairs beside a merge are looked up again.  Words over
 ``LONG`` symbols use a heap.
 
+All results are the agenda's.  Every text is also encoded by the library, a block of an Arrow
+batch at a time, and a text on which the two differ is an error.
+
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated
 rows are encoded alike; extra columns are ignored.
 """
@@ -252,52 +255,35 @@ class Agenda:
         return [np.frombuffer(b"".join(map(get, words)), dtype="<i4") for words in split]
 
 
-def _load(path: str) -> tuple[Agenda, object, dict[bytes, tuple]]:
+def _load(path: str) -> tuple[Agenda, object]:
     from sentencepiece import SentencePieceProcessor
 
-    return Agenda(path), SentencePieceProcessor(model_file=path), {}
+    return Agenda(path), SentencePieceProcessor(model_file=path)
 
 
 def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
-    """``keep`` columns with n_tokens, ids_sha256, decoded_sha256 and agrees; ids if asked for.
+    """``keep`` columns with n_tokens, ids_sha256 and decoded_sha256; ids if asked for.
 
-    ``agrees``: the library gives the same ids.  All texts are held against it, a batch at a
-    time; where it did not agree, its ids would be returned.
+    Raises ValueError where the library gives other ids than the agenda.
     """
-    keep = keep or ["doc_id"]
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-
     key = ("pieces", model_path)
 
     def make():
-        agenda, library, known = held(key, lambda: _load(model_path))
-
-        def results(texts: list[str]) -> list[tuple]:
-            out = []
-            for mine, theirs in zip(agenda.ids_of(texts), library.encode(texts, num_threads=1), strict=True):
-                same = mine.tolist() == theirs
-                # The spellings are padded with zero bytes, and the last comma is too many.
-                written = agenda.spelled[mine if same else np.array(theirs, dtype=np.int64)].tobytes().replace(b"\0", b"")[:-1]
-                decoded = library.decode(theirs).encode()
-                out.append((len(theirs), hashlib.sha256(written).hexdigest(), hashlib.sha256(decoded).hexdigest(), same, theirs if with_ids else None))
-            return out
+        agenda, library = held(key, lambda: _load(model_path))
 
         def block(columns: list[list]) -> list[list]:
-            texts = [t or "" for t in columns[-1]]
-            if with_ids:
-                got = results(texts)
-            else:
-                # Equal texts have equal results: copies are encoded once in a worker.
-                names = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
-                new = {k: t for k, t in zip(names, texts, strict=True) if k not in known}
-                if len(known) + len(new) > 30_000:
-                    known.clear()
-                    new = dict(zip(names, texts, strict=True))
-                known.update(zip(new, results(list(new.values())), strict=True))
-                got = [known[k] for k in names]
-            return [*columns[:-1], *map(list, list(zip(*got, strict=True))[: 5 if with_ids else 4])]
+            texts = [t or "" for t in columns[0]]
+            found = agenda.ids_of(texts)
+            ids = [x.tolist() for x in found]
+            for t, mine, theirs in zip(texts, ids, library.encode(texts, num_threads=1), strict=True):
+                if mine != theirs:
+                    raise ValueError(f"the agenda and the library encode a text differently: {t[:200]!r}")
+            decoded = [hashlib.sha256(t.encode()).hexdigest() for t in library.decode(ids, num_threads=1)] if ids else []
+            # The spellings are padded with zero bytes, and the last comma is too many.
+            spelled = [hashlib.sha256(agenda.spelled[x].tobytes().replace(b"\0", b"")[:-1]).hexdigest() for x in found]
+            return [list(map(len, ids)), spelled, decoded, *([ids] if with_ids else [])]
 
         return block
 
-    schema = f"{types}, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean" + ", ids array<int>" * with_ids
-    return map_rows(docs, [*keep, text], schema, make, key)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_rows(docs, [text], schema, make, key, keep=keep or ["doc_id"])
