@@ -1,9 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 1. Sizes (words) are summed by source and block; a block is a hash class of a source's
-   documents.  Sources get blocks in proportion to their rows, one at least and ``blocks`` at
-   most, so that this table has at most ``most_blocks`` rows and one for each source.  Only it
-   comes to the driver, which thus holds memory in proportion to the number of sources.
+   documents.  Sources get blocks in proportion to their rows, one at least, so that this table
+   has at most ``most_blocks`` rows and one for each source.
 2. Targets: sources, in code-point order with null last, weigh 3, 1, 2, repeating, and share
    ``share`` times all sizes; a target stops at ``most`` times its source's size, and the
    excess is shared again by weight until none is above.
@@ -11,17 +10,23 @@
    blocks in a seeded order, each taken if it still fits, so that the words taken fall short
    of the target by less than the smallest block left; one more block is taken where that
    comes nearer.  Small sources try several orders and keep the nearest.
-4. What remains is settled within one block of several documents, on the executors: of that
-   block a prefix of its documents in a hashed order is drawn, the order and prefix of several
-   that come nearest.  So a target is missed by less than documents are long.
+4. What remains is settled within one block of several documents: of that block a prefix of its
+   documents in a hashed order is drawn, the order and prefix of several that come nearest.  So
+   a target is missed by less than documents are long.
 5. The exact quotas are split over the output shards by a binary tree: at each node the left
-   half's blocks of each source are drawn from a multivariate hypergeometric distribution.
-   Shards then take disjoint ranges of each source's permuted draws, and rows are shuffled
-   within their shard by a hash of document and round.
+   half's draws of each group of sources come from a multivariate hypergeometric distribution;
+   a group is one source, or several where there are more than ``groups``, and deals its shares
+   to its sources by the same distribution given those shares.  Shards then take disjoint ranges
+   of each source's permuted draws, and rows are shuffled within their shard by a hash of
+   document and round.
+
+Sources, blocks and draws stay in DataFrames.  The driver gets one row of sums for each round of
+step 2 and the quotas of at most ``groups`` groups, however many sources there are.
 
 Defined results: a null text has size 0; a null source is a source of its own; sources of
 size 0 have target 0; an empty table gives an empty mix; rows with equal ids share their
-block and so are taken alike; other columns pass through, but for those with the names of results.
+block and so are taken alike; other columns pass through, but for those with the names of
+results in any case, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,26 +36,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators.lineage import cut
+from lumenfold.llm.names import Working, col, others
+from lumenfold.operators.lineage import cut, written
+from lumenfold.operators.numbering import number_rows
 
 SOURCE_WEIGHTS = (3, 1, 2)
 #: Names of results, which replace columns of the input.
-RESULTS = ("size", "source_size", "target", "taken", "round", "shard", "place")
+RESULTS = ("size", "source_size", "target", "taken", "shards", "round", "shard", "place")
 
 
 @dataclass(frozen=True)
 class MixConfig:
     share: float = 1.5
     most: float = 2.0
+    #: Blocks that a source has at most, but for one for each ``block_rows`` of its rows.
     blocks: int = 1024
-    #: Bound on the blocks of all sources beyond one for each, whose sums and draws the driver handles.
+    block_rows: int = 1 << 20
+    #: Bound on the blocks of all sources beyond one for each.
     most_blocks: int = 1 << 18
     shards: int = 64
+    #: Groups of sources whose quotas the tree splits on the driver.
+    groups: int = 4096
     seed: int = 23
-    #: The plan is broadcast up to so many rows, counted; beyond that it is joined by shuffle.
+    #: Tables by source or draw are broadcast up to so many rows, counted; beyond that they are joined by shuffle.
     broadcast_rows: int = 500_000
     #: Parts of a source in a join by source that is not broadcast.
     salts: int = 64
@@ -61,22 +72,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")), F.lit(0)).cast("bigint")
 
 
-def targets(sizes: list[int], weights: list[float], total: float, most: float) -> np.ndarray:
-    """Shares of ``total`` by weight, none above ``most`` times its size."""
-    size, weight = np.asarray(sizes, dtype=float), np.asarray(weights, dtype=float)
-    cap, out = most * size, np.zeros(len(size))
-    free = np.ones(len(size), dtype=bool)
-    left = float(total)
-    while free.any() and left > 0:
-        share = left * weight / weight[free].sum()
-        over = free & (share >= cap)
-        if not over.any():
-            out[free] = share[free]
+def targets(sizes: DataFrame, cfg: MixConfig) -> DataFrame:
+    """``sizes`` (source, source_size) with target: ``share`` of all sizes by weight, none above ``most`` times its size.
+
+    A target is min(most * size, level * weight).  The level is that of the sources under their
+    bound, given those at it; each round has one row of sums, and the level only rises.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in SOURCE_WEIGHTS]), (F.col("source") % len(SOURCE_WEIGHTS) + 1).cast("int"))
+    weighed = sizes.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * cfg.most).alias("most"))
+    level = 0.0
+    while True:
+        full = F.col("most") <= F.col("weight") * level
+        total, held, free = weighed.agg(
+            F.sum(F.col("source_size") * cfg.share), F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))
+        ).first()
+        new = (total - held) / free if free else level
+        if new <= level:
             break
-        out[over] = cap[over]
-        left -= float(cap[over].sum())
-        free &= ~over
-    return out
+        level = new
+    return weighed.select("source", "source_size", F.least(F.col("most"), F.col("weight") * level).alias("target"))
 
 
 def draw_quota(words: np.ndarray, target: float, rounds: int, rng: np.random.Generator, tries: int = 200) -> np.ndarray:
@@ -158,119 +172,121 @@ def nearest_prefix(keys: np.ndarray, size: np.ndarray, goal: float, rng: np.rand
     return out
 
 
-def _prefixes(keyed: DataFrame, cuts: list, cfg: MixConfig) -> dict:
-    """(modulus, limit) by number of the cut, for cuts (number, source, block, goal).
+def _draws(blocks: DataFrame, totals: DataFrame, cfg: MixConfig) -> DataFrame:
+    """(source, block, first, times, goal): blocks drawn whole in rounds 0 to times - 1, and with a
+    goal those of which a part with so many words is drawn in round ``first``."""
 
-    ``keyed`` has __source, __block, __key and the unread size, which is worked out only here for
-    documents of cut blocks.
-    """
-    kind = keyed.schema["__source"].dataType.simpleString()
-    wanted = keyed.sparkSession.createDataFrame(cuts, f"__cut long, __s {kind}, __b int, __goal double")
-    met = keyed.join(_maybe_broadcast(wanted, len(cuts), cfg.broadcast_rows), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
-    seed = cfg.seed
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__key", "size"])
-        number = int(pdf["__cut"].iloc[0])
-        modulus, limit = nearest_prefix(pdf["__key"].to_numpy(), pdf["size"].to_numpy(), float(pdf["__goal"].iloc[0]), np.random.default_rng([seed, 1, number]))
-        return pd.DataFrame({"__cut": [number], "modulus": [modulus], "limit": [limit]})
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for source, own in pdf.sort_values(["source", "block"]).groupby("source", sort=True):
+            ids, words, rows, target = own["block"].to_numpy(), own["words"].to_numpy(), own["rows"].to_numpy(), float(own["target"].iloc[0])
+            times = draw_quota(words, target, int(cfg.most), np.random.default_rng([cfg.seed, int(source)]))
+            part = _cut_block(words, rows, times, target, int(cfg.most))
+            out += [(source, int(ids[k]), 0, int(times[k]), None) for k in np.flatnonzero(times)]
+            if part:
+                out.append((source, int(ids[part[0]]), int(times[part[0]]), 1, float(part[1])))
+        return pd.DataFrame(out, columns=["source", "block", "first", "times", "goal"])
 
-    found = met.select("__cut", "__goal", "__key", "size").groupBy("__cut").applyInPandas(one, "__cut long, modulus long, limit long")
-    return {r["__cut"]: (r["modulus"], r["limit"]) for r in found.collect()}
+    grouped = blocks.join(totals, "source").withColumn("group", F.col("source") % cfg.groups)
+    return grouped.groupBy("group").applyInPandas(draw, "source long, block int, first int, times int, goal double")
 
 
-def plan(spark: SparkSession, sized: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame]:
-    """(_source, _block, round, shard, modulus, limit) of all draws, and (_source, source_size, target).
+def _prefixes(sizes: DataFrame, parts: DataFrame, n: int, cfg: MixConfig) -> DataFrame:
+    """(source, block, round, modulus, limit) of parts of blocks; ``sizes`` has source, block, key and size."""
 
-    A draw with a modulus is of those documents of its block whose __key % modulus <= limit.
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "size"])
+        first = pdf.iloc[0]
+        rng = np.random.default_rng([cfg.seed, 1, int(first["source"])])
+        modulus, limit = nearest_prefix(pdf["key"].to_numpy(), pdf["size"].to_numpy(), float(first["goal"]), rng)
+        return pd.DataFrame({"source": [int(first["source"])], "block": [int(first["block"])], "round": [int(first["first"])], "modulus": [modulus], "limit": [limit]})
+
+    met = sizes.join(_maybe_broadcast(parts.select("source", "block", "first", "goal"), n, cfg.broadcast_rows), ["source", "block"])
+    return met.groupBy("source", "block").applyInPandas(one, "source long, block int, round int, modulus long, limit long").where("limit >= 0")
+
+
+def _dealt(draws: DataFrame, cfg: MixConfig) -> DataFrame:
+    """Draws with their shard: quotas of groups by the tree, and those of a group's sources given their sum."""
+    spark = draws.sparkSession
+    grouped = draws.withColumn("group", F.col("source") % cfg.groups)
+    quotas = sorted((r["group"], r["count"]) for r in grouped.groupBy("group").count().collect())
+    if sum(n for _, n in quotas) >= 10**9:
+        raise ValueError("more draws than the distribution takes: use fewer blocks")
+    split = split_quotas(np.array([n for _, n in quotas], dtype=np.int64), cfg.shards, np.random.default_rng([cfg.seed, 1 << 20])) if quotas else np.zeros((cfg.shards, 0))
+    shares = spark.createDataFrame([(g, [int(x) for x in split[:, k]]) for k, (g, _) in enumerate(quotas)], "group long, shares array<long>")
+
+    def deal(pdf: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["source", "block", "round"]).reset_index(drop=True)
+        rng = np.random.default_rng([cfg.seed, 2, int(pdf["group"].iloc[0])])
+        left, shard = np.array(share["shares"].iloc[0], dtype=np.int64), np.empty(len(pdf), dtype=np.int64)
+        for _, at in pdf.groupby("source", sort=True).indices.items():
+            own = rng.multivariate_hypergeometric(left, len(at), method="marginals")
+            left -= own
+            shard[rng.permutation(at)] = np.repeat(np.arange(cfg.shards), own)
+        return pdf.drop(columns="group").assign(shard=shard)
+
+    schema = "source long, block int, round int, modulus long, limit long, shard int"
+    return grouped.groupBy("group").cogroup(shares.groupBy("group")).applyInPandas(deal, schema)
+
+
+def plan(sizes: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame]:
+    """(source, block, draws) of all drawn blocks, and (source, source_size, target).
+
+    ``sizes``: source, block, key and size of each document.  A draw has round, shard, modulus and
+    limit; one with a modulus is of those documents whose key % modulus <= limit.
     """
-    rows = sized.groupBy("__source", "__block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
-    by: dict = {}
-    for r in sorted(rows, key=lambda r: r["__block"]):
-        by.setdefault(r["__source"], []).append((r["__block"], r["words"], r["rows"]))
-    names = sorted(by, key=lambda s: (s is None, s or ""))
-    table = [np.array(by[s], dtype=np.int64) for s in names]
-    sizes = [int(t[:, 1].sum()) for t in table]
-    goal = targets(sizes, [SOURCE_WEIGHTS[i % len(SOURCE_WEIGHTS)] for i in range(len(names))], cfg.share * sum(sizes), cfg.most)
-    drawn, cuts = [], []
-    for i, s in enumerate(names):
-        rng = np.random.default_rng([cfg.seed, i])
-        ids, words, n = table[i].T
-        times = draw_quota(words, float(goal[i]), int(cfg.most), rng)
-        part = _cut_block(words, n, times, float(goal[i]), int(cfg.most))
-        if part:
-            cuts.append((i, s, int(ids[part[0]]), part[1]))
-        drawn.append((ids, times, part, rng))
-    prefixes = _prefixes(sized, cuts, cfg) if cuts else {}
-    draws = []
-    for i, (ids, times, part, rng) in enumerate(drawn):
-        blocks, rounds = np.repeat(ids, times), np.concatenate([np.arange(n) for n in times])
-        parts = [None] * len(blocks)
-        if part and prefixes[i][1] >= 0:
-            blocks, rounds, parts = np.append(blocks, ids[part[0]]), np.append(rounds, times[part[0]]), [*parts, prefixes[i]]
-        order = rng.permutation(len(blocks))
-        draws.append((blocks[order], rounds[order], [parts[k] or (None, None) for k in order]))
-    out = []
-    if names:
-        dealt = split_quotas(np.array([len(d[0]) for d in draws]), cfg.shards, np.random.default_rng([cfg.seed, 1 << 20]))
-        for i, s in enumerate(names):
-            shard = np.repeat(np.arange(cfg.shards), dealt[:, i])
-            out += [(s, int(b), int(k), int(m), *q) for b, k, q, m in zip(*draws[i], shard, strict=True)]
-    totals = [(s, n, float(g)) for s, n, g in zip(names, sizes, goal, strict=True)]
-    kind = sized.schema["__source"].dataType.simpleString()
-    return (
-        spark.createDataFrame(out, f"__source {kind}, __block int, round int, shard int, modulus long, limit long"),
-        spark.createDataFrame(totals, f"__source {kind}, source_size long, target double"),
-    )
+    blocks = cut(sizes.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
+    totals = cut(targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), cfg))
+    drawn = cut(_draws(blocks, totals.select("source", "target"), cfg))
+    whole = drawn.where(F.col("goal").isNull()).select("source", "block", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("round"))
+    whole = whole.withColumns({"modulus": F.lit(None).cast("long"), "limit": F.lit(None).cast("long")})
+    parts = drawn.where(F.col("goal").isNotNull())
+    dealt = _dealt(cut(whole.unionByName(_prefixes(sizes, parts, parts.count(), cfg))), cfg)
+    draws = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("round", "shard", "modulus", "limit"))).alias("draws"))
+    return cut(draws), totals
 
 
 def _maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def _by_source(rows: DataFrame, table: DataFrame, n: int, cfg: MixConfig) -> DataFrame:
-    """``rows`` with the row of ``table`` (__s, ...) of their source; beyond a broadcast, sources are met in parts."""
-    same = F.col("__source").eqNullSafe(F.col("__s"))
+def _by_source(rows: DataFrame, table: DataFrame, on: Column, n: int, key: str, salt: str, cfg: MixConfig) -> DataFrame:
+    """``rows`` with the row of ``table`` of their source; beyond a broadcast, sources are met in parts by ``key``."""
     if n <= cfg.broadcast_rows:
-        return rows.join(F.broadcast(table), same).drop("__s")
-    salted = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
-    return rows.withColumn("__salt", F.pmod("__key", F.lit(cfg.salts))).join(salted, same & (F.col("__salt") == F.col("__part"))).drop("__s", "__salt", "__part")
-
-
-def _sized(docs: DataFrame, cfg: MixConfig, key: str, text: str, source: str) -> DataFrame:
-    given = docs.drop(*RESULTS)
-    counts = cut(docs.groupBy(F.col(source).alias("__s")).agg(F.count(F.lit(1)).alias("__rows")))
-    n, rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("__rows"), F.lit(0))).first()
-    share = F.floor(F.col("__rows") * F.lit(cfg.most_blocks / max(1, rows)))
-    blocks = counts.select("__s", F.least(F.lit(cfg.blocks), F.greatest(F.lit(1), share)).cast("int").alias("__blocks"))
-    keyed = given.withColumns({"__source": F.col(source), "__key": F.xxhash64(F.lit(cfg.seed), key)})
-    met = _by_source(keyed, blocks, n, cfg).withColumn("__block", F.pmod("__key", "__blocks").cast("int")).drop("__blocks")
-    return met.withColumn("size", word_count(F.col(text)))
-
-
-def _drawn(sized: DataFrame, draws: DataFrame, cfg: MixConfig) -> DataFrame:
-    """A row of ``sized`` for each of its draws, with round and shard, which are null on the one row of an undrawn document."""
-    told = draws.groupBy("__source", "__block").agg(F.sort_array(F.collect_list(F.struct("round", "shard", "modulus", "limit"))).alias("__all"))
-    told = told.select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), "__all")
-    met = sized.join(_maybe_broadcast(told, draws.count(), cfg.broadcast_rows), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")), "left")
-    held = F.filter("__all", lambda d: d["modulus"].isNull() | (F.pmod(F.col("__key"), d["modulus"]) <= d["limit"]))
-    return met.withColumn("__draw", F.explode_outer(held)).withColumns({"round": F.col("__draw.round"), "shard": F.col("__draw.shard")}).drop("__draw", "__all", "__s", "__b")
+        return rows.join(F.broadcast(table), on)
+    salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
+    return rows.join(salted, on & (F.pmod(F.col(key), F.lit(cfg.salts)) == F.col(salt)))
+
+
+def _planned(docs: DataFrame, cfg: MixConfig, w: Working, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame, int]:
+    """``docs`` with the working columns source (a number), key and held (a row's draws), and its size; totals by source, and their number."""
+    counts = docs.groupBy(col(source).alias("name")).agg(F.count(F.lit(1)).alias("rows")).withColumn("anonymous", F.col("name").isNull())
+    named = cut(number_rows(counts, "anonymous", "name", name="source"))
+    n, rows = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    most = F.greatest(F.lit(cfg.blocks), F.ceil(F.col("rows") / cfg.block_rows))
+    blocks = F.least(most, F.greatest(F.lit(1), F.floor(F.col("rows") * F.lit(cfg.most_blocks / max(1, rows))))).cast("int")
+    table = named.select(F.col("name").alias(w.name), F.col("source").alias(w.source), blocks.alias(w.blocks))
+    keyed = docs.withColumn(w.key, F.xxhash64(F.lit(cfg.seed), col(key)))
+    met = _by_source(keyed, table, col(source).eqNullSafe(F.col(w.name)), n, w.key, w.salt, cfg)
+    own = [col(c) for c in others(docs.columns, RESULTS)]
+    sized = met.select(*own, w.source, w.key, F.pmod(w.key, w.blocks).cast("int").alias(w.block), word_count(col(text)).alias("size"))
+    sizes = written(sized.select(*[F.col(getattr(w, c)).alias(c) for c in ("source", "block", "key")], "size"), "sizes")
+    draws, totals = plan(sizes, cfg)
+    told = draws.select(F.col("source").alias(w.s), F.col("block").alias(w.b), F.col("draws").alias(w.draws))
+    drawn = sized.join(_maybe_broadcast(told, draws.count(), cfg.broadcast_rows), (F.col(w.source) == F.col(w.s)) & (F.col(w.block) == F.col(w.b)), "left")
+    held = F.filter(w.draws, lambda d: d["modulus"].isNull() | (F.pmod(F.col(w.key), d["modulus"]) <= d["limit"]))
+    return drawn.withColumn(w.held, F.coalesce(held, F.array().cast(drawn.schema[w.draws].dataType))), totals, n
 
 
 def takes(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and taken (words that the mix takes of a row).
-
-    ``taken`` is summed over the drawn rows of each document, as ``mix`` has them.
-    """
-    cfg = cfg or MixConfig()
-    sized = _sized(docs, cfg, key, text, source)
-    draws, totals = plan(docs.sparkSession, sized.select("__source", "__block", "__key", "size"), cfg)
-    own = [c for c in docs.columns if c not in RESULTS]
-    told = _by_source(sized, totals.withColumnRenamed("__source", "__s"), totals.count(), cfg)
-    drawn = _drawn(told.withColumn("__row", F.monotonically_increasing_id()), draws, cfg)
-    taken = F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(F.lit(0))).alias("taken")
-    kept = [*own, "size", "source_size", "target"]
-    return drawn.groupBy("__row").agg(*[F.first(c).alias(c) for c in kept], taken).select(*kept, "taken")
+    """``docs`` with size, source_size, target, taken (words that the mix takes of a row) and shards, one for each draw of it."""
+    cfg, w = cfg or MixConfig(), Working(docs.columns)
+    drawn, totals, n = _planned(docs, cfg, w, key, text, source)
+    table = totals.select(F.col("source").alias(w.s2), "source_size", "target")
+    told = _by_source(drawn, table, F.col(w.source) == F.col(w.s2), n, w.key, w.salt, cfg)
+    own = [col(c) for c in others(docs.columns, RESULTS)]
+    shards = F.transform(w.held, lambda d: d["shard"])
+    return told.select(*own, "size", "source_size", "target", (F.col("size") * F.size(shards)).cast("bigint").alias("taken"), shards.alias("shards"))
 
 
 def mix(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -278,12 +294,12 @@ def mix(docs: DataFrame, cfg: MixConfig | None = None, *, key: str = "doc_id", t
 
     A row stands once for each draw of it.  Sort by shard and place to write shards.
     """
-    cfg = cfg or MixConfig()
-    sized = _sized(docs, cfg, key, text, source)
-    draws, _ = plan(docs.sparkSession, sized.select("__source", "__block", "__key", "size"), cfg)
-    own = [c for c in docs.columns if c not in RESULTS]
-    out = _drawn(sized, draws, cfg).where(F.col("shard").isNotNull())
-    return out.select(*own, "round", "shard", F.xxhash64(F.lit(cfg.seed + 1), F.col(key), "round").alias("place"))
+    cfg, w = cfg or MixConfig(), Working(docs.columns)
+    drawn, _, _ = _planned(docs, cfg, w, key, text, source)
+    out = drawn.withColumn(w.draw, F.explode(w.held))
+    round_ = F.col(w.draw)["round"]
+    own = [col(c) for c in others(docs.columns, RESULTS)]
+    return out.select(*own, round_.alias("round"), F.col(w.draw)["shard"].alias("shard"), F.xxhash64(F.lit(cfg.seed + 1), col(key), round_).alias("place"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM ranked WH
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.takes(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.takes(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

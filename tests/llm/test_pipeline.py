@@ -78,12 +78,14 @@ def test_near_duplicates(stages):
 
 
 def test_mixture(stages):
+    from test_native import water_filling
+
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in stages[3]}
     times = Counter(r.doc_id for r in stages[4])
     assert set(times) <= set(size) and max(times.values()) <= 2
     sources = sorted({r.source for r in stages[3]})
     total = [sum(size[r.doc_id] for r in stages[3] if r.source == s) for s in sources]
-    goal = mixing.targets(total, [(3, 1, 2)[k % 3] for k in range(len(sources))], 1.5 * sum(total), 2)
+    goal = water_filling(total)
     for s, t in zip(sources, goal, strict=True):
         taken = sum(size[r.doc_id] for r in stages[4] if r.source == s)
         assert abs(taken - t) <= max(0.05 * t, 5)
