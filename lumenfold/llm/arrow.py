@@ -88,7 +88,8 @@ def map_rows(
     given = df.select(*[col(c) for c in names])
     read = [names.index(c) for c in columns]
     made = _parse_datatype_string(schema) if isinstance(schema, str) else schema
-    out = StructType([*[StructField(f.name, f.dataType) for f in given.schema.fields[: len(keep)]], *made.fields])
+    # Numbered names on the way, since names with dots are not accepted.
+    out = StructType([*[StructField(f"kept{k}", f.dataType) for k, f in enumerate(given.schema.fields[: len(keep)])], *[StructField(f"made{k}", f.dataType) for k, f in enumerate(made.fields)]])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,4 +102,4 @@ def map_rows(
                 new = [v if isinstance(v, pa.Array) else pa.array(v, t.type) for v, t in zip(got, list(arrow)[len(keep) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *new], schema=arrow)
 
-    return given.mapInArrow(run, out)
+    return given.toDF(*[f"given{k}" for k in range(len(names))]).mapInArrow(run, out).toDF(*keep, *made.names)

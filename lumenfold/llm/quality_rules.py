@@ -5,7 +5,8 @@ carriage return.  Base figures of a text: words, characters in words, symbols, l
 repeat an earlier line, and words in five-word windows that occur twice or more.
 
 Defined results: a null text counts as empty; an empty text fails the base rules; a text of
-under five words has no windows; ratios over no words are 0; other columns pass through, but for those with the names of results.
+under five words has no windows; ratios over no words are 0; repeated rows are judged alike;
+other columns pass through, but for those with the names of results in any case, which are replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.names import Working, col, others
+
 # Frequent function words of four languages.
 STOP_WORDS = (
     "the of and to in that is was for on it with as be at by he this are or from had not an you "
@@ -82,35 +85,35 @@ def _covered(hashes: Column) -> Column:
     return _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda o: _let(places(o), words))
 
 
-def _repeat_words() -> Column:
+def _repeat_words(hashes: Column) -> Column:
     """Words in five-word windows found twice or more; most texts have none and stop at the count."""
-    hashes = F.col("__windows")
     return F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(0)).otherwise(_covered(hashes))
 
 
 def with_metrics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with the base figures and ratios, in two projections and no shuffle."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    w = Working(docs.columns)
+    t = F.coalesce(col(text), F.lit(""))
     words = F.array_remove(F.split(t, r"[\x20\x09-\x0D]+", -1), "")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n, hashed = F.size("__words"), F.col("__hashed")
+    n, hashed = F.size(w.words), F.col(w.hashed)
     windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(WINDOW)]))
     )
-    a = docs.withColumns({"__words": words, "__lines": lines})
-    a = a.withColumn("__hashed", F.transform("__words", lambda w: F.xxhash64(w)))
-    a = a.withColumn("__windows", windows)
+    a = docs.withColumns({w.words: words, w.lines: lines})
+    a = a.withColumn(w.hashed, F.transform(w.words, lambda x: F.xxhash64(x)))
+    a = a.withColumn(w.windows, windows)
     whole = F.length(t)
     a = a.select(
-        *[c for c in docs.columns if c not in RESULTS],
-        F.size("__words").cast("bigint").alias("n_words"),
+        *[col(c) for c in others(docs.columns, RESULTS)],
+        F.size(w.words).cast("bigint").alias("n_words"),
         (whole - _count_of(t, SPACE)).cast("bigint").alias("word_chars"),
         _count_of(t, SYMBOLS).cast("bigint").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-        _repeat_words().cast("bigint").alias("n_repeat_words"),
-        F.size("__lines").cast("bigint").alias("n_lines"),
-        F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint").alias("n_stop_words"),
-        F.size(F.filter("__words", lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w))).cast("bigint").alias("n_upper_words"),
+        (F.size(w.lines) - F.size(F.array_distinct(w.lines))).cast("bigint").alias("n_dup_lines"),
+        _repeat_words(F.col(w.windows)).cast("bigint").alias("n_repeat_words"),
+        F.size(w.lines).cast("bigint").alias("n_lines"),
+        F.size(F.filter(w.words, lambda x: F.lower(x).isin(STOP_WORDS))).cast("bigint").alias("n_stop_words"),
+        F.size(F.filter(w.words, lambda x: (F.length(x) > 1) & (F.upper(x) == x) & (F.lower(x) != x))).cast("bigint").alias("n_upper_words"),
     )
     per = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(F.lit(0.0))
     return a.withColumns({

@@ -18,7 +18,8 @@ again by row id after a partial maximum, so that one row for each page is shuffl
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule, and
 the default verdict; an empty rule table leaves the default verdict everywhere; repeated
-rows stay; other columns pass through, but for those with the names of results, which are replaced.
+rows stay; other columns pass through, but for those with the names of results in any case,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.names import Working, col, others
 from lumenfold.operators.lineage import written
 
 MAX_PATH = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_SCHEMA = "rule_host string, rule_path string, verdict string"
+RESULTS = ("host", "path", "rule", "verdict")
 #: A rule's rank: total length, then host length, then block before allow.
 _HOST_BITS = 1 << 20
 
@@ -60,33 +63,32 @@ def filter_urls(
 
     ``rules``: rule_host, rule_path and verdict, allow or block.
     """
+    w = Working(pages.columns)
     usable = rules.where(F.col("rule_host").isNotNull() & F.col("rule_path").isNotNull())
     keyed = usable.select(
-        _digest(F.col("rule_host"), F.col("rule_path")).alias("__full"),
-        ((F.length("rule_host") + F.length("rule_path")) * _HOST_BITS * 2 + F.length("rule_host") * 2 + (F.col("verdict") == "block").cast("int")).cast("bigint").alias("__rank"),
-    ).withColumn("__short", F.substring("__full", 1, 8))
+        _digest(F.col("rule_host"), F.col("rule_path")).alias(w.full),
+        ((F.length("rule_host") + F.length("rule_path")) * _HOST_BITS * 2 + F.length("rule_host") * 2 + (F.col("verdict") == "block").cast("int")).cast("bigint").alias(w.rank),
+    ).withColumn(w.short, F.substring(w.full, 1, 8))
     known = usable.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("n"), F.count(F.lit(1)).alias("rules")).first()
     if known["n"] and known["n"][-1] > MAX_PATH:
         raise ValueError(f"a rule's path is longer than {MAX_PATH}")
     lengths = F.array(*[F.lit(n) for n in known["n"]]) if known["n"] else F.array().cast("array<int>")
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("__row"))
+    own = others(pages.columns, RESULTS)
+    rows = pages.select(*[col(c) for c in own], host_of(col(url)).alias("host"), path_of(col(url)).alias("path"))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     pairs = F.flatten(F.transform(_suffixes(F.col("host")), lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
+    # Row ids are read by two branches, which must see the same ones: they are written first.
+    rows = written(rows.withColumn(w.row, F.monotonically_increasing_id()), "urls")
+    expanded = rows.where(F.col("host") != "").select(w.row, F.explode(pairs).alias(w.page)).withColumn(w.short, F.substring(w.page, 1, 8))
     if (force or ("broadcast" if known["rules"] <= broadcast_rules else "shuffle")) == "broadcast":
-        met = rows.select("*", F.explode_outer(F.when(F.col("host") != "", pairs)).alias("__page"))
-        met = met.withColumn("__short", F.substring("__page", 1, 8)).join(F.broadcast(keyed), "__short", "left")
-        best = met.groupBy("__row", *own, "host", "path").agg(F.max(F.when(F.col("__page") == F.col("__full"), F.col("__rank"))).alias("__rank"))
+        met = expanded.join(F.broadcast(keyed), w.short)
     else:
-        # Row ids are read by two branches, which must see the same ones: they are written first.
-        rows = written(rows, "urls")
-        expanded = rows.where(F.col("host") != "").select("__row", F.explode(pairs).alias("__page"))
-        dealt = expanded.select("__row", "__page", F.substring("__page", 1, 8).alias("__short"), F.pmod(F.hash("__row"), F.lit(salts)).alias("__salt"))
-        spread = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-        hits = dealt.join(spread.hint("merge"), ["__short", "__salt"]).where(F.col("__page") == F.col("__full")).groupBy("__row").agg(F.max("__rank").alias("__rank"))
-        best = rows.join(hits, "__row", "left")
-    host_length = F.pmod(F.floor(F.col("__rank") / 2), F.lit(_HOST_BITS)).cast("int")
-    path_length = (F.floor(F.col("__rank") / (2 * _HOST_BITS)) - host_length).cast("int")
+        spread = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(w.salt))
+        met = expanded.withColumn(w.salt, F.pmod(F.hash(w.row), F.lit(salts))).join(spread.hint("merge"), [w.short, w.salt])
+    hits = met.where(F.col(w.page) == F.col(w.full)).groupBy(w.row).agg(F.max(w.rank).alias(w.rank))
+    best = rows.join(hits, w.row, "left")
+    host_length = F.pmod(F.floor(F.col(w.rank) / 2), F.lit(_HOST_BITS)).cast("int")
+    path_length = (F.floor(F.col(w.rank) / (2 * _HOST_BITS)) - host_length).cast("int")
     rule = F.concat(F.substr(F.col("host"), F.length("host") - host_length + 1), F.col("path").substr(F.lit(1), path_length))
-    verdict = F.when(F.col("__rank").isNull(), F.lit(default)).when(F.pmod("__rank", F.lit(2)) == 1, F.lit("block")).otherwise(F.lit("allow"))
-    return best.select(*own, "host", "path", F.when(F.col("__rank").isNotNull(), rule).alias("rule"), verdict.alias("verdict"))
+    verdict = F.when(F.col(w.rank).isNull(), F.lit(default)).when(F.pmod(w.rank, F.lit(2)) == 1, F.lit("block")).otherwise(F.lit("allow"))
+    return best.select(*[col(c) for c in own], "host", "path", F.when(F.col(w.rank).isNotNull(), rule).alias("rule"), verdict.alias("verdict"))

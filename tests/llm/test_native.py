@@ -37,7 +37,7 @@ def brute_lines(rows, ratio, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("force", ["broadcast", "shuffle", None])
+@pytest.mark.parametrize("force", ["arrays", "broadcast", "shuffle", None])
 def test_lines_match_brute_force(spark, force):
     rng = random.Random(2)
     rows = [(i, "\n".join(rng.choice(["menu", " menu ", "foot", "", "a b", f"own {rng.randrange(400)}"]) for _ in range(rng.randrange(12))), rng.choice(["hot", "hot", "hot", "x", None])) for i in range(300)]
@@ -102,10 +102,28 @@ def test_conflicting_rules_block(spark):
 # Mixing
 
 
-def test_targets_water_filling():
-    got = mixing.targets([100, 100, 0, 50], [3, 1, 2, 3], 1.5 * 250, 2.0)
-    assert got.sum() == pytest.approx(375) and (got <= 2 * __import__("numpy").array([100, 100, 0, 50]) + 1e-9).all()
-    assert got[0] == 200 and got[3] == 100 and got[2] == 0 and got[1] == pytest.approx(75)
+def water_filling(sizes, share=1.5, most=2.0):
+    """Targets of sources in their order, one at its bound at a time."""
+    weight = [(3, 1, 2)[k % 3] for k in range(len(sizes))]
+    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), share * sum(sizes)
+    while free and left > 0:
+        total = sum(weight[k] for k in free)
+        over = [k for k in free if left * weight[k] / total >= most * sizes[k]]
+        for k in over or free:
+            out[k] = most * sizes[k] if over else left * weight[k] / total
+        if not over:
+            break
+        left -= sum(out[k] for k in over)
+        free -= set(over)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 0, 50], [7], [0, 0], [], [10**6, 1, 1, 1, 5, 900], list(range(1, 200))])
+def test_targets_water_filling(spark, sizes):
+    table = spark.createDataFrame(list(enumerate(sizes)), "source long, source_size long")
+    got = {r.source: r.target for r in mixing.targets(table, mixing.MixConfig()).collect()}
+    assert [got[k] for k in range(len(sizes))] == pytest.approx(water_filling(sizes))
+    assert sum(got.values()) == pytest.approx(1.5 * sum(sizes))
 
 
 def test_split_tree_is_exact_and_spread():
@@ -136,7 +154,7 @@ def test_takes_come_near_their_targets(spark):
         s[1] += r.taken
         assert r.taken in (0, r.size, 2 * r.size)
     names = sorted(by, key=lambda s: (s is None, s or ""))
-    want = mixing.targets([by[s][0] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(v[0] for v in by.values()), 2)
+    want = water_filling([by[s][0] for s in names])
     for s, t in zip(names, want, strict=True):
         assert by[s][2] == by[s][0] and by[s][3] == pytest.approx(t)
         assert abs(by[s][1] - t) <= max(1, 0.01 * t), (s, by[s], t)
@@ -148,8 +166,38 @@ def test_mix_repeats_rows_as_taken_and_agrees_with_itself(spark):
     m = mixing.mix(a).select("doc_id", "round", "shard", "place")
     assert sorted(map(tuple, m.collect())) == sorted(map(tuple, mixing.mix(b).select("doc_id", "round", "shard", "place").collect()))
     times = {r.doc_id: r["count"] for r in m.groupBy("doc_id").count().collect()}
+    shards = {r.doc_id: sorted(r.s) for r in m.groupBy("doc_id").agg(F.collect_list("shard").alias("s")).collect()}
     for r in mixing.takes(a).where("doc_id <> 3 and size > 0").collect():
-        assert times.get(r.doc_id, 0) * r.size == r.taken
+        assert times.get(r.doc_id, 0) * r.size == r.taken and sorted(r.shards) == shards.get(r.doc_id, [])
+
+
+def test_shards_come_from_the_tree(spark):
+    """A block's draw is in one shard, shards hold disjoint draws, and another tree gives other shards."""
+    rows = mixed_rows(spark)
+    df = docs(spark, rows).where("doc_id <> 3").dropDuplicates(["doc_id"])
+    found = {n: {r.doc_id: r for r in mixing.takes(df, mixing.MixConfig(shards=n)).collect()} for n in (1, 5)}
+    assert {s for r in found[1].values() for s in r.shards} == {0} and {s for r in found[5].values() for s in r.shards} == set(range(5))
+    assert all(r.taken == r.size * len(r.shards) and r.taken == found[1][i].taken for i, r in found[5].items())
+    again = {r.doc_id: r.shards for r in mixing.takes(df, mixing.MixConfig(shards=5, seed=24)).collect()}
+    assert again != {i: r.shards for i, r in found[5].items()}
+    drawn = mixing.mix(df, mixing.MixConfig(shards=5)).select("doc_id", "round", "shard", "place").collect()
+    assert len({(r.doc_id, r["round"]) for r in drawn}) == len(drawn) == sum(len(r.shards) for r in found[5].values())
+    sizes = {k: sum(r.shard == k for r in drawn) for k in range(5)}
+    assert max(sizes.values()) < 2 * min(sizes.values())
+
+
+def test_groups_of_sources_share_a_quota(spark):
+    """More sources than groups: the driver has one quota a group, and every draw has its shard."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), f"s{i % 90:02d}") for i in range(1800)]
+    got = mixing.takes(docs(spark, rows), mixing.MixConfig(groups=4, shards=6)).collect()
+    by = {}
+    for r in got:
+        s = by.setdefault(r.source, [0, r.target])
+        s[0] += r.taken
+    assert all(abs(n - t) <= max(2, 0.02 * t) for n, t in by.values()), by
+    per = [sum(r.shards.count(k) for r in got) for k in range(6)]
+    assert min(per) > 0 and max(per) < 2 * min(per)
 
 
 @pytest.mark.parametrize("most", [12, 1 << 18])
