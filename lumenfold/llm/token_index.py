@@ -8,13 +8,17 @@ falls on its bit, and its slot is the number of bits set before) and, for each s
 and a key that is not there is refused, but for one in 2**32.
 
 Documents are dealt to shards by ranges of the key, so that the shards follow one another in
-key order; ``start`` counts the ids of all documents before.  Each task writes a file under a
-name of its own in the folder that the cluster shares, and only files named in the returned
-manifest count, so that a lost task leaves nothing that is read.
-
-Defined results: a null or empty text has only the end id; rows with equal keys are ordered
-by their text's hash and told apart by a repeat number; a null key sorts first; an empty table
-gives no shards and no rows; extra columns are ignored.
+key order; ``start`` counts the ids of all documents before.  There is a shard for each
+``shard_bytes`` of text.  Rows of one key are ordered by their text's hash and their place in
+the table, so that a key with many rows may lie in several shards.  Each task writes a file
+under a name of its own, in the folder that the cluster shares, as Spark's file systems resolve
+it; only files named in the returned manifest count, so that a lost task leaves nothing that is
+read.
+
+Defined results: a null or empty text has only the end id; rows with equal keys are told apart
+by a repeat number, which runs on over shards; null keys sort first and are no number; keys
+that are no whole numbers are refused; an empty table gives no shards and no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,21 +31,26 @@ import sys
 import uuid
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from lumenfold.llm.arrow import held, release
+from lumenfold.llm.arrow import blocks_of, held, release
+from lumenfold.llm.names import col
 from lumenfold.operators.lineage import shared_path
 
-MAGIC = b"LFTOKID1"
-_HEAD = struct.Struct("<8sQQQQQQI")  # magic, documents, ids, places of ends, keys, index; length of the index; bytes of an id
+MAGIC = b"LFTOKID2"
+_HEAD = struct.Struct("<8sQQQQQQQI")  # magic, documents, null keys, ids, places of ends, keys, index; length of the index; bytes of an id
 _U = np.uint64
-MANIFEST = "shard int, path string, documents long, tokens long"
-NULL_KEY = -(1 << 63)
+#: ``base``: rows of the shard's first key in the shards before it.
+MANIFEST = "shard int, path string, documents long, tokens long, nulls long, first_key long, last_key long, base long"
+#: Bytes of text that a shard is for.
+SHARD_BYTES = 1 << 29
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -51,8 +60,20 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _codes(keys: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-    return _mix(_mix(keys.astype(np.int64).view(np.uint64), 1) + repeats.astype(np.uint64), 2)
+def _codes(keys: np.ndarray, repeats: np.ndarray, nulls: np.ndarray) -> np.ndarray:
+    return _mix(_mix(keys.astype(np.int64).view(np.uint64), 1) + repeats.astype(np.uint64), 2) ^ (nulls.astype(np.uint64) * _U(0xA0761D6478BD642F))
+
+
+def _repeats(keys: np.ndarray, nulls: int) -> np.ndarray:
+    """How many rows of its key stand before each row; the first ``nulls`` keys are null."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64)
+    at = np.arange(len(keys))
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    new[1:nulls] = False
+    if 0 < nulls < len(keys):
+        new[nulls] = True
+    return at - np.maximum.accumulate(np.where(new, at, 0))
 
 
 class PerfectHash:
@@ -108,10 +129,24 @@ class PerfectHash:
         return cls(levels), at
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A folder as Spark's file systems name it, made if need be; a path without a scheme is not
+    taken for a local one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    given = jvm.org.apache.hadoop.fs.Path(path)
+    fs = given.getFileSystem(conf)
+    fs.mkdirs(given)
+    return fs.makeQualified(given).toString()
+
+
 def _filesystem(uri: str):
+    """pyarrow's file system and path of a qualified name."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
 
 
 class ShardWriter:
@@ -120,36 +155,35 @@ class ShardWriter:
     def __init__(self, uri: str, id_bytes: int):
         fs, path = _filesystem(uri)
         self.out, self.id_bytes = fs.open_output_stream(path), id_bytes
-        self.spool: list[bytes] = []
-        self.keys: list[int] = []
-        self.ends: list[int] = []
+        self.keys, self.ends = array("q"), array("q")
+        self.nulls = 0
         self.tokens = 0
         self.written = 0
 
     def add(self, key: int | None, ids: bytes) -> None:
-        self.keys.append(NULL_KEY if key is None else key)
+        """The next document; keys ascend, nulls first."""
+        self.nulls += key is None
+        self.keys.append(key or 0)
         self.tokens += len(ids) // self.id_bytes
         self.ends.append(self.tokens)
         self.out.write(ids)
         self.written += len(ids)
 
     def close(self) -> None:
-        keys = np.array(self.keys, dtype="<i8")
-        new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, dtype=bool)
+        keys = np.frombuffer(self.keys, dtype=np.int64).astype("<i8")
         at = np.arange(len(keys))
-        repeats = at - np.maximum.accumulate(np.where(new, at, 0)) if len(keys) else at
-        codes = _codes(keys, repeats)
+        codes = _codes(keys, _repeats(keys, self.nulls), at < self.nulls)
         table = PerfectHash.build(codes)
         slots = table.slots(codes)
         numbers, prints = np.zeros(len(keys), dtype="<u4"), np.zeros(len(keys), dtype="<u4")
         numbers[slots] = at
         prints[slots] = (_mix(codes, 3) >> _U(32)).astype("<u4")
         index = table.to_bytes() + prints.tobytes() + numbers.tobytes()
-        ends = np.array(self.ends, dtype="<u8").tobytes()
+        ends = np.frombuffer(self.ends, dtype=np.int64).astype("<u8").tobytes()
         places = np.cumsum([self.written, len(ends), keys.nbytes])
         self.out.write(ends + keys.tobytes() + index)
         # A trailer, not a header: an object store takes a file in one go.
-        self.out.write(_HEAD.pack(MAGIC, len(keys), self.tokens, *map(int, places), len(index), self.id_bytes))
+        self.out.write(_HEAD.pack(MAGIC, len(keys), self.nulls, self.tokens, *map(int, places), len(index), self.id_bytes))
         self.out.close()
 
 
@@ -160,7 +194,7 @@ class ShardReader:
         fs, path = _filesystem(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
-        magic, self.documents, self.tokens, ends, keys, index, length, self.id_bytes = _HEAD.unpack(self.file.read_at(_HEAD.size, size - _HEAD.size))
+        magic, self.documents, self.nulls, self.tokens, ends, keys, index, length, self.id_bytes = _HEAD.unpack(self.file.read_at(_HEAD.size, size - _HEAD.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is not a shard of token ids")
         self.ends = np.frombuffer(self.file.read_at(keys - ends, ends), dtype="<u8").astype(np.int64)
@@ -171,11 +205,12 @@ class ShardReader:
         self.numbers = np.frombuffer(data, dtype="<u4", count=self.documents, offset=at + 4 * self.documents)
 
     def keys(self) -> np.ndarray:
+        """Keys of the documents; those of the first ``nulls`` stand for null."""
         return np.frombuffer(self.file.read_at(8 * self.documents, self._keys_at), dtype="<i8")
 
-    def find(self, keys: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray, repeats: np.ndarray, nulls: np.ndarray) -> np.ndarray:
         """Number of the document of each key, or -1."""
-        codes = _codes(keys, repeats)
+        codes = _codes(keys, repeats, nulls)
         slots = self.table.slots(codes)
         there = slots >= 0
         there[there] = self.prints[slots[there]] == (_mix(codes[there], 3) >> _U(32)).astype(np.uint32)
@@ -187,7 +222,7 @@ class ShardReader:
         return np.frombuffer(self.file.read_at(count * self.id_bytes, first * self.id_bytes), dtype=f"<u{self.id_bytes}")
 
     def get(self, key: int | None, repeat: int = 0) -> np.ndarray | None:
-        number = int(self.find(np.array([NULL_KEY if key is None else key]), np.array([repeat]))[0])
+        number = int(self.find(np.array([key or 0]), np.array([repeat]), np.array([key is None]))[0])
         return None if number < 0 else self.ids(number)
 
     def close(self) -> None:
@@ -264,30 +299,43 @@ class WordEncoder:
         return [x + self.end for x in out]
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, shards: int | None = None, folder: str | None = None) -> DataFrame:
-    """Write shards and return their manifest: shard, path, documents, tokens, in key order.
-
-    The manifest has one row for each shard; it comes to the driver, which names the files.
+def write_shards(
+    docs: DataFrame,
+    tokenizer_path: str,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    end_id: int = 1,
+    shards: int | None = None,
+    shard_bytes: int = SHARD_BYTES,
+    folder: str | None = None,
+) -> DataFrame:
+    """Write shards and return their manifest, one row for each shard, in key order.
+
+    The manifest comes to the driver, which names the files and counts repeats over shards.
     """
     spark = docs.sparkSession
-    folder = folder or shared_path(spark, "token-ids")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if "://" not in folder:
-        os.makedirs(folder.removeprefix("file:"), exist_ok=True)
-    elif folder.startswith("file://"):
-        os.makedirs(folder.removeprefix("file://"), exist_ok=True)
-    frame = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    ordered = frame.repartitionByRange(shards, "__key").withColumn("__part", F.spark_partition_id()).sortWithinPartitions("__key", F.xxhash64("__text"))
+    if not isinstance(docs.select(col(key)).schema[0].dataType, IntegralType):
+        raise TypeError(f"{key} is no column of whole numbers")
+    folder = qualified(spark, folder or shared_path(spark, "token-ids"))
+    frame = docs.select(col(key).cast("long").alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
+    if shards is None:
+        size = frame.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) if size > shard_bytes else 1, -(-size // shard_bytes))
+    # Equal rows are split by their place, so that no key, null or text fills a task.
+    order = ["key", F.xxhash64("text"), "place"]
+    ordered = frame.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(shards, *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
 
     mine = ("words", tokenizer_path, end_id)
+    schema = MANIFEST.removesuffix(", base long") + ", first_rows long, last_rows long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(mine)
         encoder = held(mine, lambda: WordEncoder(tokenizer_path, end_id))
         writer, part, path = None, -1, ""
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                keys, texts, parts = (c.to_pylist() for c in batch.slice(at, 512).columns)
+            for block in blocks_of(batch):
+                keys, texts, parts = (c.to_pylist() for c in block.columns)
                 if writer is None:
                     part, path = parts[0], f"{folder}/shard-{parts[0]:06d}-{uuid.uuid4().hex[:8]}.tok"
                     writer = ShardWriter(path, encoder.id_bytes)
@@ -295,10 +343,22 @@ def write_shards(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", t
                     writer.add(k, ids)
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [path], "documents": pa.array([len(writer.keys)], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
-
-    rows = sorted(ordered.select("__key", "__text", "__part").mapInArrow(run, MANIFEST).collect(), key=lambda r: r["shard"])
-    return spark.createDataFrame([tuple(r) for r in rows], MANIFEST)
+            n, nulls = len(writer.keys), writer.nulls
+            own = np.frombuffer(writer.keys, dtype=np.int64)
+            first, last = None if nulls else int(own[0]), None if nulls == n else int(own[-1])
+            first_rows = nulls or int((own == first).sum())
+            last_rows = nulls if last is None else int((own[nulls:] == last).sum())
+            row = (part, path, n, writer.tokens, nulls, first, last, first_rows, last_rows)
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string() if k == 1 else pa.int32() if k == 0 else pa.int64()) for k, v in enumerate(row)], names=[f.split()[0] for f in schema.split(", ")])
+
+    rows = sorted(ordered.select("key", "text", "part").mapInArrow(run, schema).collect(), key=lambda r: r["shard"])
+    out, last, seen = [], "none", 0
+    for r in rows:
+        base = seen if r["first_key"] == last else 0
+        out.append((r["shard"], r["path"], r["documents"], r["tokens"], r["nulls"], r["first_key"], r["last_key"], base))
+        seen = r["last_rows"] + (base if r["last_key"] == r["first_key"] else 0)
+        last = r["last_key"]
+    return spark.createDataFrame(out, MANIFEST)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -309,28 +369,28 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     spark = manifest.sparkSession
     rows = sorted(manifest.collect(), key=lambda r: r["shard"])
     starts = np.r_[0, np.cumsum([r["tokens"] for r in rows])].tolist()
-    named = [(r["path"], int(starts[k])) for k, r in enumerate(rows)]
-    frame = spark.createDataFrame(named, "path string, start long").repartition(max(1, len(named)))
-    schema = "doc_id long, repeat int, start long, n_tokens long, ids_crc32 long"
+    named = [(r["path"], int(starts[k]), r["base"]) for k, r in enumerate(rows)]
+    frame = spark.createDataFrame(named, "path string, start long, base long").repartition(max(1, len(named)))
+    schema = "doc_id long, repeat long, start long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, start, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = ShardReader(path)
                 keys = shard.keys()
-                at = np.arange(len(keys))
-                new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, dtype=bool)
-                repeats = at - np.maximum.accumulate(np.where(new, at, 0)) if len(keys) else at
+                repeats, null = _repeats(keys, shard.nulls), np.arange(len(keys)) < shard.nulls
+                first = null if shard.nulls else keys == keys[:1]
                 for a in range(0, len(keys), 4096):
-                    own, again = keys[a : a + 4096], repeats[a : a + 4096]
-                    numbers = shard.find(own, again)
+                    here = slice(a, a + 4096)
+                    numbers = shard.find(keys[here], repeats[here], null[here])
                     if (numbers < 0).any():
                         raise ValueError(f"{path}: a key is not in the index")
                     got = [shard.ids(int(n)) for n in numbers]
                     before = np.where(numbers > 0, shard.ends[numbers - 1], 0) + start
+                    again = repeats[here] + np.where(first[here], base, 0)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(own, mask=own == NULL_KEY, type=pa.int64()), pa.array(again, type=pa.int32()), pa.array(before, type=pa.int64()),
+                            pa.array(keys[here], mask=null[here], type=pa.int64()), pa.array(again, type=pa.int64()), pa.array(before, type=pa.int64()),
                             pa.array([len(x) for x in got], type=pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in got], type=pa.int64()),
                         ],
                         names=["doc_id", "repeat", "start", "n_tokens", "ids_crc32"],
@@ -344,18 +404,22 @@ class TokenStore:
     """Keyed reads over all shards: a key's shard by range, its ids by the shard's index."""
 
     def __init__(self, manifest: DataFrame):
-        self.paths = [r["path"] for r in sorted(manifest.collect(), key=lambda r: r["shard"])]
+        self.rows = sorted(manifest.collect(), key=lambda r: r["shard"])
         self.open: dict[int, ShardReader] = {}
-        self.first = [int(self._shard(k).keys()[0]) for k in range(len(self.paths))]
-
-    def _shard(self, k: int) -> ShardReader:
-        if k not in self.open:
-            self.open[k] = ShardReader(self.paths[k])
-        return self.open[k]
+        order = lambda k: (k is not None, k or 0)
+        self.order, self.last = order, [order(r["last_key"]) for r in self.rows]
 
     def get(self, key: int | None, repeat: int = 0) -> np.ndarray | None:
-        k = int(np.searchsorted(self.first, NULL_KEY if key is None else key, side="right")) - 1
-        return self._shard(k).get(key, repeat) if k >= 0 else None
+        for k in range(bisect_left(self.last, self.order(key)), len(self.rows)):
+            row = self.rows[k]
+            if self.order(row["first_key"]) > self.order(key):
+                return None
+            if k not in self.open:
+                self.open[k] = ShardReader(row["path"])
+            found = self.open[k].get(key, repeat - (row["base"] if row["first_key"] == key else 0))
+            if found is not None:
+                return found
+        return None
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
