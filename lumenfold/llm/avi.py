@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.arrow import map_rows
+from lumenfold.llm.names import col
 
 SIDE, BLOCK, FRAME = 24, 64, 576
 FPS = 25
+#: Frames handled at a time, so that what a text becomes on the way is bounded whatever its length.
+PART = 2048
 # Fixed values of the JPEG standard: positions of coefficients along the zigzag of a block.
 ZIGZAG = np.array([
      0,  1,  8, 16,  9,  2,  3, 10, 17, 24, 32, 25, 18, 11,  4,  5,
@@ -96,15 +100,12 @@ def _scans(payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(flat, np.flatnonzero(full.reshape(-1)) + 1, 0), frames.shape[1] + full.sum(1)
 
 
-def write_avi(payload: bytes) -> bytes:
-    """An AVI file with one JPEG frame for each 576 bytes of the payload."""
-    if not payload or len(payload) % FRAME:
-        raise ValueError("a payload is a positive multiple of 576 bytes")
-    scan, lengths = _scans(np.frombuffer(payload, dtype=np.uint8))
+def _chunks(payload: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The 00dc chunks of some frames, and the size of each frame's image."""
+    scan, lengths = _scans(payload)
     n = len(lengths)
     sizes = lengths + len(HEAD) + 2
-    padded = sizes + (sizes & 1) + 8
-    starts = np.r_[0, np.cumsum(padded)]
+    starts = np.r_[0, np.cumsum(sizes + (sizes & 1) + 8)]
     movi = np.zeros(int(starts[-1]), dtype=np.uint8)
     head = np.frombuffer(HEAD, dtype=np.uint8)
     movi[(starts[:-1, None] + np.arange(4)).ravel()] = np.tile(np.frombuffer(b"00dc", dtype=np.uint8), n)
@@ -114,9 +115,24 @@ def write_avi(payload: bytes) -> bytes:
     shift = first - np.r_[0, np.cumsum(lengths)[:-1]]
     movi[np.arange(len(scan)) + np.repeat(shift, lengths)] = scan
     movi[first + lengths], movi[first + lengths + 1] = 0xFF, 0xD9
+    return movi.tobytes(), sizes
+
+
+def write_avi(payload: bytes) -> bytes:
+    """An AVI file with one JPEG frame for each 576 bytes of the payload."""
+    if not payload or len(payload) % FRAME:
+        raise ValueError("a payload is a positive multiple of 576 bytes")
+    parts, sizes = [], []
+    for at in range(0, len(payload), PART * FRAME):
+        part, own = _chunks(np.frombuffer(payload, dtype=np.uint8, count=min(PART * FRAME, len(payload) - at), offset=at))
+        parts.append(part)
+        sizes.append(own)
+    sizes = np.concatenate(sizes)
+    n = len(sizes)
+    starts = np.cumsum(sizes + (sizes & 1) + 8) - (sizes + (sizes & 1) + 8)
     index = np.zeros((n, 4), dtype="<u4")
     index[:, 0] = struct.unpack("<I", b"00dc")[0]
-    index[:, 1], index[:, 2], index[:, 3] = 0x10, starts[:-1] + 4, sizes
+    index[:, 1], index[:, 2], index[:, 3] = 0x10, starts + 4, sizes
     largest = int(sizes.max())
     avih = struct.pack("<14I", 1_000_000 // FPS, largest * FPS, 0, 0x10, n, 0, 1, largest, SIDE, SIDE, 0, 0, 0, 0)
     strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIII4H", 0, 0, 0, 0, 1, FPS, 0, n, largest, 0xFFFFFFFF, 0, 0, 0, SIDE, SIDE)
@@ -124,7 +140,7 @@ def write_avi(payload: bytes) -> bytes:
     chunk = lambda tag, body: tag + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     lists = lambda kind, body: chunk(b"LIST", kind + body)
     body = lists(b"hdrl", chunk(b"avih", avih) + lists(b"strl", chunk(b"strh", strh) + chunk(b"strf", strf)))
-    body += lists(b"movi", movi.tobytes()) + chunk(b"idx1", index.tobytes())
+    body += lists(b"movi", b"".join(parts)) + chunk(b"idx1", index.tobytes())
     return b"RIFF" + struct.pack("<I", len(body) + 4) + b"AVI " + body
 
 
@@ -159,11 +175,16 @@ def parse_riff(data: bytes) -> Index:
         raise ValueError("an AVI file without key frames")
     offsets = rows[:, 2].astype(np.int64)
     base = movi if data[movi + int(offsets[0]) : movi + int(offsets[0]) + 4] == b"00dc" else 0
-    return Index(offsets + base + 8, rows[:, 3].astype(np.int64), fps)
+    found = Index(offsets + base + 8, rows[:, 3].astype(np.int64), fps)
+    if (found.offsets + found.sizes > len(data)).any() or (found.sizes < 4).any():
+        raise ValueError("a frame lies outside the file")
+    return found
 
 
 def _read_fast(data: np.ndarray, index: Index) -> np.ndarray | None:
     """Byte values of frames that all have HEAD, or None."""
+    if (index.sizes < len(HEAD) + 2).any():
+        return None
     heads = data[index.offsets[:, None] + np.arange(len(HEAD))]
     if not (heads == np.frombuffer(HEAD, dtype=np.uint8)).all():
         return None
@@ -187,6 +208,13 @@ def _read_fast(data: np.ndarray, index: Index) -> np.ndarray | None:
 def decode_jpeg(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients (blocks, 64, in zigzag order; the DC as its difference from the block before)
     and quantiser of a grey baseline JPEG image with any tables: the general decoder."""
+    try:
+        return _decode(image)
+    except (IndexError, KeyError, StopIteration, struct.error) as e:
+        raise ValueError("a broken image") from e
+
+
+def _decode(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     tables: dict[int, dict[tuple[int, int], int]] = {}
     quant, at, shape = np.ones(64, dtype=np.int64), 2, None
     while True:
@@ -263,13 +291,22 @@ def _basis() -> np.ndarray:
 BASIS = _basis()
 
 
-def frames_of(data: bytes) -> tuple[np.ndarray, Index]:
-    """Coefficients (frames, 9, 64), with DC differences, of an AVI file written here."""
+def parts_of(data: bytes, part: int = PART) -> Iterator[tuple[np.ndarray, float]]:
+    """Coefficients (frames, 9, 64), with DC differences, of ``part`` frames at a time, and the frame rate."""
     index = parse_riff(data)
-    got = _read_fast(np.frombuffer(data, dtype=np.uint8), index)
-    if got is not None:
-        return COEFFICIENT[got].reshape(len(got), -1, BLOCK), index
-    return np.stack([decode_jpeg(data[o : o + s])[0] for o, s in zip(index.offsets, index.sizes, strict=True)]).astype(np.float32), index
+    raw = np.frombuffer(data, dtype=np.uint8)
+    for at in range(0, len(index.sizes), part):
+        own = Index(index.offsets[at : at + part], index.sizes[at : at + part], index.fps)
+        got = _read_fast(raw, own)
+        if got is not None:
+            yield COEFFICIENT[got].reshape(len(got), -1, BLOCK), index.fps
+        else:
+            yield np.stack([decode_jpeg(data[o : o + s])[0] for o, s in zip(own.offsets, own.sizes, strict=True)]).astype(np.float32), index.fps
+
+
+def frames_of(data: bytes) -> tuple[np.ndarray, Index]:
+    """Coefficients of all frames of an AVI file, and its index."""
+    return np.concatenate([c for c, _ in parts_of(data)]), parse_riff(data)
 
 
 def payload_of(coefficients: np.ndarray) -> bytes:
@@ -289,16 +326,20 @@ def pixels_of(coefficients: np.ndarray) -> np.ndarray:
     return np.clip(y, 0, 255).astype(np.uint8).reshape(len(c), -1)
 
 
-def shots(pixels: np.ndarray, *, bins: int = 16, reach: int = 4, ratio: float = 1.5, floor: int = 144) -> list[tuple[int, int]]:
-    """(first, last + 1) frames of each shot.
+def histograms(pixels: np.ndarray, bins: int = 16) -> np.ndarray:
+    """(frames, bins) counts of pixel values."""
+    n = len(pixels)
+    which = (pixels >> 4).astype(np.int64) if bins == 16 else pixels.astype(np.int64) * bins >> 8
+    return np.bincount((which + np.arange(n)[:, None] * bins).ravel(), minlength=n * bins).reshape(n, bins)
+
+
+def shots(h: np.ndarray, *, reach: int = 4, ratio: float = 1.5, floor: int = 144) -> list[tuple[int, int]]:
+    """(first, last + 1) frames of each shot, by the histograms of the frames.
 
     The difference of two frames is the sum of absolute differences of their histograms.
     A cut needs one of at least ``floor`` pixels, no larger one within ``reach`` frames
     (the earliest wins a tie), and more than ``ratio`` times the mean of the others there.
     """
-    n = len(pixels)
-    which = (pixels >> 4).astype(np.int64) if bins == 16 else pixels.astype(np.int64) * bins >> 8
-    h = np.bincount((which + np.arange(n)[:, None] * bins).ravel(), minlength=n * bins).reshape(n, bins)
     d = np.abs(np.diff(h, axis=0)).sum(1)
     cuts = []
     if len(d):
@@ -308,55 +349,60 @@ def shots(pixels: np.ndarray, *, bins: int = 16, reach: int = 4, ratio: float =
         others = np.convolve(np.ones(len(d), dtype=np.int64), np.ones(2 * reach + 1, dtype=np.int64))[reach : reach + len(d)] - 1
         high = (d >= floor) & (d > before) & (d >= after) & (d * np.maximum(others, 1) > ratio * (near.sum(1) - d))
         cuts = (np.flatnonzero(high) + 1).tolist()
-    edges = [0, *cuts, n]
+    edges = [0, *cuts, len(h)]
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
+def _clips(found: list[tuple[int, int]], fps: float) -> list[tuple[int, int, float, float]]:
+    return [(a, b - a, round(a / fps, 3), round(b / fps, 3)) for a, b in found]
+
+
 def clips_of(data: bytes, **options) -> list[tuple[int, int, float, float]]:
     """(first frame, frames, start and end in seconds) of each shot of an AVI file."""
-    coefficients, index = frames_of(data)
-    return [(a, b - a, round(a / index.fps, 3), round(b / index.fps, 3)) for a, b in shots(pixels_of(coefficients), **options)]
+    parts = [(histograms(pixels_of(c)), fps) for c, fps in parts_of(data)]
+    return _clips(shots(np.concatenate([h for h, _ in parts]), **options), parts[0][1])
+
+
+CLIP = "first_frame int, frames int, start_s double, end_s double"
 
 
 def media_clips(media: DataFrame, *, key: str = "doc_id", column: str = "media") -> DataFrame:
     """One row for each clip of a column of AVI files: key, clip, first_frame, frames, start_s, end_s."""
-    kind = media.schema[key].dataType.simpleString()
 
     def make():
-        def block(columns: list[list]) -> list[list]:
-            rows = [(k, c, *clip) for k, data in zip(*columns, strict=True) if data is not None for c, clip in enumerate(clips_of(data))]
-            return [list(x) for x in zip(*rows, strict=True)] or [[] for _ in range(6)]
-
-        return block
+        return lambda columns: [[None if data is None else [(k, *c) for k, c in enumerate(clips_of(data))] for data in columns[0]]]
 
-    return map_rows(media, [key, column], f"`{key}` {kind}, clip int, first_frame int, frames int, start_s double, end_s double", make)
+    found = map_rows(media, [column], f"clips array<struct<clip: int, {CLIP}>>", make, keep=[key])
+    return found.select(col(key), F.inline("clips"))
 
 
 def store_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and media: each text's padded payload as an AVI file."""
-    kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        return lambda columns: [columns[0], [write_avi(pad_payload((t or "").encode())) for t in columns[1]]]
+        return lambda columns: [[write_avi(pad_payload((t or "").encode())) for t in columns[0]]]
 
-    return map_rows(docs, [key, text], f"`{key}` {kind}, media binary", make)
+    return map_rows(docs, [text], "media binary", make, keep=[key])
 
 
 def media_digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each text, read the stored bytes back, and describe what was read."""
-    kind = docs.schema[key].dataType.simpleString()
+    """Store each text, read the stored bytes back, and describe what was read; ``clips`` has a row for each shot."""
 
     def one(t: str | None) -> tuple:
         data = (t or "").encode()
         media = write_avi(pad_payload(data))
-        coefficients, index = frames_of(media)
-        payload = payload_of(coefficients)
-        found = shots(pixels_of(coefficients))
-        feature = f"mjpeg;fps={index.fps:g};frames={len(coefficients)};clips=" + ",".join(f"{a / index.fps:.2f}-{b / index.fps:.2f}" for a, b in found)
-        return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(found)
+        digest, size, tail, found, fps = hashlib.sha256(), 0, b"", [], float(FPS)
+        for coefficients, fps in parts_of(media):
+            payload = payload_of(coefficients)
+            digest.update(payload)
+            size, tail = size + len(payload), payload[-32:]
+            found.append(histograms(pixels_of(coefficients)))
+        clips = _clips(shots(np.concatenate(found)), fps)
+        feature = f"mjpeg;fps={fps:g};frames={size // FRAME};clips=" + ",".join(f"{a:.2f}-{b:.2f}" for _, _, a, b in clips)
+        return len(data), size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, len(clips), clips
 
     def make():
-        return lambda columns: [columns[0], *map(list, zip(*map(one, columns[1]), strict=True))]
+        return lambda columns: [*map(list, zip(*map(one, columns[0]), strict=True))]
 
-    schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips int"
-    return map_rows(docs.select(F.col(key), F.col(text)), [key, text], schema, make)
+    schema = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips int, clips array<struct<{CLIP}>>"
+    return map_rows(docs, [text], schema, make, keep=[key])

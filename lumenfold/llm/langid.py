@@ -5,8 +5,9 @@ probability for each language; a document's probabilities are the means over its
 It is trained in numpy by backpropagation through time, with a label at every position.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; extra
-columns of the input are ignored by the model; repeated rows are scored alike; an empty
-training set gives a model that knows no language, and every row is ``und``.
+columns of the input are ignored by the model; repeated rows are scored alike, and are one
+training document; an empty training set gives a model that knows no language, and every row
+is ``und``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.arrow import map_rows
+from lumenfold.llm.names import Working, col
 
 PAD = 256
 UNKNOWN = "und"
@@ -27,7 +29,9 @@ UNKNOWN = "und"
 class LangConfig:
     hidden: int = 8
     window: int = 64
-    #: Training bound: documents of a language, and pieces of each, that the driver gets at most.
+    #: Training bounds: languages learned, those with most documents; documents of a language, and
+    #: pieces of each, that the driver gets at most.
+    most_langs: int = 256
     docs_per_lang: int = 300
     pieces_per_doc: int = 8
     piece_chars: int = 56
@@ -56,7 +60,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def windows_of(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(windows, width) byte ids padded with PAD, and the windows that each text has."""
     counts = np.array([-(-len(t) // width) for t in texts], dtype=np.int64)
-    out = np.full((int(counts.sum()), width), PAD, dtype=np.int64)
+    out = np.full((int(counts.sum()), width), PAD, dtype=np.uint16)
     flat = out.reshape(-1)
     at = 0
     for t, n in zip(texts, counts, strict=True):
@@ -219,29 +223,25 @@ class Labeller:
 
 
 def training_pieces(docs: DataFrame, cfg: LangConfig, text: str, lang: str, key: str) -> list[tuple[str, bytes]]:
-    """A bounded sample: up to docs_per_lang documents of each language, chosen by a hash of
-    the key, and from each of them pieces at hashed places all over the text."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    totals = usable.groupBy(lang).count().collect()
-    if not totals:
-        return []
-    draw = F.pmod(F.xxhash64(F.lit(cfg.seed), F.col(key)), F.lit(1 << 30))
-    limit = F.lit(0)
-    for row in totals:
-        bound = min(1 << 30, int((1 << 30) * cfg.docs_per_lang / row["count"]))
-        limit = F.when(F.col(lang) == row[lang], F.lit(bound)).otherwise(limit)
-    spare = F.greatest(F.lit(1), F.length(text) - cfg.piece_chars + 1)
+    """A bounded sample: up to docs_per_lang documents of each language, chosen by a hash of key
+    and text, and from each of them pieces at hashed places all over the text."""
+    usable = docs.select(col(lang).alias("lang"), col(key).alias("key"), col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    totals = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").limit(cfg.most_langs)
+    drawn = usable.join(F.broadcast(totals), "lang").withColumn("draw", F.pmod(F.xxhash64(F.lit(cfg.seed), "key", "text"), F.lit(1 << 30)))
+    # Copies have one draw and count once, so that no text fills the sample.
+    some = drawn.where(F.col("draw") < F.lit(float(cfg.docs_per_lang << 30)) / F.col("docs"))
+    spare = F.greatest(F.lit(1), F.length("text") - cfg.piece_chars + 1)
     pieces = F.transform(
         F.sequence(F.lit(1), F.lit(cfg.pieces_per_doc)),
-        lambda k: F.col(text).substr((F.pmod(F.xxhash64(F.col(key), k), spare) + 1).cast("int"), F.lit(cfg.piece_chars)),
+        lambda k: F.col("text").substr((F.pmod(F.xxhash64("draw", k), spare) + 1).cast("int"), F.lit(cfg.piece_chars)),
     )
-    rows = usable.where(draw < limit).select(F.col(lang).alias("lang"), draw.alias("draw"), pieces.alias("pieces")).collect()
+    chosen = some.select("lang", "draw", pieces.alias("pieces")).groupBy("lang", "draw").agg(F.min("pieces").alias("pieces"))
     out: list[tuple[str, bytes]] = []
     taken: dict[str, int] = {}
-    for row in sorted(rows, key=lambda r: (r["draw"], r["lang"], r["pieces"])):
+    for row in sorted(chosen.collect(), key=lambda r: (r["draw"], r["lang"])):
         if (n := taken.get(row["lang"], 0)) < cfg.docs_per_lang:
             taken[row["lang"]] = n + 1
-            out += [(row["lang"], p.encode()[: cfg.window]) for p in dict.fromkeys(row["pieces"]) if p]
+            out += [(row["lang"], p.encode()) for p in dict.fromkeys(row["pieces"]) if p]
     return out
 
 
@@ -257,14 +257,14 @@ def predict(docs: DataFrame, net: ByteBiGRU, cfg: LangConfig | None = None, *, t
     """
     cfg = cfg or LangConfig()
     keep = keep or ["doc_id"]
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    frame = docs.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("__text"))
+    w = Working(keep)
+    frame = docs.select(*[col(c) for c in keep], F.when(col(text).rlike(r"\p{L}"), col(text)).alias(w.text))
 
     def make():
         labeller = Labeller(net, cfg.window)
 
         def block(columns: list[list]) -> list[list]:
-            texts = [(t or "").encode() for t in columns[-1]]
+            texts = [(t or "").encode() for t in columns[0]]
             if len(net.langs) < 1:
                 best, means, votes = np.full(len(texts), -1), None, None
             else:
@@ -276,8 +276,8 @@ def predict(docs: DataFrame, net: ByteBiGRU, cfg: LangConfig | None = None, *, t
                 langs.append(net.langs[k] if known else UNKNOWN)
                 scores.append(min(1.0, float(means[i, k])) if known else 0.0)
                 tops.append(int(votes[i, k]) if known else 0)
-            return [*columns[:-1], langs, scores, [len(t) for t in texts], tops]
+            return [langs, scores, [len(t) for t in texts], tops]
 
         return block
 
-    return map_rows(frame, [*keep, "__text"], f"{types}, lang_pred string, score double, n_bytes long, top_bytes long", make)
+    return map_rows(frame, [w.text], "lang_pred string, score double, n_bytes long, top_bytes long", make, keep=keep)

@@ -8,7 +8,8 @@ Features of a whole text: its words, hashed into ``buckets``; statistics of its
 (magnitude, and whether it agrees with the text).
 
 Defined results: a null or empty text is scored from its metadata and structure slots
-alone; repeated rows get equal scores; without training labels every score is 0.5.
+alone; repeated rows get equal scores; without training labels every score is 0.5; of several
+texts under a labelled key the least is learned from; keys are of any ordered type.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.arrow import map_rows
+from lumenfold.llm.names import Working, col
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -193,42 +195,41 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: FMConfig | None = None, *, text
     texts become sparse features on the executors, and those come to the driver.
     """
     cfg = cfg or FMConfig()
-    usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
-    chosen = usable.groupBy("__key").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64(F.lit(cfg.seed), F.col("__key")), "__key").limit(cfg.max_labelled)
+    usable = labels.where(col(label).isNotNull() & col(key).isNotNull()).select(col(key).alias("key"), col(label).cast("int").alias("label"))
+    chosen = usable.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(cfg.seed), "key"), "key").limit(cfg.max_labelled)
     features = Features(cfg)
-    found = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col("n_chars").alias("__n")).join(F.broadcast(chosen), "__key")
+    met = docs.select(col(key).alias("key"), col(text).alias("text"), F.col("n_chars").cast("long").alias("n")).join(F.broadcast(chosen), "key")
+    found = met.groupBy("key", "label").agg(F.min(F.struct("text", "n")).alias("one")).select("key", "label", "one.text", "one.n")
 
     def make():
         own = Features(cfg)
 
         def block(columns: list[list]) -> list[list]:
-            keys, texts, sizes, marks = columns
-            got = [own.of(t, n) for t, n in zip(texts, sizes, strict=True)]
-            return [keys, marks, [g[0].tolist() for g in got], [g[1].tolist() for g in got]]
+            got = [own.of(t, n) for t, n in zip(*columns, strict=True)]
+            return [[g[0].tolist() for g in got], [g[1].tolist() for g in got]]
 
         return block
 
-    rows = map_rows(found, ["__key", "__text", "__n", "__label"], "__key long, __label int, ids array<int>, x array<double>", make).collect()
-    rows = sorted(rows, key=lambda r: (r["__key"], r["ids"]))
+    rows = sorted(map_rows(found, ["text", "n"], "ids array<int>, x array<double>", make, keep=["key", "label"]).collect(), key=lambda r: r["key"])
     got = [(np.array(r["ids"], dtype=np.int64), np.array(r["x"])) for r in rows]
-    return train(got, np.array([r["__label"] for r in rows], dtype=float), features.size(), cfg)
+    return train(got, np.array([r["label"] for r in rows], dtype=float), features.size(), cfg)
 
 
 def score(docs: DataFrame, fm: FM, cfg: FMConfig | None = None, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """``keep`` columns with score (0 to 1) and predicted (1 if score >= threshold)."""
     cfg = cfg or FMConfig()
     keep = keep or ["doc_id"]
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    frame = docs.select(*keep, F.col(text).alias("__text"), F.col("n_chars").cast("long").alias("__n"))
+    w = Working(keep)
+    frame = docs.select(*[col(c) for c in keep], col(text).alias(w.text), F.col("n_chars").cast("long").alias(w.n))
 
     def make():
         own = Features(cfg)
 
         def block(columns: list[list]) -> list[list]:
-            raw = raw_scores(fm, [own.of(t, n) for t, n in zip(columns[-2], columns[-1], strict=True)])
+            raw = raw_scores(fm, [own.of(t, n) for t, n in zip(*columns, strict=True)])
             scores = 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
-            return [*columns[:-2], scores.tolist(), (scores >= threshold).astype(int).tolist()]
+            return [scores.tolist(), (scores >= threshold).astype(int).tolist()]
 
         return block
 
-    return map_rows(frame, [*keep, "__text", "__n"], f"{types}, score double, predicted int", make)
+    return map_rows(frame, [w.text, w.n], "score double, predicted int", make, keep=keep)
