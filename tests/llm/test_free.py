@@ -64,6 +64,65 @@ def test_labeller_agrees_with_the_training_pass():
     assert np.allclose(alone, means[:2], atol=1e-5)
 
 
+def test_labeller_matches_a_plain_network():
+    """Byte by byte in plain Python: gates, both directions, softmax, mean over the bytes."""
+    import math
+
+    rng = np.random.default_rng(6)
+    h, c, width = 3, 2, 7
+    net = langid.ByteBiGRU(["a", "b"], *[rng.normal(0, 1, s).astype(np.float32) for s in ((2, 257, 3 * h), (2, h, 3 * h), (2, h, c), (c,))])
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(d, window):
+        state, out = [0.0] * h, {}
+        for at in range(len(window)) if d == 0 else range(width - 1, -1, -1):
+            byte = window[at] if at < len(window) else langid.PAD
+            a = net.e[d][byte].tolist()
+            g = [sum(state[i] * float(net.u[d][i, k]) for i in range(h)) for k in range(3 * h)]
+            z, r = [sig(a[k] + g[k]) for k in range(h)], [sig(a[h + k] + g[h + k]) for k in range(h)]
+            cand = [math.tanh(a[2 * h + k] + r[k] * g[2 * h + k]) for k in range(h)]
+            state = [cand[k] + z[k] * (state[k] - cand[k]) for k in range(h)]
+            out[at] = state
+        return out
+
+    def plain(text):
+        total, votes = [0.0] * c, [0] * c
+        for at in range(0, len(text), width):
+            window = text[at : at + width]
+            f, b = states(0, window), states(1, window)
+            for k in range(len(window)):
+                logits = [sum(f[k][i] * float(net.w[0][i, j]) + b[k][i] * float(net.w[1][i, j]) for i in range(h)) + float(net.b[j]) for j in range(c)]
+                p = [math.exp(x) for x in logits]
+                total = [t + x / sum(p) for t, x in zip(total, p, strict=True)]
+                votes[p.index(max(p))] += 1
+        return [t / max(1, len(text)) for t in total], votes
+
+    texts = [bytes(rng.integers(0, 256, n).tolist()) for n in (1, 7, 8, 50, 0, 33)]
+    means, votes = langid.Labeller(net, width, block=4).documents(texts)
+    for k, t in enumerate(texts):
+        want, counts = plain(t)
+        assert means[k] == pytest.approx(want, abs=1e-5) and votes[k].tolist() == counts
+
+
+def test_training_sample_is_bounded(spark):
+    """Copies under one key, nulls among them, are one training document; languages beyond the bound are not learned."""
+    rows = [(None, "same text here", "en")] * 500 + [(1, "same text here", "en")] * 500 + [(k, f"ein text {k}", "de") for k in range(900)] + [(k, "x y z", f"l{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_pieces(df, langid.LangConfig(docs_per_lang=20, most_langs=2, pieces_per_doc=2), "text", "lang", "doc_id")
+    assert {k for k, _ in got} <= {"en", "de"} and 0 < sum(k == "de" for k, _ in got) <= 40 and sum(k == "en" for k, _ in got) <= 4
+
+
+def test_blocks_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * 1000] * 5 + [None, "", "y" * 10**6, "z"] + ["w" * 10] * 2000
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "t": texts, "l": [[1] * 3] * len(texts)})
+    parts = list(arrow.blocks_of(batch, rows=512, most=10_000))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows <= 512 and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 10_000) for p in parts)
+    assert list(arrow.blocks_of(batch.slice(0, 0))) == []
+
+
 def test_language_held_out(spark):
     from lumenfold.llm.queries import op1_language_id
 
@@ -118,6 +177,52 @@ def test_quality_of_odd_texts(spark):
     assert {r.score for r in quality_fm.score(docs(spark, ODD), none).collect()} == {0.5}
 
 
+def brute_features(text, n_chars, buckets, weight):
+    """The features said one by one."""
+    text = text or ""
+    words = SPLIT.findall(text)
+    shape, n, data = lambda f: sum(map(f, text.encode())), max(1, len(words)), text.encode()
+    m = max(1, sum(b not in b" \t\n\x0b\x0c\r" for b in data))
+    stops, lines = b".,;:?'\"()-", [x for x in text.split("\n") if x.strip()]
+    alnum = lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122
+    count = {w: words.count(w) for w in words}
+    stats = [
+        1, shape(lambda b: 65 <= b <= 90) / m, shape(lambda b: 97 <= b <= 122) / m, shape(lambda b: 48 <= b <= 57) / m,
+        min(1, 4 * shape(lambda b: 33 <= b < 127 and not alnum(b) and b not in stops) / m), min(1, 4 * shape(lambda b: b in stops) / m), shape(lambda b: b >= 128) / m,
+        min(1, text.count("!") / n), min(1, text.count("|") / n), len(count) / n, max(count.values()) / n if len(words) >= 5 else 0, min(2, m / n / 10),
+        min(1, n / max(1, len(lines)) / 100), 1 - len(set(lines)) / max(1, len(lines)), len(words) < 10, min(1, len(words) / 5000),
+        any(b >= 33 for b in data) * sum(len(w) > 1 and w.isupper() for w in words) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        n_chars is not None and n_chars != len(text), n_chars is None,
+    ]
+    out = {buckets + k: float(x) for k, x in enumerate(stats)}
+    out[buckets + len(stats) + min(quality_fm.MAGNITUDES - 1, max(0, n_chars or 0).bit_length())] = 0.5
+    slots = {}
+    for w, c in count.items():
+        slots[zlib.crc32(w.encode()) % buckets] = slots.get(zlib.crc32(w.encode()) % buckets, 0) + c**0.5
+    norm = max(1e-9, sum(x * x for x in slots.values()) ** 0.5)
+    return out | {k: weight * x / norm for k, x in slots.items()}
+
+
+def test_features_match_a_plain_version():
+    rng = random.Random(5)
+    texts = ODD[:6] + ["WHO is|this!! 3 3 a-b\nx\nx\n", "a b c " * 9] + ["".join(rng.choice("aB c.\n!|9é#") for _ in range(rng.randrange(200))) for _ in range(40)]
+    cfg = quality_fm.FMConfig(buckets=64)
+    own = quality_fm.Features(cfg)
+    for t in texts:
+        for n in (None, 0, 7, len(t or "")):
+            ids, x = own.of(t, n)
+            want = brute_features(t, n, 64, cfg.word_weight)
+            assert dict(zip(ids.tolist(), x.tolist(), strict=True)) == pytest.approx(want)
+
+
+def test_training_rows_are_bounded_and_keys_of_any_type(spark):
+    labels = spark.createDataFrame([(f"k{i}", i % 2) for i in range(30)], "doc_id string, quality int")
+    df = spark.createDataFrame([(f"k{i % 30}", "good prose" if i % 2 else "bad", 3) for i in range(600)], "doc_id string, text string, n_chars int")
+    a = quality_fm.fit(df, labels)
+    b = quality_fm.fit(df.dropDuplicates(), labels)
+    assert a.w0 == b.w0 and (a.w == b.w).all()
+
+
 # Media
 
 
@@ -145,15 +250,53 @@ def test_pixels_are_the_inverse_dct():
 
 def test_shots_are_cut_where_pictures_change():
     a, b = np.full((12, 576), 20, np.uint8), np.full((9, 576), 200, np.uint8)
-    assert avi.shots(np.concatenate([a, b, a])) == [(0, 12), (12, 21), (21, 33)]
-    assert avi.shots(a) == [(0, 12)] and avi.shots(a[:1]) == [(0, 1)]
+    assert avi.shots(avi.histograms(np.concatenate([a, b, a]))) == [(0, 12), (12, 21), (21, 33)]
+    assert avi.shots(avi.histograms(a)) == [(0, 12)] and avi.shots(avi.histograms(a[:1])) == [(0, 1)]
+
+
+def brute_shots(pixels, reach=4, ratio=1.5, floor=144):
+    """The rule said frame by frame."""
+    counts = [[sum(int(p) // 16 == b for p in frame) for b in range(16)] for frame in pixels]
+    d = [sum(abs(x - y) for x, y in zip(counts[k], counts[k + 1], strict=True)) for k in range(len(counts) - 1)]
+    edges = [0]
+    for k, x in enumerate(d):
+        before, after = d[max(0, k - reach) : k], d[k + 1 : k + 1 + reach]
+        around = before + after
+        if x >= floor and all(x > y for y in before) and all(x >= y for y in after) and x * max(len(around), 1) > ratio * sum(around):
+            edges.append(k + 1)
+    return list(zip(edges, [*edges[1:], len(counts)], strict=True))
+
+
+def test_shots_match_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        scenes = [rng.integers(0, 256) + rng.integers(-20, 20, (rng.integers(1, 9), 576)) for _ in range(rng.integers(1, 7))]
+        pixels = np.clip(np.concatenate(scenes), 0, 255).astype(np.uint8)
+        assert avi.shots(avi.histograms(pixels)) == brute_shots(pixels)
+
+
+def test_long_media_goes_in_parts():
+    payload = avi.pad_payload(bytes(np.random.default_rng(1).integers(0, 256, 576 * 5000, dtype=np.uint8)))
+    media = avi.write_avi(payload)
+    parts = [c for c, _ in avi.parts_of(media)]
+    assert max(map(len, parts)) <= avi.PART and len(parts) == 3 and b"".join(map(avi.payload_of, parts)) == payload
+    whole = avi.shots(avi.histograms(avi.pixels_of(np.concatenate(parts))))
+    assert [(a, a + n) for a, n, _, _ in avi.clips_of(media)] == whole
 
 
 def test_broken_media_is_refused():
     media = avi.write_avi(avi.pad_payload(b"abc"))
-    for bad in (b"", b"RIFF", media[:40], b"X" + media[1:]):
-        with pytest.raises((ValueError, IndexError)):
+    for bad in (b"", b"RIFF", media[:40], b"X" + media[1:], media[:-16] + b"\0" * 16, media[:-8] + b"\xff" * 8):
+        with pytest.raises(ValueError):
             avi.frames_of(bad)
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        bad = bytearray(media)
+        bad[rng.integers(0, len(bad))] ^= int(rng.integers(1, 256))
+        try:
+            avi.frames_of(bytes(bad[: rng.integers(1, len(bad) + 1)] if rng.random() < 0.5 else bad))
+        except ValueError:
+            pass
     with pytest.raises(ValueError):
         avi.write_avi(b"abc")
 
@@ -352,6 +495,30 @@ def test_token_shards(spark):
     assert token_index.read_shards(token_index.write_shards(df.limit(0), public_tokenizers.path("word_bpe_49k.json"))).count() == 0
 
 
+def test_a_hot_key_lies_in_several_shards(spark):
+    """Keys with a third of all rows, null and the least number, are split; repeats run on over shards."""
+    low = -(1 << 63)
+    rows = [(None, "same")] * 60 + [(low, "same")] * 50 + [(5, f"t{k % 3}") for k in range(60)] + [(k, "x") for k in range(6, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_index.write_shards(df, path, shards=8)
+    parts = sorted(manifest.collect(), key=lambda r: r.shard)
+    assert max(r.documents for r in parts) < 60 and sum(r.documents for r in parts) == len(rows)
+    got = sorted(token_index.read_shards(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    for key, n in ((None, 60), (low, 50), (5, 60), (7, 1)):
+        assert sorted(r.repeat for r in got if r.doc_id == key) == list(range(n))
+    store = token_index.TokenStore(manifest)
+    by = {(r.doc_id, r.repeat): r for r in got}
+    for (key, repeat), r in by.items():
+        assert zlib.crc32(store.get(key, repeat).astype("<u4").tobytes()) == r.ids_crc32
+    assert store.get(5, 60) is None and store.get(None, 60) is None and store.get(low, 50) is None and store.get(low + 1) is None
+    with pytest.raises(TypeError):
+        token_index.write_shards(df.withColumn("doc_id", F.lit("a")), path)
+    by_size = token_index.write_shards(df, path, shard_bytes=20)
+    assert by_size.count() > spark.sparkContext.defaultParallelism
+
+
 def test_other_tokenizers_get_whole_texts():
     e = token_index.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), 0)
     assert not e.parted
