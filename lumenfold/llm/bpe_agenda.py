@@ -79,9 +79,13 @@ class Pairs:
 
 
 class Agenda:
-    """An encoder for a merge-type model; ``ids_of`` remembers the words that it has seen."""
+    """An encoder for a merge-type model; ``ids_of`` remembers the words that it has seen.
 
-    def __init__(self, model_path: str, remembered: int = 600_000):
+    Words are remembered in two generations: when the younger is full, the older is let go, so
+    that frequent words stay.
+    """
+
+    def __init__(self, model_path: str, remembered: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -123,7 +127,10 @@ class Agenda:
             if len(c) == 1:
                 self.characters[ord(c)] = i
         self.spelled = np.array([f"{i},".encode() for i in range(self.n_pieces)])
+        #: No piece goes over the end of a line, so that words are cut there too.
+        self.lines = not any("\n" in p for p in normal)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @cached_property
     def table(self) -> dict[tuple[int, int], tuple[int, int]]:
@@ -221,36 +228,47 @@ class Agenda:
             out[k] = np.array(self._spell(done_s[k, :m].tolist(), done_starts[k, :m].tolist(), words[k]), dtype="<i4").tobytes()
         return out
 
-    def learn(self, words: list[str]) -> None:
-        by_length: dict[int, list[tuple[str, str]]] = {}
-        for w in words:
-            full = " " + w if self.prefix and w[0] != " " else w
-            by_length.setdefault(min(-(-len(full) // STEP) * STEP, LONG + STEP), []).append((w, full))
-        for length, pairs in by_length.items():
-            if length > LONG:
-                self.memory.update((w, np.array(self.one(full), dtype="<i4").tobytes()) for w, full in pairs)
-                continue
-            for at in range(0, len(pairs), 1 << 15):
-                part = pairs[at : at + (1 << 15)]
-                self.memory.update(zip([w for w, _ in part], self._together([full for _, full in part], length), strict=True))
+    def learned(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        if not words:
+            return out
+        whole = [" " + w if w[0] not in " \n" else w for w in words] if self.prefix else words
+        sizes = np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
+        sizes = np.minimum(-(-sizes // STEP) * STEP, LONG + STEP)
+        order = np.argsort(sizes, kind="stable")
+        lengths, starts = np.unique(sizes[order], return_index=True)
+        for length, group in zip(lengths.tolist(), np.split(order, starts[1:]), strict=True):
+            for at in range(0, len(group), 1 << 15):
+                part = group[at : at + (1 << 15)].tolist()
+                texts = [whole[k] for k in part]
+                found = [np.array(self.one(t), dtype="<i4").tobytes() for t in texts] if length > LONG else self._together(texts, length)
+                out.update(zip([words[k] for k in part], found, strict=True))
+        return out
 
     def _words(self, text: str) -> list[str]:
-        """Words of a text; one that stands after a single mark is named without it."""
+        """Words of a text; one that stands after a single mark is named without it, and one that
+        begins a line with the line's end before it."""
         if MARK in text:
             text = text.replace(MARK, " ")
-        if self.prefix and text and "  " not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" ")
+        if self.prefix and text and "  " not in text and text[0] not in " \n" and text[-1] != " ":
+            if "\n" not in text:
+                return text.split(" ")
+            if self.lines and " \n" not in text:
+                return text.replace("\n", " \n").split(" ")
         return _SEGMENTS.findall((" " if self.prefix else "") + text) if text else []
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [self._words(t or "") for t in texts]
-        seen = set().union(*split)
-        new = seen.difference(self.memory)
-        if len(self.memory) + len(new) > self.remembered:
-            self.memory.clear()
-            new = seen
-        self.learn(list(new))
+        new = set().union(*split)
+        if len(self.memory) > self.remembered:
+            self.older, self.memory = self.memory, {}
+        new = new.difference(self.memory)
+        if self.older:
+            again = {w: self.older[w] for w in new if w in self.older}
+            self.memory |= again
+            new.difference_update(again)
+        self.memory |= self.learned(list(new))
         get = self.memory.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), dtype="<i4") for words in split]
 
