@@ -263,7 +263,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], cells: int =
     return out
 
 
-def _links_between(members: DataFrame, cfg: NearConfig) -> DataFrame:
+def _links_between(members: DataFrame, words: DataFrame, cfg: NearConfig) -> DataFrame:
     """Links (a, b) that join different classes of a bucket, by pairs of blocks.
 
     Members outside a bucket's largest class (left) meet all of its members (right), so that a
@@ -295,13 +295,10 @@ def _links_between(members: DataFrame, cfg: NearConfig) -> DataFrame:
     several = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"))
     mixed = several.groupBy("bucket").agg(F.max(F.struct("rows", "size", "label")).alias("main"), F.sum("rows").alias("rows"), F.sum("size").alias("size")).where(F.col("rows") > F.col("main.rows"))
     blocks = lambda rows, size: F.ceil(F.greatest(rows / cfg.block, size / cfg.block_words)).cast("int")
-    dealt = members.join(
-        mixed.select(
-            "bucket", F.col("main.label").alias("main"), blocks(F.col("rows"), F.col("size")).alias("n_right"),
-            blocks(F.col("rows") - F.col("main.rows"), F.col("size") - F.col("main.size")).alias("n_left"),
-        ),
-        "bucket",
-    )
+    n_left = blocks(F.col("rows") - F.col("main.rows"), F.col("size") - F.col("main.size"))
+    # Written, so that a join knows its size: a small table is broadcast, and no bucket meets in one task.
+    mixed = written(mixed.select("bucket", F.col("main.label").alias("main"), blocks(F.col("rows"), F.col("size")).alias("n_right"), n_left.alias("n_left")), "mixed")
+    dealt = members.join(mixed, "bucket").join(words.withColumnRenamed("row", "rep"), "rep")
     every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     right = every("n_left", lambda k: F.struct(k.alias("bl"), mine("n_right").alias("br"), F.lit(1).alias("side")))
@@ -325,14 +322,14 @@ def _classes(rows: DataFrame, cfg: NearConfig) -> DataFrame:
     buckets = written(keyed.join(shared, "bucket").select("bucket", "rep", "n", parts, F.col("least.rep").alias("least"), F.col("least.n").alias("least_n")), "buckets")
     pairs = buckets.where((F.col("rep") != F.col("least")) & _alike("n", "least_n", cfg)).groupBy(F.col("least").alias("a"), F.col("rep").alias("b"))
     pairs = written(pairs.agg(F.pmod(F.xxhash64("rep"), F.max("parts")).cast("int").alias("part")), "pairs")
-    words = rows.select("row", "words").join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
+    candidates = written(buckets.select(F.col("rep").alias("row")).distinct(), "candidates")
+    words = written(rows.select("row", "words").join(candidates, "row"), "words")
     links = cut(verified(pairs, words, cfg).select("a", "b"))
     labels = min_labels(links, "a", "b")
     # Each bucket's least member has met all others, so that only those are held against each other.
     rest = buckets.where(F.col("rep") != F.col("least"))
-    labelled = rest.join(labels, rest["rep"] == labels["id"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    found = cut(_links_between(labelled.join(mixed, "bucket").join(words.withColumnRenamed("row", "rep"), "rep"), cfg))
+    labelled = written(rest.join(labels, rest["rep"] == labels["id"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label")), "labelled")
+    found = cut(_links_between(labelled, words, cfg))
     if found.limit(1).count():
         ends = found.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
         # Both ends of a new link now belong to one class: classes are joined by their labels.
