@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import bpe_agenda, line_dedup, mixing, order_minhash, quality_fm
 from lumenfold.llm.queries import LINE_PAGES, LINE_RATIO, documents
-from lumenfold.operators.lineage import written
+from lumenfold.operators.lineage import clear, made, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every mixed row, checked and decoded."""
+    """Ids of every mixed row by the agenda, checked by the library, and decoded."""
     import public_tokenizers
 
     return bpe_agenda.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -62,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, used = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
+        before = made()
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # What the stage read and made on the way is no longer needed.
+        new = [p for p in made() if p not in before]
+        clear(spark, [*used, *new[:-1]])
+        used = new[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
