@@ -24,24 +24,39 @@ PROCRUSTES_MOST, CORRELATION_LEAST, TRUST_DRIFT, SILHOUETTE_DRIFT = 0.05, 0.99,
 def neighbour_ranks(points: DataFrame, pairs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """(i, j, r): the place of j among all others by distance from i (ties by id), for given pairs.
 
-    A block of points with their pairs meets every block of points and counts who is nearer.
+    A pair is first given its distance.  A block of points with the distances of their pairs then
+    meets every block of points and counts who is nearer.
     """
-    wanted = pairs.select("i", "j").join(points.select(F.col("i").alias("j"), F.col("x").alias("xj")), "j")
-    held = points.select("i", "x").join(wanted.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "xj"))).alias("to")), "i")
+    x = points.select("i", "x")
+    wanted = pairs.select("i", "j").join(x, "i").join(x.select(F.col("i").alias("j"), F.col("x").alias("xj")), "j")
+
+    def measure(batches):
+        for pdf in batches:
+            a, b = matrix(pdf["x"]), matrix(pdf["xj"])
+            if not len(pdf):
+                continue
+            off = (a - b)[:, None, :]
+            d = np.sqrt(np.einsum("ijk,ijk->ij", off, off))[:, 0]
+            yield pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "d": d})
+
+    measured = wanted.select("i", "j", "x", "xj").mapInPandas(measure, "i long, j long, d double")
+    told = measured.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "d"))).alias("to"))
+    held = x.join(told.select("i", F.transform("to", lambda t: t["j"]).alias("js"), F.transform("to", lambda t: t["d"]).alias("ds")), "i")
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(a) and len(b):
-            ids, y = b["i"].to_numpy(), matrix(b["x"])
-            x, to = matrix(a["x"]), a["to"].tolist()
-            d = distances(x, y)
-            for row, i in enumerate(a["i"]):
-                js = np.array([t["j"] for t in to[row]])
-                dj = distances(x[row : row + 1], np.stack([np.asarray(t["xj"], dtype=np.float64) for t in to[row]]))[0]
-                nearer = (d[row][None, :] < dj[:, None]) | ((d[row][None, :] == dj[:, None]) & (ids[None, :] < js[:, None]))
-                nearer &= (ids[None, :] != i) & (ids[None, :] != js[:, None])
-                out += [(i, int(j), int(n)) for j, n in zip(js, nearer.sum(1), strict=True)]
-        return pd.DataFrame(out, columns=["i", "j", "n"]).astype("int64")
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("i", "j", "n")})
+        ids, d = b["i"].to_numpy(), distances(matrix(a["x"]), matrix(b["x"]))
+        row = np.repeat(np.arange(len(a)), [len(v) for v in a["js"]])
+        i, j, dj = a["i"].to_numpy()[row], np.concatenate(a["js"].tolist()), np.concatenate(a["ds"].tolist())
+        n = np.empty(len(row), dtype=np.int64)
+        step = max(1, (1 << 22) // len(ids))
+        for at in range(0, len(row), step):
+            own = slice(at, at + step)
+            there, to, me = d[row[own]], dj[own, None], j[own, None]
+            nearer = (there < to) | ((there == to) & (ids < me))
+            n[own] = (nearer & (ids != i[own, None]) & (ids != me)).sum(1)
+        return pd.DataFrame({"i": i, "j": j, "n": n})
 
     parts = against(held, points.select("i", "x"), count, "i long, j long, n long", block=block)
     return parts.groupBy("i", "j").agg((F.sum("n") + 1).alias("r"))

@@ -165,19 +165,17 @@ def product_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select("i", F.col("y").alias("z")), "i").agg(F.max(F.abs(d)).alias("max_abs"), F.sqrt(F.avg(d * d)).alias("rms"))
 
 
-def compare_eigenvectors(values: DataFrame, a: DataFrame, b: DataFrame) -> list[dict]:
-    """Compare by clusters of eigenvalues nearer than DEGENERATE_GAP: single vectors up to sign,
-    clusters by the largest principal angle."""
+def compare_eigenvectors(values: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(columns, kind, error): compare by clusters of eigenvalues nearer than DEGENERATE_GAP, single
+    vectors up to sign, clusters by the largest principal angle."""
     cut = F.when(F.col("lam") - F.lag("lam").over(Window.orderBy("c")) >= DEGENERATE_GAP, 1).otherwise(0)
     clusters = values.withColumn("new", cut).withColumn("cluster", F.sum("new").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, 0)))
     out = []
     for row in clusters.groupBy("cluster").agg(F.sort_array(F.collect_list("c")).alias("cs")).orderBy("cluster").collect():
         own = [x.where(F.col("c").isin(row["cs"])).select("i", (F.col("c") - row["cs"][0]).alias("c"), "v") for x in (a, b)]
-        if len(row["cs"]) == 1:
-            out.append({"columns": row["cs"], "kind": "vector", "error": sign_agnostic_error(*own).first()[0]})
-        else:
-            out.append({"columns": row["cs"], "kind": "subspace", "error": max_principal_angle(*own)})
-    return out
+        single = len(row["cs"]) == 1
+        out.append((row["cs"], "vector" if single else "subspace", float(sign_agnostic_error(*own).first()[0] if single else max_principal_angle(*own))))
+    return values.sparkSession.createDataFrame(out, "columns array<int>, kind string, error double")
 
 
 def assess(dataset: str, n: int, lap: DataFrame, values: DataFrame, vectors: DataFrame, *, components: int, expected_components: int, gate: float = RSVD_GATE) -> DataFrame:

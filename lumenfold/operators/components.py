@@ -77,8 +77,16 @@ def components(edges: DataFrame, vertices: DataFrame, local_edges: int = LOCAL_E
     return least.join(order, "least").select("i", F.col("label").cast("int"))
 
 
-def component_members(labels: DataFrame) -> DataFrame:
-    """(label, members): ascending node ids of each component."""
+#: The most members that one row lists.
+MOST_MEMBERS = 10_000_000
+
+
+def component_members(labels: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
+    """(label, members): ascending node ids of each component.  A row holds a whole component, so
+    larger ones than ``most``, counted, are refused: take (i, label) as it is, or ``local_numbers``."""
+    largest = labels.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a component of {largest} members does not go into one row")
     return labels.groupBy("label").agg(F.array_sort(F.collect_list("i")).alias("members"))
 
 

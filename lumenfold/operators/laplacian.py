@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The most edges at a node whose degree is added up in the order of rows, in one task.
+COMPAT_EDGES = 1_000_000
+
+
 def degrees(edges: DataFrame, vertices: DataFrame, mode: str = "native") -> DataFrame:
     """(i, deg, sqrt_deg); self loops count, isolated nodes have 0.
 
     ``native``: row sums in double.  ``compat``: column sums in single precision, added in the
-    order of rows, then widened; a plain float sum would be widened before it is added.
+    order of rows, then widened; a plain float sum would be widened before it is added.  That
+    order gathers a node's edges, so nodes of over ``COMPAT_EDGES``, counted, are refused.
     """
     if mode == "native":
         sums = edges.groupBy("i").agg(F.sum(F.col("w").cast("double")).alias("deg"))
     elif mode == "compat":
+        widest = edges.groupBy("j").count().agg(F.max("count")).first()[0] or 0
+        if widest > COMPAT_EDGES:
+            raise ValueError(f"a node has {widest} edges: use native degrees")
         ordered = F.sort_array(F.collect_list(F.struct("i", F.col("w").cast("float").alias("w"))))
         fold = F.aggregate(ordered, F.lit(0.0).cast("float"), lambda s, e: (s + e["w"]).cast("float"))
         sums = edges.groupBy(F.col("j").alias("k")).agg(fold.cast("double").alias("deg")).select(F.col("k").alias("i"), "deg")

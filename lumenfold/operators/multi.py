@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.blocks import against, distances, matrix
+
 
 def spectral_meta_needed(components: int, dims: int) -> bool:
     return components > 2 * dims
@@ -22,14 +26,25 @@ def centroids(points: DataFrame, labels: DataFrame) -> DataFrame:
     return long.groupBy("label", "f").agg(F.avg(F.col("x").cast("double")).alias("v"))
 
 
+def _by_label(long: DataFrame, column: str) -> DataFrame:
+    """(label, x): a component's numbers in the order of ``column``, which has few values."""
+    return long.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("k"), "v"))).alias("s")).select("label", F.transform("s", lambda e: e["v"]).alias("x"))
+
+
 def affinity(cents: DataFrame) -> DataFrame:
     """(a, b, w): exp of minus the squared distance of two centroids, a component with itself too.
 
-    Features are joined, so that only pairs of components, not of points, are made.
+    Pairs of components are the result; they are made by blocks.
     """
-    right = cents.select(F.col("label").alias("b"), "f", F.col("v").alias("y"))
-    pairs = cents.select(F.col("label").alias("a"), "f", F.col("v").alias("x")).join(right, "f")
-    return pairs.groupBy("a", "b").agg(F.exp(-F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("w"))
+    rows = _by_label(cents, "f")
+
+    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "w": pd.Series(dtype="float64")})
+        d = distances(matrix(p["x"]), matrix(q["x"]))
+        return pd.DataFrame({"a": np.repeat(p["label"].to_numpy(), len(q)), "b": np.tile(q["label"].to_numpy(), len(p)), "w": np.exp(-d * d).ravel()})
+
+    return against(rows, rows, meet, "a int, b int, w double", key="label")
 
 
 def meta_laplacian(aff: DataFrame) -> DataFrame:
@@ -46,7 +61,15 @@ def data_ranges(meta: DataFrame) -> DataFrame:
 
     Meta positions have one row for each component and column.
     """
-    right = meta.select(F.col("label").alias("other"), "c", F.col("v").alias("y"))
-    d = meta.join(right, "c").where("label <> other").groupBy("label", "other").agg(F.sqrt(F.sum((F.col("v") - F.col("y")) * (F.col("v") - F.col("y")))).alias("d"))
-    near = d.groupBy("label").agg((F.min(F.when(F.col("d") > 0, F.col("d"))) / 2).alias("range"))
+    rows = _by_label(meta, "c")
+
+    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"label": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
+        d = distances(matrix(p["x"]), matrix(q["x"]))
+        d[(d == 0) | (p["label"].to_numpy()[:, None] == q["label"].to_numpy()[None, :])] = np.inf
+        least = pd.DataFrame({"label": p["label"].to_numpy(), "d": d.min(1)})
+        return least[np.isfinite(least["d"])]
+
+    near = against(rows, rows, meet, "label int, d double", key="label").groupBy("label").agg((F.min("d") / 2).alias("range"))
     return meta.select("label").distinct().join(near, "label", "left").select("label", F.coalesce("range", F.lit(1.0)).alias("range"))

@@ -5,6 +5,7 @@ A table is long, (cell, feature, value), unless said otherwise.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,12 @@ def portable_hash(key: Column, seed: int) -> Column:
     return F.pmod(first * HASH_MUL, F.lit(HASH_MOD))
 
 
+def portable_hash_of(keys: np.ndarray, seed: int) -> np.ndarray:
+    """The same hash of an array of whole numbers."""
+    first = (np.asarray(keys, dtype=np.int64) % HASH_MOD + seed + 1) * HASH_MUL % HASH_MOD
+    return first * HASH_MUL % HASH_MOD
+
+
 def normalize_total(values: DataFrame, total: float = 1e3) -> DataFrame:
     """Each cell's values scaled to add up to ``total``; a cell of zeros stays."""
     s = F.sum("value").over(Window.partitionBy("cell"))

@@ -37,10 +37,14 @@ class SpectralConfig:
     compute_mode: ComputeMode = ComputeMode.COMPAT
     #: Dense solving under so many nodes.
     dense_below: int = 2000
+    #: The last, dense level takes so many nodes at most.
+    dense_most: int = 20_000
     rsvd_oversampling: int | None = None
     rsvd_power_iterations: int = 2
     #: A component of up to so many stored edges is solved within one task, others in DataFrames.
     local_edges: int = 4_000_000
+    #: Components that are placed by the affinity of their data: their pairs come to the driver.
+    most_placed: int = 4096
     expansion: float = 10.0
     noise: float = 1e-4
 

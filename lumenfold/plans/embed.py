@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.spectral import residuals
 from lumenfold.operators import multi
 from lumenfold.operators.components import components, local_numbers, subgraphs
 from lumenfold.operators.laplacian import degrees, laplacian
@@ -14,7 +15,7 @@ from lumenfold.operators.lineage import cut
 from lumenfold.operators.selection import add_noise, normalize_signs, scale_coords, select_eigenvectors, wide
 from lumenfold.plans.config import ConvergenceFailure, InvalidGraph, SpectralConfig, TooFewNodes
 from lumenfold.plans.distributed import smallest_pairs
-from lumenfold.plans.solvers import RSVD_GATE, Csr, embed_component, solve
+from lumenfold.plans.solvers import RSVD_GATE, Csr, embed_component, laplacian_of, solve
 
 _PART = "label int, li long, c int, v double, level int"
 
@@ -52,7 +53,8 @@ def _large(edges: DataFrame, labels: DataFrame, label: int, dims: int, seed: int
     """Signed coordinates (i, c, v) of one component beyond a task."""
     nodes = labels.where(F.col("label") == label).select("i")
     own = edges.join(nodes, "i", "left_semi")
-    degs = cut(degrees(own, nodes, config.compute_mode.value))
+    # Degrees in double precision: the other mode gathers a hub's edges in one task.
+    degs = cut(degrees(own, nodes))
     values, vectors, worst, _ = smallest_pairs(cut(laplacian(own, degs)), degs, dims + 1, seed=seed)
     if not worst < RSVD_GATE:
         raise ConvergenceFailure(f"component {label}: the worst residual is {worst:g}")
@@ -61,11 +63,13 @@ def _large(edges: DataFrame, labels: DataFrame, label: int, dims: int, seed: int
     return normalize_signs(select_eigenvectors(lam, vectors.select("i", F.posexplode("x").alias("c", "v")), dims))
 
 
-def spectral_meta(points: DataFrame, labels: DataFrame, count: int, dims: int, seed: int) -> DataFrame:
+def spectral_meta(points: DataFrame, labels: DataFrame, count: int, dims: int, seed: int, most: int = SpectralConfig.most_placed) -> DataFrame:
     """(label, c, v): positions of components from the affinity of their centroids.
 
-    There is one row for a component; the matrix is solved on the driver.
+    The matrix has a row for a component and is solved on the driver, up to ``most`` of them.
     """
+    if count > most:
+        raise InvalidGraph(f"{count} components are too many to be placed by their affinity")
     rows = multi.meta_laplacian(multi.affinity(multi.centroids(points, labels))).collect()
     i, j, v = (np.array([r[k] for r in rows]) for k in range(3))
     lap = Csr(i, j, v, count)
@@ -102,7 +106,7 @@ def raw_coordinates(edges: DataFrame, vertices: DataFrame, dims: int = 2, seed:
     if multi.spectral_meta_needed(count, dims):
         if data is None:
             raise InvalidGraph(f"{count} components need the data to be placed")
-        meta = spectral_meta(data, labels, count, dims, seed)
+        meta = spectral_meta(data, labels, count, dims, seed, config.most_placed)
     else:
         meta = multi.orthogonal_meta(labels, dims)
     meta = cut(meta)
@@ -125,26 +129,37 @@ def spectral_coordinates(edges: DataFrame, vertices: DataFrame, dims: int = 2, s
 
 
 def eigenpairs(edges: DataFrame, vertices: DataFrame, dims: int = 2, seed: int = 42, config: SpectralConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Laplacian (i, j, l), values (c, lam, residual, level) and vectors (i, c, v) of a graph of up
-    to ``local_edges`` edges, solved in one task."""
+    """Laplacian (i, j, l), values (c, lam, residual, level) and vectors (i, c, v) of a graph: in one
+    task up to ``local_edges`` edges, beyond that by the DataFrame solver (level 9)."""
     config = config or SpectralConfig()
     n = validate(edges, vertices, dims)
     if edges.count() > config.local_edges:
-        raise InvalidGraph("the graph is too large for one task; use plans.distributed.smallest_pairs")
+        degs = cut(degrees(edges, vertices))
+        lap = cut(laplacian(edges, degs))
+        lam, x, worst, _ = smallest_pairs(lap, degs, dims + 1, seed=seed)
+        if not worst < RSVD_GATE:
+            raise ConvergenceFailure(f"the worst residual is {worst:g}")
+        vectors = cut(x.select("i", F.posexplode("x").alias("c", "v")))
+        values = edges.sparkSession.createDataFrame([(c, float(v)) for c, v in enumerate(lam)], "c int, lam double")
+        return lap, values.join(residuals(lap, values, vectors), "c").withColumn("level", F.lit(9)), vectors
+    values, vectors = level_pairs(edges, vertices, n, lambda lap, root: solve(lap, dims, seed, root, config), config)
+    return laplacian(edges, degrees(edges, vertices, config.compute_mode.value)), values, vectors
+
+
+def level_pairs(edges: DataFrame, vertices: DataFrame, n: int, run, config: SpectralConfig) -> tuple[DataFrame, DataFrame]:
+    """Values (c, lam, residual, level) and vectors (i, c, v) of ``run``, a Solved of a Laplacian and
+    the roots of its degrees, in one task."""
     ids = cut(local_numbers(vertices.select("i", F.lit(0).alias("label"))))
     local = subgraphs(edges.select("i", "j", F.col("w").cast("float").alias("w")), ids.select("i", "label"))
+    compat = config.compute_mode.value == "compat"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        from lumenfold.plans.solvers import laplacian_of
-
-        lap, root = laplacian_of(pdf["li"].to_numpy(), pdf["lj"].to_numpy(), pdf["w"].to_numpy(), n, compat=config.compute_mode.value == "compat")
-        got = solve(lap, dims, seed, root, config)
-        k = dims + 1
+        lap, root = laplacian_of(pdf["li"].to_numpy(), pdf["lj"].to_numpy(), pdf["w"].to_numpy(), n, compat=compat)
+        got = run(lap, root)
+        k = len(got.values)
         r = lap.apply(got.vectors) - got.vectors * got.values
-        each = np.sqrt((r * r).sum(0))
+        each = np.sqrt((r * r).sum(0)) / np.maximum(np.sqrt((got.vectors * got.vectors).sum(0)), 1e-300)
         return pd.DataFrame({"li": np.repeat(np.arange(n), k), "c": np.tile(np.arange(k), n), "v": got.vectors.ravel(), "lam": np.tile(got.values, n), "residual": np.tile(each, n), "level": got.level})
 
     got = cut(local.groupBy("label").applyInPandas(one, "li long, c int, v double, lam double, residual double, level int"))
-    values = got.where("li = 0").select("c", "lam", "residual", "level")
-    vectors = got.join(ids, "li").select("i", "c", "v")
-    return laplacian(edges, degrees(edges, vertices, config.compute_mode.value)), values, vectors
+    return got.where("li = 0").select("c", "lam", "residual", "level"), got.join(ids, "li").select("i", "c", "v")

@@ -11,15 +11,16 @@ from dataclasses import dataclass
 import numpy as np
 
 from lumenfold.functions.spectral import DENSE_GATE, LOBPCG_GATE, LOBPCG_TOL, RSVD_GATE, SINV_GATE, SINV_TOL
-from lumenfold.plans.config import SpectralConfig, TooFewNodes
+from lumenfold.plans.config import ConvergenceFailure, SpectralConfig, TooFewNodes
 
 Pairs = tuple[np.ndarray, np.ndarray]
 
+# The start filter, restarts, iteration caps, regularisation and shift of the solver chain.
 FILTER_LOW, FILTER_HIGH, FILTER_DEGREE, FILTER_FROM = 0.1, 2.0, 8, 1000
 REGULARIZATION, SHIFT = 1e-5, 1e-4
+RESTARTS, FIRST_CAP, RESTART_CAP, CAP_PER_NODE = 3, 300, 1000, 5
 #: Columns beyond those asked for that an iteration carries along.
 GUARD = 4
-RESTARTS, FIRST_CAP, RESTART_CAP, CAP_PER_NODE = 3, 300, 1000, 5
 
 
 class Csr:
@@ -255,36 +256,46 @@ class Solved:
     residual: float
 
 
+GATES = (DENSE_GATE, LOBPCG_GATE, SINV_GATE, LOBPCG_GATE, RSVD_GATE, np.inf)
+
+
+def run_level(level: int, lap: Csr, dims: int, seed: int, sqrt_deg: np.ndarray, config: SpectralConfig) -> Pairs | None:
+    """One solver of the chain; None where it cannot be run.
+
+    0 dense, 1 block iteration, 2 shift and invert, 3 regularised iteration, 4 randomised, 5 dense.
+    """
+    if level in (0, 5):
+        return dense_evd(lap, dims + 1)
+    if level == 2:
+        return shift_invert(lap, dims, seed, sqrt_deg)
+    if level == 4:
+        return rsvd(lap, dims, seed, oversampling=config.rsvd_oversampling, power=config.rsvd_power_iterations)
+    got = lobpcg(lap, dims, seed, sqrt_deg, regularize=level == 3)
+    return got and got[0]
+
+
 def solve(lap: Csr, dims: int, seed: int, sqrt_deg: np.ndarray, config: SpectralConfig | None = None) -> Solved:
     """The chain of solvers: each level is accepted if its worst residual is under its gate.
 
-    0 dense (small n), 1 block iteration, 2 shift and invert, 3 regularised iteration,
-    4 randomised, 5 dense without a gate.
+    Level 0 is for small n; level 5 has no gate, but makes a dense matrix, so that graphs of more
+    than ``dense_most`` nodes end in ConvergenceFailure instead.
     """
     config = config or SpectralConfig()
-    n, k = lap.n, dims + 1
-    _check(n, k)
-
-    def tries():
-        if n < config.dense_below:
-            yield 0, DENSE_GATE, lambda: dense_evd(lap, k)
-        yield 1, LOBPCG_GATE, lambda: (got := lobpcg(lap, dims, seed, sqrt_deg)) and got[0]
-        yield 2, SINV_GATE, lambda: shift_invert(lap, dims, seed, sqrt_deg)
-        yield 3, LOBPCG_GATE, lambda: (got := lobpcg(lap, dims, seed, sqrt_deg, regularize=True)) and got[0]
-        yield 4, RSVD_GATE, lambda: rsvd(lap, dims, seed, oversampling=config.rsvd_oversampling, power=config.rsvd_power_iterations)
-        yield 5, np.inf, lambda: dense_evd(lap, k)
-
-    for level, gate, run in tries():
+    _check(lap.n, dims + 1)
+    worst = np.inf
+    for level in range(0 if lap.n < config.dense_below else 1, 6):
+        if level == 5 and lap.n > config.dense_most:
+            break
         try:
-            pairs = run()
+            pairs = run_level(level, lap, dims, seed, sqrt_deg, config)
         except np.linalg.LinAlgError:
             continue
         if pairs is None:
             continue
         worst = worst_residual(lap, pairs)
-        if worst < gate or level == 5:
+        if worst < GATES[level] or level == 5:
             return Solved(*pairs, level, worst)
-    raise AssertionError("level 5 is always accepted")
+    raise ConvergenceFailure(f"no solver took {lap.n} nodes; the last residual is {worst:g}")
 
 
 def embed_component(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int, dims: int, seed: int, config: SpectralConfig) -> tuple[np.ndarray, Solved]:

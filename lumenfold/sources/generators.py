@@ -69,7 +69,7 @@ def swiss_roll(spark: SparkSession, n: int, noise: float = 0.1, seed: int = 42)
     return _points(spark.range(n), columns, F.floor(u * 5))
 
 
-#: Named datasets: generator and options.
+# The named datasets, generator and options.
 DATASETS = {
     "blobs_50": (blobs, {"n": 50, "centers": 3}),
     "blobs_500": (blobs, {"n": 500, "centers": 5}),
@@ -124,6 +124,14 @@ def bridged_cliques(spark: SparkSession, m: int, w: float = 1.0) -> Graph:
     return _graph(spark, 2 * m, _clique(spark, m).unionByName(_clique(spark, m, m)).unionByName(bridge))
 
 
+def torus(spark: SparkSession, a: int, b: int) -> Graph:
+    """Rings of a and b nodes multiplied: 4-regular, with a spectrum in closed form."""
+    at = spark.range(a * b).select(F.col("id").alias("i"), F.floor(F.col("id") / b).alias("r"), (F.col("id") % b).alias("s"))
+    right = at.select("i", (F.col("r") * b + (F.col("s") + 1) % b).alias("j"), F.lit(1.0).alias("w"))
+    down = at.select("i", ((F.col("r") + 1) % a * b + F.col("s")).alias("j"), F.lit(1.0).alias("w"))
+    return _graph(spark, a * b, right.unionByName(down))
+
+
 def star(spark: SparkSession, n: int) -> Graph:
     return _graph(spark, n, spark.range(1, n).select(F.lit(0).alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("w")))
 

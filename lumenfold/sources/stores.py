@@ -63,8 +63,22 @@ def to_csr(edges: DataFrame, n: int) -> dict[str, np.ndarray]:
     return {"data": p["w"].to_numpy(np.float32), "indices": p["j"].to_numpy(np.int32), "indptr": np.searchsorted(p["i"], np.arange(n + 1)).astype(np.int32), "shape": np.array([n, n], dtype=np.int32), "format": np.array("csr")}
 
 
+def write_npz(spark: SparkSession, path: str, arrays: dict[str, np.ndarray]) -> None:
+    """An npz file through Spark's file systems, so that any store will do."""
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # A local file goes without Hadoop's checksum beside it, which another writer would not renew.
+    stream = (fs.getRaw() if fs.getScheme() == "file" else fs).create(target, True)
+    try:
+        stream.write(out.getvalue())
+    finally:
+        stream.close()
+
+
 def write_csr(edges: DataFrame, n: int, path: str) -> None:
-    np.savez(path, **to_csr(edges, n))
+    write_npz(edges.sparkSession, path, to_csr(edges, n))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -113,4 +113,4 @@ def test_points_to_coordinates(spark):
     report = spectral.assess("blobs", 200, lap, values.select("c", "lam"), vectors, components=1, expected_components=1)
     assert report.where("not passed").count() == 0
     clusters = spectral.compare_eigenvectors(values, vectors, vectors.withColumn("v", -F.col("v")))
-    assert all(c["error"] < 1e-6 for c in clusters)
+    assert all(c["error"] < 1e-6 for c in clusters.collect())
