@@ -75,13 +75,15 @@ def map_rows(
     make: Callable[[], Callable[[list[list]], list[list]]],
     key: tuple | None = None,
     keep: list[str] | None = None,
+    rows: int = ROWS,
 ) -> DataFrame:
     """Map rows in small blocks on executors, without a shuffle.
 
     ``make()`` runs once per task (load models there) and returns a function from input
     columns, as lists, to output columns, as lists of equal length.  Only ``columns`` and
     ``keep`` are read, so that the scan is pruned to them; those of ``keep`` come out as they
-    are, before the columns of ``schema``.  ``key``: of what ``make`` holds across tasks.
+    are, before the columns of ``schema``.  ``key``: of what ``make`` holds across tasks;
+    ``rows``: of a block at most.
     """
     keep = keep or []
     names = list(dict.fromkeys([*keep, *columns]))
@@ -96,7 +98,7 @@ def map_rows(
         release(key)
         f = make()
         for batch in batches:
-            for part in blocks_of(batch):
+            for part in blocks_of(batch, rows):
                 kept = [c if c.type == t.type else c.cast(t.type) for c, t in zip(part.columns[: len(keep)], arrow, strict=False)]
                 got = f([part.columns[k].to_pylist() for k in read])
                 new = [v if isinstance(v, pa.Array) else pa.array(v, t.type) for v, t in zip(got, list(arrow)[len(keep) :], strict=True)]

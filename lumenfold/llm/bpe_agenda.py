@@ -85,7 +85,7 @@ class Agenda:
     that frequent words stay.
     """
 
-    def __init__(self, model_path: str, remembered: int = 400_000):
+    def __init__(self, model_path: str, remembered: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -304,4 +304,5 @@ def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", keep:
         return block
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_rows(docs, [text], schema, make, key, keep=keep or ["doc_id"])
+    # Larger blocks than usual: a word new to several texts is then looked up once.
+    return map_rows(docs, [text], schema, make, key, keep=keep or ["doc_id"], rows=1024)

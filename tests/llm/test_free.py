@@ -552,7 +552,7 @@ def test_a_wrong_agenda_is_an_error(spark, monkeypatch):
     """Results are the agenda's: one that merges the wrong pair is found by the check, not covered up."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     fn = {}
-    monkeypatch.setattr(bpe_agenda, "map_rows", lambda df, columns, schema, make, key=None, keep=None: fn.setdefault("make", make))
+    monkeypatch.setattr(bpe_agenda, "map_rows", lambda df, columns, schema, make, *_, **__: fn.setdefault("make", make))
     bpe_agenda.encode_decode(docs(spark, ["x"]), path, with_ids=True)
     run = fn["make"]()
     good = run([["hello there", None]])
