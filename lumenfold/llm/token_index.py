@@ -9,8 +9,7 @@ and a key that is not there is refused, but for one in 2**32.
 
 Documents are dealt to shards by ranges of the key, so that the shards follow one another in
 key order; ``start`` counts the ids of all documents before.  There is a shard for each
-``shard_bytes`` of text.  Rows of one key are ordered by their text's hash and their place in
-the table, so that a key with many rows may lie in several shards.  Each task writes a file
+``shard_bytes`` of stored text, and one for each shuffle partition at least.  Rows of one key are ordered by their place in the table, so that a key with many rows may lie in several shards.  Each task writes a file
 under a name of its own, in the folder that the cluster shares, as Spark's file systems resolve
 it; only files named in the returned manifest count, so that a lost task leaves nothing that is
 read.
@@ -49,8 +48,8 @@ _HEAD = struct.Struct("<8sQQQQQQQI")  # magic, documents, null keys, ids, places
 _U = np.uint64
 #: ``base``: rows of the shard's first key in the shards before it.
 MANIFEST = "shard int, path string, documents long, tokens long, nulls long, first_key long, last_key long, base long"
-#: Bytes of text that a shard is for.
-SHARD_BYTES = 1 << 29
+#: Bytes of stored text that a shard is for.
+SHARD_BYTES = 1 << 28
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -221,6 +220,20 @@ class ShardReader:
         count = int(self.ends[number]) - first
         return np.frombuffer(self.file.read_at(count * self.id_bytes, first * self.id_bytes), dtype=f"<u{self.id_bytes}")
 
+    def several(self, numbers: np.ndarray, most: int = 1 << 22) -> Iterator[np.ndarray]:
+        """Ids of several documents; those that lie one after another are read together, ``most`` ids at a time."""
+        at = 0
+        while at < len(numbers):
+            first = int(numbers[at])
+            before = int(self.ends[first - 1]) if first else 0
+            end = at + 1
+            while end < len(numbers) and numbers[end] == numbers[end - 1] + 1 and self.ends[numbers[end]] - before <= most:
+                end += 1
+            ends = (self.ends[numbers[at:end]] - before).tolist()
+            raw = np.frombuffer(self.file.read_at(ends[-1] * self.id_bytes, before * self.id_bytes), dtype=f"<u{self.id_bytes}")
+            yield from (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+            at = end
+
     def get(self, key: int | None, repeat: int = 0) -> np.ndarray | None:
         number = int(self.find(np.array([key or 0]), np.array([repeat]), np.array([key is None]))[0])
         return None if number < 0 else self.ids(number)
@@ -299,6 +312,12 @@ class WordEncoder:
         return [x + self.end for x in out]
 
 
+def _size(frame: DataFrame) -> int:
+    """Bytes of the rows by the plan's statistics, which files give; counted where it has none."""
+    told = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return told if told < 1 << 60 else frame.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
 def write_shards(
     docs: DataFrame,
     tokenizer_path: str,
@@ -320,10 +339,10 @@ def write_shards(
     folder = qualified(spark, folder or shared_path(spark, "token-ids"))
     frame = docs.select(col(key).cast("long").alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
     if shards is None:
-        size = frame.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        shards = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) if size > shard_bytes else 1, -(-size // shard_bytes))
-    # Equal rows are split by their place, so that no key, null or text fills a task.
-    order = ["key", F.xxhash64("text"), "place"]
+        size = _size(frame)
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    # Rows of a key are split by their place, so that no key and no null fills a task.
+    order = ["key", "place"]
     ordered = frame.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(shards, *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
 
     mine = ("words", tokenizer_path, end_id)
@@ -334,7 +353,7 @@ def write_shards(
         encoder = held(mine, lambda: WordEncoder(tokenizer_path, end_id))
         writer, part, path = None, -1, ""
         for batch in batches:
-            for block in blocks_of(batch):
+            for block in blocks_of(batch, 1024):
                 keys, texts, parts = (c.to_pylist() for c in block.columns)
                 if writer is None:
                     part, path = parts[0], f"{folder}/shard-{parts[0]:06d}-{uuid.uuid4().hex[:8]}.tok"
@@ -385,13 +404,13 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     numbers = shard.find(keys[here], repeats[here], null[here])
                     if (numbers < 0).any():
                         raise ValueError(f"{path}: a key is not in the index")
-                    got = [shard.ids(int(n)) for n in numbers]
+                    told = [(len(x), zlib.crc32(x.astype("<u4").tobytes())) for x in shard.several(numbers)]
                     before = np.where(numbers > 0, shard.ends[numbers - 1], 0) + start
                     again = repeats[here] + np.where(first[here], base, 0)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(keys[here], mask=null[here], type=pa.int64()), pa.array(again, type=pa.int64()), pa.array(before, type=pa.int64()),
-                            pa.array([len(x) for x in got], type=pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in got], type=pa.int64()),
+                            pa.array([n for n, _ in told], type=pa.int64()), pa.array([c for _, c in told], type=pa.int64()),
                         ],
                         names=["doc_id", "repeat", "start", "n_tokens", "ids_crc32"],
                     )

@@ -508,6 +508,11 @@ def test_a_hot_key_lies_in_several_shards(spark):
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
     for key, n in ((None, 60), (low, 50), (5, 60), (7, 1)):
         assert sorted(r.repeat for r in got if r.doc_id == key) == list(range(n))
+    shard = token_index.ShardReader(parts[0].path)
+    some = np.array([3, 4, 5, 1, 2, 0, 0])
+    for most in (1, 1 << 22):
+        assert [x.tolist() for x in shard.several(some, most)] == [shard.ids(int(k)).tolist() for k in some]
+    assert list(shard.several(some[:0])) == []
     store = token_index.TokenStore(manifest)
     by = {(r.doc_id, r.repeat): r for r in got}
     for (key, repeat), r in by.items():
