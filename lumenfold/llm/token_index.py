@@ -353,7 +353,7 @@ def write_shards(
         encoder = held(mine, lambda: WordEncoder(tokenizer_path, end_id))
         writer, part, path = None, -1, ""
         for batch in batches:
-            for block in blocks_of(batch, 1024):
+            for block in blocks_of(batch, 2048, 1 << 23):
                 keys, texts, parts = (c.to_pylist() for c in block.columns)
                 if writer is None:
                     part, path = parts[0], f"{folder}/shard-{parts[0]:06d}-{uuid.uuid4().hex[:8]}.tok"
