@@ -35,7 +35,7 @@ def test_names():
 
 
 #: A query of each kind; tools/compare.py holds all of them against their SQL.
-SOME = ["smooth_knn", "degrees_compat", "connected_components", "data_ranges", "eigenpair_residuals", "silhouette", "cluster_purity", "zscore_clip", "stratified_sample", "lollipop_graph", "manifest_upsert"]
+SOME = ["smooth_knn", "degrees_compat", "connected_components", "data_ranges", "eigenpair_residuals", "silhouette", "cluster_purity", "zscore_clip", "stratified_sample", "lollipop_graph", "manifest_upsert", "csr_round_trip", "solver_level_4", "solver_in_dataframes", "spectral_coordinates_two_paths", "partition_equality", "gap_aware_comparison"]
 
 
 @pytest.mark.parametrize("name", SOME)
