@@ -250,6 +250,10 @@ _SIGNS = r"!-&(-@\[-`{-~"  # ASCII digits and punctuation without the apostrophe
 #: Parts that no token crosses: letters up to a sign or space, signs up to a letter or space, or
 #: all up to the next space.
 _PARTS = re.compile(f"[{_LETTERS}]++(?=[{_SIGNS} \n]|\\Z)|[{_SIGNS}]++(?=[{_LETTERS} \n]|\\Z)|[^ \n]+")
+#: Parts of one word for the pre-tokenizer, whose last token alone ends a word; each digit is one.
+_WORD = re.compile(rf"[{_LETTERS}]+|(?:(?![0-9])[{_SIGNS}])+")
+#: Words that are encoded as one text.
+TOGETHER = 256
 
 
 class WordEncoder:
@@ -279,6 +283,11 @@ class WordEncoder:
         worded = [s.get("type") for s in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"].get("Regex") == WORD_PATTERN and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.parted = bool(plain and worded) and not spec.get("post_processor") and not spec.get("truncation")
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.ends[[k for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
 
     def _raw(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -289,6 +298,20 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._raw(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Raw ids of parts.  Words go to the library many in a text, whose ids are cut where a
+        word ends; a text that has not an end for each of its words is encoded word by word."""
+        words = [p for p in parts if self.ends is not None and _WORD.fullmatch(p)]
+        alone = list(set(parts).difference(words))
+        lots = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
+        for lot, raw in zip(lots, self._whole([" ".join(lot) for lot in lots]), strict=True):
+            cuts = (self.id_bytes * (1 + np.flatnonzero(self.ends[np.frombuffer(raw, dtype=f"<u{self.id_bytes}")]))).tolist()
+            if len(cuts) == len(lot) and cuts[-1] == len(raw):
+                yield from zip(lot, (raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True)
+            else:
+                alone += lot
+        yield from zip(alone, self._whole(alone), strict=True)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw ids of each text, with the end id."""
         texts = [t or "" for t in texts]
@@ -302,7 +325,7 @@ class WordEncoder:
             memory.clear()
             new = list(seen)
         if new:
-            memory.update(zip(new, self._whole(new), strict=True))
+            memory.update(self._parts(new))
         out = [b"".join(map(memory.__getitem__, parts)) for parts in split]
         whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
