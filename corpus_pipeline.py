@@ -12,6 +12,10 @@ from lumenfold.llm import bpe_agenda, line_dedup, mixing, order_minhash, quality
 from lumenfold.llm.queries import LINE_PAGES, LINE_RATIO, documents
 from lumenfold.operators.lineage import clear, made, written
 
+#: Words remembered and rows of a block in the last stage: executors still hold heap and buffers of
+#: the stages before, which leave its workers less memory than the query alone leaves them.
+TOKEN_WORDS, TOKEN_ROWS = 75_000, 256
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -46,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every mixed row by the agenda, checked by the library, and decoded."""
     import public_tokenizers
 
-    return bpe_agenda.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return bpe_agenda.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), remembered=TOKEN_WORDS, rows=TOKEN_ROWS)
 
 
 STAGES = [

@@ -34,6 +34,12 @@ MARK = "▁"
 LONG = 48
 #: Words of lengths up to a multiple of this share a matrix.
 STEP = 4
+#: Texts that the library gets at a time; it takes and gives ids as lists, ten times the size of arrays.
+CHECKED = 128
+#: Words that an agenda remembers in each of its two generations.
+REMEMBERED = 300_000
+#: Rows of a block: more than usual, so that a word new to several texts is looked up once.
+BLOCK = 1024
 #: Spaces stand for word marks until they are looked up.
 _SEGMENTS = re.compile(" *[^ ]+| +")
 NO_RANK = np.int32(2**31 - 1)
@@ -85,7 +91,7 @@ class Agenda:
     that frequent words stay.
     """
 
-    def __init__(self, model_path: str, remembered: int = 300_000):
+    def __init__(self, model_path: str, remembered: int = REMEMBERED):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -279,30 +285,42 @@ def _load(path: str) -> tuple[Agenda, object]:
     return Agenda(path), SentencePieceProcessor(model_file=path)
 
 
-def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+def encode_decode(
+    docs: DataFrame,
+    model_path: str,
+    *,
+    text: str = "text",
+    keep: list[str] | None = None,
+    with_ids: bool = False,
+    remembered: int = REMEMBERED,
+    rows: int = BLOCK,
+) -> DataFrame:
     """``keep`` columns with n_tokens, ids_sha256 and decoded_sha256; ids if asked for.
 
+    Fewer words ``remembered`` and ``rows`` of a block take less memory and more time; results are the same.
     Raises ValueError where the library gives other ids than the agenda.
     """
     key = ("pieces", model_path)
 
     def make():
         agenda, library = held(key, lambda: _load(model_path))
+        agenda.remembered = remembered
 
         def block(columns: list[list]) -> list[list]:
             texts = [t or "" for t in columns[0]]
             found = agenda.ids_of(texts)
-            ids = [x.tolist() for x in found]
-            for t, mine, theirs in zip(texts, ids, library.encode(texts, num_threads=1), strict=True):
-                if mine != theirs:
-                    raise ValueError(f"the agenda and the library encode a text differently: {t[:200]!r}")
-            decoded = [hashlib.sha256(t.encode()).hexdigest() for t in library.decode(ids, num_threads=1)] if ids else []
+            decoded = []
+            for at in range(0, len(texts), CHECKED):
+                part, ids = texts[at : at + CHECKED], [x.tolist() for x in found[at : at + CHECKED]]
+                for t, mine, theirs in zip(part, ids, library.encode(part, num_threads=1), strict=True):
+                    if mine != theirs:
+                        raise ValueError(f"the agenda and the library encode a text differently: {t[:200]!r}")
+                decoded += [hashlib.sha256(t.encode()).hexdigest() for t in library.decode(ids, num_threads=1)]
             # The spellings are padded with zero bytes, and the last comma is too many.
             spelled = [hashlib.sha256(agenda.spelled[x].tobytes().replace(b"\0", b"")[:-1]).hexdigest() for x in found]
-            return [list(map(len, ids)), spelled, decoded, *([ids] if with_ids else [])]
+            return [list(map(len, found)), spelled, decoded, *([found] if with_ids else [])]
 
         return block
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    # Larger blocks than usual: a word new to several texts is then looked up once.
-    return map_rows(docs, [text], schema, make, key, keep=keep or ["doc_id"], rows=1024)
+    return map_rows(docs, [text], schema, make, key, keep=keep or ["doc_id"], rows=rows)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ from sentencepiece import SentencePieceProcessor
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lumenfold.llm import mixing, quality_fm
+from lumenfold.llm import arrow, bpe_agenda, mixing, quality_fm
 from lumenfold.llm.queries import LINE_PAGES, LINE_RATIO
 
 SF = "/root/testdata/sf0.001"
@@ -141,3 +142,25 @@ def test_queries_match_their_sql(spark):
 def test_url_and_crc_of_the_contract(spark):
     row = spark.range(1).select(F.crc32(F.lit("17")).alias("c")).first()
     assert row.c == zlib.crc32(b"17")
+
+
+def test_the_last_stage_holds_little(monkeypatch):
+    """Workers of the last stage stand beside executors that the stages before have filled."""
+    fn = {}
+    monkeypatch.setattr(bpe_agenda, "map_rows", lambda df, columns, schema, make, *_, **k: fn.update(k, make=make))
+    corpus_pipeline.tokens(None, None, SF)
+    library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"word{x:x}" for x in rng.integers(0, 1 << 40, 80).tolist()) for _ in range(3072)]
+    arrow.release()
+    run = fn["make"]()
+    tracemalloc.start()
+    try:
+        for at in range(0, len(texts), fn["rows"]):
+            lengths, digests, _ = run([texts[at : at + fn["rows"]]])
+            assert lengths[-1] == len(ids := library.encode(texts[at + len(lengths) - 1]))
+            assert digests[-1] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+        arrow.release()
